@@ -1,0 +1,106 @@
+"""Ordered per-key windows that stay balanced when one key owns a large share of the rows.
+
+A window over ``partitionBy(player).orderBy(time)`` puts a whole player into one task.  That
+is right for ordinary keys.  For a key that holds more than 1/1000 of all rows the log is cut
+into consecutive blocks (calendar days, the finest cut that keeps time order) and
+
+* row counts before a block come from a prefix sum over the few rows of a block table,
+* the rows a short look-back needs from earlier blocks (the last L rows) are copied to the
+  start of the block and dropped again after the window.
+
+There are at most 1000 such keys by construction (each holds over 1/1000 of the rows), which is
+the bound that makes broadcasting the list safe.  When there is none, adaptive execution sees
+the empty list and removes the whole branch.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+HOT_SHARE = 1000
+HOT_ROWS = 1_000_000
+BLOCK = "_block"
+HALO = "_halo"
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE,
+             floor: int = HOT_ROWS) -> DataFrame:
+    """Keys holding more than 1/share of all rows and more than ``floor`` rows: at most ``share``."""
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    limit = per_key.agg((F.sum("_n") / F.lit(share)).alias("t")).scalar()
+    return per_key.filter((F.col("_n") > floor) & (F.col("_n") > limit)).select(*keys)
+
+
+def with_blocks(df: DataFrame, keys: Sequence[str], block: Column, share: int = HOT_SHARE,
+                floor: int = HOT_ROWS) -> DataFrame:
+    """Adds ``_block``: null for ordinary keys, ``block`` (order-preserving) for hot ones."""
+    hot = hot_keys(df, keys, share, floor).withColumn("_hot", F.lit(True))
+    return (df.join(F.broadcast(hot), list(keys), "left")
+            .withColumn(BLOCK, F.when(F.col("_hot"), block)).drop("_hot"))
+
+
+def with_halo(blocked: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
+              lookback: int, source: Column | None = None) -> DataFrame:
+    """Adds, for every block of a hot key, copies (``_halo`` true) of the last ``lookback``
+    rows before it.  ``source`` restricts which rows may be copied."""
+    cols = blocked.columns
+    hot = blocked.filter(F.col(BLOCK).isNotNull())
+    eligible = hot if source is None else hot.filter(source)
+    back = Window.partitionBy(*keys, BLOCK).orderBy(*[_reverse(o) for o in order])
+    tails = (eligible.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= lookback)
+             .select(*keys, F.col(BLOCK).alias("_b"), F.struct(*cols).alias("_row")))
+    # per hot key at most (blocks x lookback) tail rows; gather the last ones before each block
+    starts = hot.select(*keys, F.col(BLOCK).alias("_b")).distinct().withColumn(
+        "_row", F.lit(None).cast(tails.schema["_row"].dataType))
+    seq = Window.partitionBy(*keys).orderBy("_b", F.col("_row").isNotNull(), *[
+        F.col(f"_row.{_name(o)}") for o in order]).rowsBetween(Window.unboundedPreceding, -1)
+    # a start marker sorts before the tails of its own block
+    near = tails.unionByName(starts)
+    kept = near.withColumn("_seen", F.count("_row").over(seq))
+    marks = kept.filter(F.col("_row").isNull()).select(*keys, F.col("_b").alias("_to"),
+                                                       F.col("_seen").alias("_hi"))
+    rows = kept.filter(F.col("_row").isNotNull()).withColumn("_pos", F.col("_seen") + 1)
+    # every tail row goes to the next blocks whose look-back still reaches it: its position
+    # p serves marks with p <= hi < p + lookback, an equality join on the explicit positions
+    reach = marks.select(*keys, "_to", F.explode(F.when(
+        F.col("_hi") > 0, F.sequence(F.greatest(F.col("_hi") - lookback + 1, F.lit(1)), F.col("_hi")))).alias("_pos"))
+    copies = rows.join(reach, [*keys, "_pos"]).select("_to", "_row.*").withColumn(BLOCK, F.col("_to"))
+    return blocked.withColumn(HALO, F.lit(False)).unionByName(
+        copies.select(*cols).withColumn(HALO, F.lit(True)))
+
+
+def block_counts(blocked: DataFrame, keys: Sequence[str], within: str) -> DataFrame:
+    """Rows in all earlier blocks of a hot key, in total (``_before``) and with the same
+    ``within`` value (``_before_within``; a block has exactly one).  One row per (key, block)."""
+    per_block = blocked.filter(F.col(BLOCK).isNotNull()).groupBy(*keys, within, BLOCK).agg(
+        F.count(F.lit(1)).alias("_n"))
+    frame = (Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(*frame)
+    part = Window.partitionBy(*keys, within).orderBy(BLOCK).rowsBetween(*frame)
+    return per_block.select(*keys, BLOCK, F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_before"),
+                            F.coalesce(F.sum("_n").over(part), F.lit(0)).alias("_before_within"))
+
+
+def over_log(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
+             lookback: int, compute: Callable[[DataFrame, Window], DataFrame],
+             share: int = HOT_SHARE, floor: int = HOT_ROWS) -> DataFrame:
+    """``compute(df, window)`` over each key's log, hot keys in blocks with a halo.
+
+    ``window`` is already partitioned and ordered; frames may reach back ``lookback`` rows.
+    """
+    full = with_halo(with_blocks(df, keys, block, share, floor), keys, order, lookback)
+    w = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    return compute(full, w).filter(~F.col(HALO)).drop(HALO)
+
+
+def _name(o: Column | str) -> str:
+    if not isinstance(o, str):
+        raise TypeError("order columns are given by name")
+    return o
+
+
+def _reverse(o: Column | str) -> Column:
+    return F.desc(_name(o))
