@@ -94,3 +94,12 @@ def case_map(key: Column, mapping: Mapping[str, object], default: Column | None
     for k, v in items[1:]:
         out = out.when(key == F.lit(k), F.lit(v))
     return out if default is None else out.otherwise(default)
+
+
+def text_order(id_col: Column | str) -> Column:
+    """A number that sorts whole non-negative ids as their text sorts ('10' < '9').
+
+    Numeric on purpose: aggregates over it stay hash aggregates, text would force a sort.
+    """
+    s = as_col(id_col).cast("string")
+    return F.rpad(s, 19, "0").cast("decimal(19,0)") * F.lit(32) + F.length(s)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scoring as S
-from ..functions.core import board_order, half_up, nz, ranked, ratio
+from ..functions.core import board_order, half_up, nz, ranked, ratio, text_order
 from ..functions.scalars import local_date, to_long
 
 BY = ("league", "season", "season_start")
@@ -60,24 +60,24 @@ def player_totals(box: DataFrame, by: Sequence[str] = BY,
                   stats: Sequence[str] = K.SEASON_STATS) -> DataFrame:
     """gp, starts, minutes, summed stats, first-seen name and primary team per player.
 
-    Two aggregations: per (player, team), then per player, so that the team with
-    most appearances (tie: met first in game-id text order) needs no second scan and
-    every shuffle carries partial sums only.
+    Two aggregations: per (player, name, team), then per player, so that the team with most
+    appearances (tie: met first in game-id text order) needs no second scan.  The first one
+    carries numbers only, which keeps it a hash aggregate with map-side partial sums.
     """
-    gid = F.col("game_id").cast("string")
-    per_team = appeared(box).groupBy(*by, "player_id", "team_abbrev").agg(
+    per_team = appeared(box).groupBy(*by, "player_id", "player_name", "team_abbrev").agg(
         F.count(F.lit(1)).alias("gp"),
         F.sum(F.when(F.col("starter"), 1).otherwise(0)).alias("starts"),
         F.sum(nz("min")).alias("minutes"),
-        F.min(gid).alias("_seen"),
-        F.min_by("player_name", gid).alias("player_name"),
+        F.min(text_order("game_id")).alias("_seen"),
         *[F.sum(nz(s)).alias(s) for s in stats])
+    teams = per_team.groupBy(*by, "player_id", "team_abbrev").agg(
+        F.min_by("player_name", "_seen").alias("player_name"), F.min("_seen").alias("_seen"),
+        *[F.sum(c).alias(c) for c in ("gp", "starts", "minutes", *stats)])
     named = F.coalesce(F.col("team_abbrev") != "", F.lit(False))
-    return per_team.groupBy(*by, "player_id").agg(
+    return teams.groupBy(*by, "player_id").agg(
         F.min_by("player_name", "_seen").alias("player_name"),
         F.min_by("team_abbrev", F.when(named, F.struct(-F.col("gp"), "_seen"))).alias("team_abbrev"),
-        F.sum("gp").alias("gp"), F.sum("starts").alias("starts"), F.sum("minutes").alias("minutes"),
-        *[F.sum(s).alias(s) for s in stats])
+        *[F.sum(c).alias(c) for c in ("gp", "starts", "minutes", *stats)])
 
 
 def team_sides(games: DataFrame, keep: Sequence[str] = BY) -> DataFrame:
@@ -224,19 +224,19 @@ def sixth_man(totals: DataFrame, bars: DataFrame, size: int | None = K.RACE_SIZE
 
 
 def mip(totals: DataFrame, bars: DataFrame, size: int | None = K.RACE_SIZE) -> DataFrame:
-    """Change of game score per 36 minutes against the season before."""
-    now = totals.withColumn("_per36", S.game_score_per36())
-    for name, stat in RATES.items():
-        now = now.withColumn(name, S.per_game(stat))
-    ok = qualified(now, bars).filter(F.col("minutes") > 0)
-    prev = ok.select("league", "player_id", (F.col("season_start") + 1).alias("season_start"),
-                     F.col("gp").alias("gp_prev"), F.col("_per36").alias("_prev36"),
-                     *[F.col(n).alias(f"{n}_prev") for n in RATES])
-    df = ok.join(prev, ["league", "player_id", "season_start"]).select(
+    """Change of game score per 36 minutes against the season before.
+
+    The season before is the previous row of the player's few qualified seasons; no self join.
+    """
+    ok = qualified(totals, bars).filter(F.col("minutes") > 0).select(
+        *BY, "player_id", "player_name", "team_abbrev", "gp", *_rates(), S.game_score_per36().alias("_per36"))
+    career = Window.partitionBy("league", "player_id").orderBy("season_start")
+    lags = [F.lag(c).over(career).alias(f"{c}_prev") for c in ("gp", *RATES, "_per36", "season_start")]
+    df = ok.select("*", *lags).filter(F.col("season_start_prev") == F.col("season_start") - 1).select(
         *BY, "player_id", "player_name", "team_abbrev", "gp", "gp_prev", *RATES,
         *[f"{n}_prev" for n in RATES],
         half_up(F.col("ppg") - F.col("ppg_prev"), 1).alias("delta_ppg"),
-        half_up(F.col("_per36") - F.col("_prev36"), 2).alias("score"))
+        half_up(F.col("_per36") - F.col("_per36_prev"), 2).alias("score"))
     return ranked(df, BY, board_order("score", "delta_ppg"), size)
 
 
@@ -271,19 +271,45 @@ def stat_leaders(totals: DataFrame, bars: DataFrame, stats: Sequence[str] = K.LE
 
 def season_races(totals: DataFrame, records: DataFrame, debuts: DataFrame | None = None,
                  size: int = K.RACE_SIZE) -> DataFrame:
-    """The five races of every season in one long table (four without a debut table)."""
-    bars = qualifiers(records)
-    races = {"mvp": mvp(totals, records, bars, size), "dpoy": dpoy(totals, records, bars, size),
-             "sixth_man": sixth_man(totals, bars, size), "mip": mip(totals, bars, size),
-             "roy": roy(totals, bars, debuts, size)}
-    out = None
-    for name, df in races.items():
-        if df is None:
-            continue
-        part = df.select(*BY, F.lit(name).alias("race"), "rank", "player_id", "player_name",
-                         "team_abbrev", "gp", "score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The five races of every season in one long table (four without a debut table).
+
+    One pass over the totals: every player-season carries all its race scores, the races it is
+    eligible for are exploded, and a single ranked window serves all of them.
+    """
+    rec = records.select(*BY, "team_abbrev", "win_pct").join(
+        defence_share(records), [*BY, "team_abbrev"], "left")
+    df = qualified(totals, qualifiers(records)).join(rec, [*BY, "team_abbrev"], "left").select(
+        *BY, "player_id", "player_name", "team_abbrev", "gp", "starts", "minutes", "win_pct", "defence",
+        S.per_game("pts").alias("ppg"), S.game_score().alias("gs"), S.game_score_per36().alias("per36"),
+        ratio(F.col("stl") + F.col("blk"), "gp").alias("stocks"),
+        ratio(F.col("pts") + F.lit(0.5) * F.col("ast") + F.lit(0.25) * F.col("reb"), "gp").alias("bench"))
+    timed = F.col("minutes") > 0
+    career = Window.partitionBy("league", "player_id", timed).orderBy("season_start")
+    last = timed & (F.lag("season_start").over(career) == F.col("season_start") - 1)
+    df = df.select("*", F.coalesce(last, F.lit(False)).alias("has_prev"),
+                   F.lag("per36").over(career).alias("per36_prev"), F.lag("ppg").over(career).alias("ppg_prev"))
+
+    def entry(race: str, eligible: Column, score: Column, tie: Column) -> Column:
+        return F.when(eligible, F.struct(F.lit(race).alias("race"), half_up(score, 2).alias("score"),
+                                         tie.alias("tie")))
+
+    ppg = F.col("ppg")
+    entries = [
+        entry("mvp", F.lit(True), F.col("gs") * S.team_multiplier(F.coalesce("win_pct", F.lit(0.5))), ppg),
+        entry("dpoy", F.lit(True), F.col("stocks") * S.team_multiplier(F.coalesce("defence", F.lit(0.5))),
+              half_up("stocks", 1)),
+        entry("sixth_man", ratio("starts", "gp") <= F.lit(K.BENCH_MAX_START_SHARE), F.col("bench"), ppg),
+        entry("mip", F.col("has_prev"), F.col("per36") - F.col("per36_prev"),
+              half_up(ppg - F.col("ppg_prev"), 1)),
+    ]
+    if debuts is not None:
+        first = debuts.select("league", "player_id", F.col("debut").alias("season_start"),
+                              F.lit(True).alias("rookie")).distinct()
+        df = df.join(first, ["league", "player_id", "season_start"], "left")
+        entries.append(entry("roy", F.coalesce("rookie", F.lit(False)), F.col("gs"), ppg))
+    long = df.select(*BY, "player_id", "player_name", "team_abbrev", "gp",
+                     F.explode(F.array_compact(F.array(*entries))).alias("e")).select("*", "e.*").drop("e")
+    return ranked(long, [*BY, "race"], board_order("score", "tie"), size).drop("tie")
 
 
 # --- live races ------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Leak-free features per player-game: every value uses earlier rows only.
 
 Order of a log is (season_start, ts, game_id).  Player and team windows run through
-``hotkeys.over_log``; one sort serves all columns of a pass.
+``hotkeys.open_log``; one sort serves all columns of a pass.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scoring as S
-from ..functions.core import half_up, nz
+from ..functions.core import half_up
 from . import hotkeys as H
 
 PLAYER = ("league", "player_id")
@@ -70,7 +70,7 @@ def rest_from(gap_seconds: Column) -> tuple[Column, Column]:
     """(rest_days, back_to_back) from the seconds since the previous game: whole 24-hour
     periods minus one, not below 0."""
     days = F.floor(gap_seconds / 86400)
-    return F.greatest(days - 1, F.lit(0)), F.coalesce((days == 1).cast("int"), F.lit(0))
+    return F.when(days.isNotNull(), F.greatest(days - 1, F.lit(0))), F.coalesce((days == 1).cast("int"), F.lit(0))
 
 
 def player_form(rows: DataFrame, stats: Sequence[str] = K.ROLLING_STATS,
@@ -79,30 +79,23 @@ def player_form(rows: DataFrame, stats: Sequence[str] = K.ROLLING_STATS,
 
     All windows share one sort (league, player, block, season, time, game).
     """
-    keys = list(PLAYER)
-    blocked = H.with_blocks(rows, keys, day_block(), **hot)
-    full = H.with_halo(blocked, keys, ORDER, max([*windows, 5]))
-    w = Window.partitionBy(*keys, H.BLOCK).orderBy(*ORDER)
-    in_season = Window.partitionBy(*keys, H.BLOCK, "season_start").orderBy("ts", "game_id")
+    log = H.open_log(rows, PLAYER, ORDER, day_block(), max([*windows, 5]), **hot)
+    w = Window.partitionBy(*log.keys).orderBy(*ORDER)
+    in_season = Window.partitionBy(*log.keys, "season_start").orderBy("ts", "game_id")
     before = (Window.unboundedPreceding, -1)
-    own = F.when(~F.col(H.HALO), F.lit(1))
     prev_min = F.lag("min").over(w)
     rest, b2b = rest_from(F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w)))
-    out = full.select(
+    out = log.rows.select(
         "*",
         *[F.avg(s).over(w.rowsBetween(-n, -1)).alias(f"{s}_avg_last_{n}")
           for n in windows for s in stats],
-        F.count(own).over(w.rowsBetween(*before)).alias("career_game_count"),
-        F.count(own).over(in_season.rowsBetween(*before)).alias("season_game_count"),
+        F.count(log.own()).over(w.rowsBetween(*before)).alias("career_game_count"),
+        F.count(log.own()).over(in_season.rowsBetween(*before)).alias("season_game_count"),
         prev_min.alias("minutes_last_game"),
         F.when(F.coalesce(prev_min, F.lit(0)) > 0, 1).otherwise(0).alias("played_last_game"),
         F.sum(_played_flag()).over(w.rowsBetween(-5, -1)).alias("games_played_last_5"),
-        rest.alias("rest_days"), b2b.alias("back_to_back")).filter(~F.col(H.HALO))
-    counts = H.block_counts(blocked, keys, "season_start")
-    return (out.join(counts, [*keys, H.BLOCK], "left")
-            .withColumn("career_game_count", F.col("career_game_count") + nz("_before"))
-            .withColumn("season_game_count", F.col("season_game_count") + nz("_before_within"))
-            .drop("_before", "_before_within", H.HALO, H.BLOCK))
+        rest.alias("rest_days"), b2b.alias("back_to_back"))
+    return log.finish(out, "career_game_count", "season_game_count")
 
 
 def _played_flag() -> Column:
@@ -116,38 +109,37 @@ def team_game_table(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(team-games, contradictions): one row per team and game; a key whose player rows
     disagree on date, side or scores is dropped whole and returned in the second table.
 
-    One aggregation: the key is consistent when the smallest and the largest row are equal.
+    One hash aggregation: a field agrees when its smallest and largest value are equal and it is
+    null in all rows or in none.
     """
     keys = ["league", "season", "season_start", "game_id", "team_id"]
-    row = F.struct("ts", "is_home", "team_score", "opp_score")
-    agg = rows.groupBy(*keys).agg(F.min(row).alias("_lo"), F.max(row).alias("_hi"))
-    good = agg.filter(_same("_lo", "_hi")).select(*keys, "_lo.*")
-    bad = agg.filter(~_same("_lo", "_hi")).select(*keys)
-    return good, bad
-
-
-def _same(a: str, b: str) -> Column:
-    out = F.lit(True)
-    for f in ("ts", "is_home", "team_score", "opp_score"):
-        out = out & F.col(f"{a}.{f}").eqNullSafe(F.col(f"{b}.{f}"))
-    return out
+    fields = ("ts", "is_home", "team_score", "opp_score")
+    agg = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[a for f in fields for a in (F.min(f).alias(f), F.max(f).alias(f"_max_{f}"), F.count(f).alias(f"_n_{f}"))])
+    same = F.lit(True)
+    for f in fields:
+        same = same & ((F.col(f"_n_{f}") == 0) | (
+            (F.col(f"_n_{f}") == F.col("_n")) & (F.col(f) == F.col(f"_max_{f}"))))
+    return agg.filter(same).select(*keys, *fields), agg.filter(~same).select(*keys)
 
 
 def team_form(team_games: DataFrame, window: int = 5, **hot) -> DataFrame:
     """Average score made and allowed over a team's last ``window`` games before each game."""
-    def compute(df: DataFrame, w) -> DataFrame:
-        f = w.rowsBetween(-window, -1)
-        return df.select("*", F.avg("team_score").over(f).alias("form_pf"),
-                         F.avg("opp_score").over(f).alias("form_pa"))
-
-    out = H.over_log(team_games, list(TEAM), ORDER, day_block(), window, compute, **hot)
+    log = H.open_log(team_games, TEAM, ORDER, day_block(), window, **hot)
+    f = Window.partitionBy(*log.keys).orderBy(*ORDER).rowsBetween(-window, -1)
+    out = log.finish(log.rows.select("*", F.avg("team_score").over(f).alias("form_pf"),
+                                     F.avg("opp_score").over(f).alias("form_pa")))
     return out.select("league", "season", "game_id", "team_id", "form_pf", "form_pa")
 
 
 def with_team_form(rows: DataFrame, window: int = 5, **hot) -> DataFrame:
     """Own and opponent form joined onto player rows."""
     good, _ = team_game_table(rows)
-    form = team_form(good, window, **hot)
+    return join_team_form(rows, team_form(good, window, **hot))
+
+
+def join_team_form(rows: DataFrame, form: DataFrame) -> DataFrame:
     own = form.withColumnsRenamed({"form_pf": "team_form_pf", "form_pa": "team_form_pa"})
     opp = form.withColumnsRenamed({"team_id": "opponent_id", "form_pf": "opp_form_pf",
                                    "form_pa": "opp_form_pa"})
@@ -181,16 +173,24 @@ def baseline(rows: DataFrame, score: str = "fantasy_points", grain: str = "day")
 
 def with_baseline(rows: DataFrame, score: str = "fantasy_points", grain: str = "day") -> DataFrame:
     """Baseline joined onto player rows."""
-    b = baseline(rows, score, grain)
+    return join_baseline(rows, baseline(rows, score, grain), grain)
+
+
+def join_baseline(rows: DataFrame, b: DataFrame, grain: str) -> DataFrame:
     return rows.withColumn("slot", grain_key(grain)).join(
         b, ["league", "season", "slot"], "left").drop("slot")
 
 
 # --- everything ------------------------------------------------------------------------------
 
-def feature_table(rows: DataFrame, grain: str = "day", **hot) -> DataFrame:
+def feature_table(rows: DataFrame, grain: str = "day", hot_players: list[tuple] | None = None,
+                  hot_teams: list[tuple] | None = None) -> DataFrame:
     """All features on the fact from ``player_games``."""
-    return with_baseline(with_team_form(player_form(rows, **hot), **hot), grain=grain)
+    form = player_form(rows, hot=hot_players)
+    good, _ = team_game_table(rows)
+    days = baseline(rows, grain=grain)
+    out = join_team_form(form, team_form(good, hot=hot_teams))
+    return join_baseline(out, days, grain)
 
 
 def model_inputs(features: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

@@ -1,21 +1,23 @@
 """Ordered per-key windows that stay balanced when one key owns a large share of the rows.
 
 A window over ``partitionBy(player).orderBy(time)`` puts a whole player into one task.  That
-is right for ordinary keys.  For a key that holds more than 1/1000 of all rows the log is cut
-into consecutive blocks (calendar days, the finest cut that keeps time order) and
+is right for ordinary keys, and the plan is then a plain window.  For a key that holds more than
+1/1000 of all rows the log is cut into consecutive blocks (calendar days, the finest cut that
+keeps time order) and
 
 * row counts before a block come from a prefix sum over the few rows of a block table,
 * the rows a short look-back needs from earlier blocks (the last L rows) are copied to the
   start of the block and dropped again after the window.
 
-There are at most 1000 such keys by construction (each holds over 1/1000 of the rows), which is
-the bound that makes broadcasting the list safe.  When there is none, adaptive execution sees
-the empty list and removes the whole branch.
+Whether there are such keys is asked once, when the plan is built, by a count per key (one
+pass over the key column).  At most 1000 keys can each hold over 1/1000 of the rows; that bound
+makes the list safe to hold and to broadcast.  Callers who know their data pass ``hot=[]``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,18 +29,20 @@ HALO = "_halo"
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE,
-             floor: int = HOT_ROWS) -> DataFrame:
+             floor: int = HOT_ROWS) -> list[tuple]:
     """Keys holding more than 1/share of all rows and more than ``floor`` rows: at most ``share``."""
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    big = per_key.filter(F.col("_n") > floor)
+    if big.isEmpty():
+        return []
     limit = per_key.agg((F.sum("_n") / F.lit(share)).alias("t")).scalar()
-    return per_key.filter((F.col("_n") > floor) & (F.col("_n") > limit)).select(*keys)
+    return [tuple(r) for r in big.filter(F.col("_n") > limit).select(*keys).collect()]
 
 
-def with_blocks(df: DataFrame, keys: Sequence[str], block: Column, share: int = HOT_SHARE,
-                floor: int = HOT_ROWS) -> DataFrame:
+def with_blocks(df: DataFrame, keys: Sequence[str], block: Column, hot: list[tuple]) -> DataFrame:
     """Adds ``_block``: null for ordinary keys, ``block`` (order-preserving) for hot ones."""
-    hot = hot_keys(df, keys, share, floor).withColumn("_hot", F.lit(True))
-    return (df.join(F.broadcast(hot), list(keys), "left")
+    listed = df.sparkSession.createDataFrame(hot, df.select(*keys).schema).withColumn("_hot", F.lit(True))
+    return (df.join(F.broadcast(listed), list(keys), "left")
             .withColumn(BLOCK, F.when(F.col("_hot"), block)).drop("_hot"))
 
 
@@ -84,16 +88,42 @@ def block_counts(blocked: DataFrame, keys: Sequence[str], within: str) -> DataFr
                             F.coalesce(F.sum("_n").over(part), F.lit(0)).alias("_before_within"))
 
 
-def over_log(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
-             lookback: int, compute: Callable[[DataFrame, Window], DataFrame],
-             share: int = HOT_SHARE, floor: int = HOT_ROWS) -> DataFrame:
-    """``compute(df, window)`` over each key's log, hot keys in blocks with a halo.
+@dataclass
+class Log:
+    """Rows ready for ordered windows over ``keys``; ``finish`` after the windows."""
 
-    ``window`` is already partitioned and ordered; frames may reach back ``lookback`` rows.
+    rows: DataFrame
+    keys: list[str]
+    counts: DataFrame | None = None
+
+    def own(self) -> Column:
+        """1 for real rows, null for look-back copies."""
+        return F.lit(1) if self.counts is None else F.when(~F.col(HALO), F.lit(1))
+
+    def finish(self, df: DataFrame, total: str | None = None, within: str | None = None) -> DataFrame:
+        """Drop the copies and add the rows of earlier blocks to the named counts."""
+        if self.counts is None:
+            return df
+        out = df.filter(~F.col(HALO)).join(self.counts, self.keys, "left")
+        for name, extra in ((total, "_before"), (within, "_before_within")):
+            if name is not None:
+                out = out.withColumn(name, F.col(name) + F.coalesce(extra, F.lit(0)))
+        return out.drop("_before", "_before_within", HALO, BLOCK)
+
+
+def open_log(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, lookback: int,
+             within: str = "season_start", hot: list[tuple] | None = None, **probe) -> Log:
+    """Prepare ``df`` for windows partitioned by ``log.keys`` and ordered by ``order``.
+
+    Without hot keys this is ``df`` and ``keys`` as they are.  Frames may reach back
+    ``lookback`` rows; counts over everything before a row go through ``Log.finish``.
     """
-    full = with_halo(with_blocks(df, keys, block, share, floor), keys, order, lookback)
-    w = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    return compute(full, w).filter(~F.col(HALO)).drop(HALO)
+    hot = hot_keys(df, keys, **probe) if hot is None else hot
+    if not hot:
+        return Log(df, list(keys))
+    blocked = with_blocks(df, keys, block, hot)
+    return Log(with_halo(blocked, keys, order, lookback), [*keys, BLOCK],
+               block_counts(blocked, keys, within))
 
 
 def _name(o: Column | str) -> str:

@@ -65,40 +65,36 @@ def asof_day(states: DataFrame, targets: DataFrame, keys: Sequence[str]) -> Data
 def player_states(history: DataFrame, stats: Sequence[str] = K.ROLLING_STATS,
                   windows: Sequence[int] = K.ROLLING_WINDOWS, **hot) -> DataFrame:
     """State after the last game of each (player, day): inclusive form, counts, last game."""
-    keys = list(X.PLAYER)
-    blocked = H.with_blocks(history, keys, X.day_block(), **hot)
-    full = H.with_halo(blocked, keys, X.ORDER, max([*windows, 5]) - 1)
-    w = Window.partitionBy(*keys, H.BLOCK).orderBy(*X.ORDER)
-    in_season = Window.partitionBy(*keys, H.BLOCK, "season_start").orderBy("ts", "game_id")
+    log = H.open_log(history, X.PLAYER, X.ORDER, X.day_block(), max([*windows, 5]) - 1, **hot)
+    w = Window.partitionBy(*log.keys).orderBy(*X.ORDER)
+    in_season = Window.partitionBy(*log.keys, "season_start").orderBy("ts", "game_id")
     upto = (Window.unboundedPreceding, 0)
-    own = F.when(~F.col(H.HALO), F.lit(1))
     form = [(f"{s}_avg_last_{n}", F.avg(s).over(w.rowsBetween(-n + 1, 0))) for n in windows for s in stats]
-    rows = full.select(
-        *keys, H.BLOCK, H.HALO, "season", *X.ORDER, F.col("min"), *[c.alias(n) for n, c in form],
-        F.count(own).over(w.rowsBetween(*upto)).alias("career"),
-        F.count(own).over(in_season.rowsBetween(*upto)).alias("in_season"),
+    rows = log.finish(log.rows.withColumn("day", F.to_date("ts")).select(
+        "*", *[c.alias(n) for n, c in form],
+        F.count(log.own()).over(w.rowsBetween(*upto)).alias("career"),
+        F.count(log.own()).over(in_season.rowsBetween(*upto)).alias("in_season"),
         F.sum(X._played_flag()).over(w.rowsBetween(-4, 0)).alias("games_played_last_5"),
-    ).filter(~F.col(H.HALO)).join(
-        H.block_counts(blocked, keys, "season_start"), [*keys, H.BLOCK], "left")
-    state = F.struct(
-        *[F.col(n) for n, _ in form],
-        (F.col("career") + F.coalesce("_before", F.lit(0))).alias("career"),
-        (F.col("in_season") + F.coalesce("_before_within", F.lit(0))).alias("in_season"),
-        "season", F.col("min").alias("last_min"), F.col("ts").alias("last_ts"), "games_played_last_5")
-    return rows.groupBy(*keys, F.to_date("ts").alias("day")).agg(
-        F.max_by(state, F.struct(*X.ORDER)).alias("state"))
+        F.lead("day").over(w).alias("_next")), "career", "in_season")
+    state = F.struct(*[F.col(n) for n, _ in form], "career", "in_season", "season",
+                     F.col("min").alias("last_min"), F.col("ts").alias("last_ts"), "games_played_last_5")
+    return last_of_day(rows).select(*X.PLAYER, "day", state.alias("state"))
+
+
+def last_of_day(rows: DataFrame) -> DataFrame:
+    """Keep the last row of each day: the next row of the same sort has another day."""
+    return rows.filter(F.col("_next").isNull() | (F.col("_next") != F.col("day"))).drop("_next")
 
 
 def team_states(team_games: DataFrame, window: int = 5, **hot) -> DataFrame:
     """Form of a team after its last game of each day."""
-    def compute(df: DataFrame, w) -> DataFrame:
-        f = w.rowsBetween(-window + 1, 0)
-        return df.select("*", F.struct(F.avg("team_score").over(f).alias("pf"),
-                                       F.avg("opp_score").over(f).alias("pa")).alias("state"))
-
-    rows = H.over_log(team_games, list(X.TEAM), X.ORDER, X.day_block(), max(window - 1, 1), compute, **hot)
-    return rows.groupBy(*X.TEAM, F.to_date("ts").alias("day")).agg(
-        F.max_by("state", F.struct(*X.ORDER)).alias("state"))
+    log = H.open_log(team_games, X.TEAM, X.ORDER, X.day_block(), max(window - 1, 1), **hot)
+    w = Window.partitionBy(*log.keys).orderBy(*X.ORDER)
+    f = w.rowsBetween(-window + 1, 0)
+    rows = log.finish(log.rows.withColumn("day", F.to_date("ts")).select(
+        *log.rows.columns, "day", F.avg("team_score").over(f).alias("pf"),
+        F.avg("opp_score").over(f).alias("pa"), F.lead("day").over(w).alias("_next")))
+    return last_of_day(rows).select(*X.TEAM, "day", F.struct("pf", "pa").alias("state"))
 
 
 def baseline_states(history: DataFrame, score: str = "fantasy_points") -> DataFrame:
@@ -112,14 +108,16 @@ def baseline_states(history: DataFrame, score: str = "fantasy_points") -> DataFr
 
 def projection_rows(history: DataFrame, upcoming: DataFrame, roster: DataFrame,
                     stats: Sequence[str] = K.ROLLING_STATS,
-                    windows: Sequence[int] = K.ROLLING_WINDOWS, **hot) -> DataFrame:
+                    windows: Sequence[int] = K.ROLLING_WINDOWS,
+                    hot_players: list[tuple] | None = None,
+                    hot_teams: list[tuple] | None = None) -> DataFrame:
     """Feature-ready rows for every upcoming (game, player)."""
     rows = placeholders(upcoming, roster).withColumn("day", F.to_date("ts"))
-    ps = asof_day(player_states(history, stats, windows, **hot), rows, list(X.PLAYER)).withColumnRenamed("state", "p")
+    ps = asof_day(player_states(history, stats, windows, hot=hot_players), rows, list(X.PLAYER)).withColumnRenamed("state", "p")
     good, _ = X.team_game_table(history)
     teams = rows.select("league", "team_id", "day").unionByName(
         rows.select("league", F.col("opponent_id").alias("team_id"), "day"))
-    ts = asof_day(team_states(good, **hot), teams, list(X.TEAM))
+    ts = asof_day(team_states(good, hot=hot_teams), teams, list(X.TEAM))
     bs = asof_day(baseline_states(history), rows, ["league"]).withColumnRenamed("state", "b")
     out = (rows.join(ps, [*X.PLAYER, "day"], "left")
            .join(ts.withColumnRenamed("state", "t"), [*X.TEAM, "day"], "left")

@@ -50,7 +50,7 @@ def box(spark: SparkSession, sf_dir: str) -> DataFrame:
         "min": (part % 8) * line, "plus_minus": part % 21 - 10,
     }
     agg = li.groupBy("l_orderkey", "l_suppkey").agg(
-        (F.min("l_returnflag") == "R").alias("did_not_play"),
+        F.bool_and(F.col("l_returnflag") == "R").alias("did_not_play"),
         (F.min("l_linenumber") == 1).alias("starter"),
         *[F.sum(c.cast("bigint")).alias(n) for n, c in raw.items()])
     g = _orders(spark, sf_dir)

@@ -9,6 +9,7 @@ from ..functions import scoring as S
 from ..functions.core import half_up
 from ..operators import boards as B
 from ..operators import features as X
+from ..sources.staging import stage
 from . import bindings as D
 from . import sqlparts as Q
 from .registry import query
@@ -189,7 +190,8 @@ _FP = Q.wsum(K.FANTASY_WEIGHTS)
 
 
 def fact(spark, d):
-    return X.player_games(D.box(spark, d), D.games(spark, d), D.players(spark, d))
+    """The player-game fact, written once per query: several branches read it."""
+    return stage(X.player_games(D.box(spark, d), D.games(spark, d), D.players(spark, d)), "player_games")
 
 
 def scored(spark, d):
