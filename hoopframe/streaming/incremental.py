@@ -1,12 +1,135 @@
-"""Incremental ingestion with Structured Streaming."""
+"""Incremental ingestion with Structured Streaming.
+
+All jobs are file or table streams with a checkpoint; writes go through ``foreachBatch`` and are
+idempotent: a replayed micro-batch leaves the same result.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions import constants as K
+from ..operators import boards as B
+from ..operators import schedule as C
+from ..operators import snapshots as N
+from ..sources import files as S
+from ..sources.sinks import table_exists
+
+GAME_KEY = ("league", "season", "game_id")
 
 
 def valid_games(box: DataFrame) -> DataFrame:
     """Stored games with player rows of at least two teams."""
     return box.filter(F.col("team_id").isNotNull()).groupBy("game_id").agg(
         F.countDistinct("team_id").alias("teams")).filter(F.col("teams") >= 2).select("game_id")
+
+
+def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
+         once: bool = True) -> StreamingQuery:
+    w = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
+
+
+# --- box scores -----------------------------------------------------------------------------------
+
+def ingest_box_scores(spark: SparkSession, source: str, table: str, rejects: str, checkpoint: str, league: str,
+                      files_per_batch: int | None = None, once: bool = True) -> StreamingQuery:
+    """Box score files into a fact table partitioned by league and season.
+
+    A file is taken as a whole or rejected with a reason.  A game that is already stored is
+    skipped, so a file that is offered again (same game, or a replayed batch) changes nothing; a
+    rejected file counts as missing and comes in once it is offered in good shape.
+    """
+    reader = (spark.readStream.schema(S.BOX_SCHEMA).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_corrupt"))
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    docs = S.with_path_fields(reader.json(source).select("*", F.col("_metadata.file_path").alias("path")))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        good, bad = S.split_documents(batch)
+        rows = S.player_rows(good.dropDuplicates(["season", "file_id"]), league)
+        if table_exists(spark, table):
+            # prune to the seasons of the batch before looking for stored games
+            seasons = [r[0] for r in good.select("season").distinct().collect()]
+            stored = spark.read.parquet(table).filter(F.col("season").isin(seasons)).select(
+                "league", F.col("season").cast("string").alias("season"), "game_id").distinct()
+            rows = rows.join(stored, list(GAME_KEY), "left_anti")
+        rows.write.mode("append").partitionBy("league", "season").parquet(table)
+        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(rejects)
+
+    return _run(docs, write, checkpoint, once=once)
+
+
+def offered_again(spark: SparkSession, rejects: str, fact: DataFrame) -> DataFrame:
+    """Rejected files whose game is still not stored: the list to fetch again."""
+    return spark.read.parquet(rejects).select(F.col("file_id").alias("game_id"), "season", "path", "reason").join(
+        fact.select("game_id"), "game_id", "left_anti")
+
+
+# --- schedules ----------------------------------------------------------------------------------------
+
+def upsert_batch(spark: SparkSession, table: str, fresh: DataFrame, source_order: str, failed: DataFrame) -> None:
+    """One schedule pull into the stored schedule: best copy per game, a season is kept when the pull is
+    empty, or smaller while calls failed.  Only the seasons of the pull are rewritten."""
+    by = ["league", "season"]
+    if table_exists(spark, table):
+        touched = fresh.select(*by).distinct()
+        stored = spark.read.parquet(table).withColumn("season", F.col("season").cast("string")).join(touched, by, "left_semi")
+        out = C.upsert_schedule(stored, fresh, source_order, failed)
+    else:
+        out = C.best_copy(fresh, source_order).drop(source_order)
+    from ..sources.staging import stage
+    stage(out, "schedule").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(table)
+
+
+def ingest_schedule(stream: DataFrame, table: str, checkpoint: str, source_order: str, failed: DataFrame,
+                    once: bool = True) -> StreamingQuery:
+    """A stream of pulled game rows into the stored schedule."""
+    return _run(stream, lambda b, _: upsert_batch(b.sparkSession, table, b, source_order, failed), checkpoint, once=once)
+
+
+# --- snapshots ------------------------------------------------------------------------------------------
+
+def snapshot_batch(spark: SparkSession, table: str, arrivals: DataFrame, cap: int = K.SNAPSHOT_CAP) -> None:
+    """Arrivals of race snapshots into the stored history.
+
+    The stored days of the touched seasons count as one earlier arrival each, then the batch rule
+    decides what is kept.  Replaying a batch gives the same history.
+    """
+    by = ["league", "season"]
+    rows = arrivals
+    if table_exists(spark, table):
+        touched = arrivals.select(*by).distinct()
+        stored = spark.read.parquet(table).withColumn("season", F.col("season").cast("string")).join(touched, by, "left_semi")
+        rows = stored.withColumn("arrival", F.lit(-1).cast(arrivals.schema["arrival"].dataType)).select(
+            *arrivals.columns).unionByName(arrivals)
+    from ..sources.staging import stage
+    kept = stage(N.keep_changed(rows, cap), "snapshots")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(table)
+
+
+def ingest_snapshots(stream: DataFrame, table: str, checkpoint: str, cap: int = K.SNAPSHOT_CAP, once: bool = True) -> StreamingQuery:
+    return _run(stream, lambda b, _: snapshot_batch(b.sparkSession, table, b, cap), checkpoint, once=once)
+
+
+# --- running boards ---------------------------------------------------------------------------------------
+
+def running_totals(stream: DataFrame, by: Sequence[str], stats: Sequence[str]) -> DataFrame:
+    """Season totals kept as streaming state (update mode): only changed keys leave a micro-batch."""
+    return stream.groupBy(*by).agg(F.count(F.lit(1)).alias("gp"), *[F.sum(F.coalesce(s, F.lit(0))).alias(s) for s in stats])
+
+
+def recompute_seasons(box: DataFrame, touched: DataFrame) -> DataFrame:
+    """Totals of the seasons that late rows touched; every other season stays as it is."""
+    return B.player_totals(box.join(touched.select("league", "season").distinct(), ["league", "season"], "left_semi"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str, schema) -> DataFrame:
+    """The events table as a file stream."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
