@@ -23,8 +23,7 @@ def to_double(c: Column | str) -> Column:
 
 def to_long(c: Column | str) -> Column:
     """Whole number from text ('125' or '125.0'), fraction cut off, or null."""
-    v = as_col(c).cast("string").try_cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(9e18)), v.try_cast("bigint"))
+    return as_col(c).cast("string").try_cast("double").try_cast("bigint")
 
 
 def clean_score(c: Column | str) -> Column:
@@ -53,7 +52,7 @@ def leading_number(c: Column | str) -> Column:
 
 
 def clip_zero(c: Column | str) -> Column:
-    return F.greatest(as_col(c), F.lit(0.0))
+    return F.when(as_col(c).isNotNull(), F.greatest(as_col(c), F.lit(0.0)))
 
 
 def games_behind(c: Column | str) -> Column:
@@ -153,7 +152,8 @@ def seed_zone(league: Column | str, seed: Column | str, played: Column) -> Colum
 
 def utc_time(c: Column | str) -> Column:
     """Timestamp (session zone UTC) from 'T23:00Z' / 'T23:30:00Z' / date text, or null."""
-    return as_col(c).cast("string").try_cast("timestamp")
+    text = F.regexp_replace(as_col(c).cast("string"), r"([T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})?$", "$1:00$2")
+    return text.try_cast("timestamp")
 
 
 def local_date(c: Column | str, zone: str) -> Column:
@@ -198,11 +198,12 @@ def newest_stamp(note: Column | str) -> Column:
     """The last UTC stamp written in a note."""
     found = F.regexp_extract_all(
         as_col(note), F.lit(r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2})?Z)"), F.lit(1))
-    return F.try_element_at(found, F.lit(-1)).try_cast("timestamp")
+    return utc_time(F.try_element_at(found, F.lit(-1)))
 
 
 def age_seconds(note: Column | str, now: Column) -> Column:
-    return F.greatest(F.unix_timestamp(now) - F.unix_timestamp(newest_stamp(note)), F.lit(0))
+    age = F.unix_timestamp(now) - F.unix_timestamp(newest_stamp(note))
+    return F.when(age.isNotNull(), F.greatest(age, F.lit(0)))  # greatest() skips nulls
 
 
 def age_text(note: Column | str, now: Column) -> Column:

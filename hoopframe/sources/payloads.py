@@ -24,14 +24,20 @@ _COMP = (f"STRUCT<id: STRING, date: STRING, competitors: ARRAY<{_SIDE}>, status:
 EVENTS = f"STRUCT<events: ARRAY<STRUCT<id: STRING, date: STRING, competitions: ARRAY<{_COMP}>>>>"
 _ATHLETE = ("STRUCT<athlete: STRUCT<id: STRING, displayName: STRING, shortName: STRING>, starter: BOOLEAN, "
             "didNotPlay: BOOLEAN, stats: ARRAY<STRING>>")
+HEADER = f"STRUCT<header: STRUCT<gameDate: STRING, competitions: ARRAY<{_COMP}>>>"
 SUMMARY = (f"STRUCT<header: STRUCT<gameDate: STRING, competitions: ARRAY<{_COMP}>>, boxscore: STRUCT<players: ARRAY<"
            "STRUCT<team: STRUCT<id: STRING, abbreviation: STRING>, statistics: ARRAY<STRUCT<labels: ARRAY<STRING>, "
            f"athletes: ARRAY<{_ATHLETE}>>>>>>>")
 
 
 def parsed(raw: DataFrame, schema: str) -> DataFrame:
-    """``p``: the payload as a struct, all other columns kept."""
-    return raw.withColumn("p", F.from_json("payload", schema)).drop("payload")
+    """``p``: the payload as a struct, all other columns kept.
+
+    Parsed through a one-element explode: columns and filters built on ``p`` then share one parse
+    instead of repeating it in every expression.
+    """
+    keep = [F.col(c) for c in raw.columns if c != "payload"]
+    return raw.select(*keep, F.explode(F.array(F.from_json("payload", schema))).alias("p"))
 
 
 def _last(items: Column, test) -> Column:
@@ -109,48 +115,54 @@ def flatten_event_rounds(raw: DataFrame) -> DataFrame:
 
 # --- box score -----------------------------------------------------------------------------------------
 
-def _cell(label: str) -> Column:
-    """The stat under a label (its last column), null past the end of the line."""
-    at = F.array_position(F.reverse("labels"), label)
-    return F.when(at > 0, F.get("stats", (F.size("labels") - at).cast("int")))
+_CELLS = (*K.BOX_LABELS, *K.BOX_SPLIT_LABELS)
+
+
+def _places(labels: Column) -> Column:
+    """Index of the last column under every known label (null when the block lacks it)."""
+    back = F.reverse(labels)
+    at = lambda la: F.nullif(F.array_position(back, la), F.lit(0))
+    return F.array(*[(F.size(labels) - at(la)).cast("int") for la in _CELLS])
 
 
 def flatten_box_score(raw: DataFrame) -> DataFrame:
     """Player rows of game summaries; blocks of teams outside the header are dropped.
 
-    A player who did not play (or has no stats) has zeros and min 0, plus_minus stays null.
+    A player who did not play (or has no stats) has zeros and min 0, plus_minus stays null.  The
+    labels are looked up once per team block, each player's cell is then an array access.
     """
     df = parsed(raw, SUMMARY).withColumn("c", _first_of(F.col("p.header.competitions")))
     df = _sides(df).withColumn("b", F.explode("p.boxscore.players")).withColumn("g", _first_of(F.col("b.statistics")))
     home, away = F.col("home.team.id").try_cast("bigint"), F.col("away.team.id").try_cast("bigint")
     team = X.to_long("b.team.id")
     date = F.coalesce("c.date", "p.header.gameDate")
+    head = ("league", "game_id", "date", "season", "team_id", "team_abbrev", "opponent_id", "opponent_abbrev", "is_home")
     rows = df.filter(F.col("g").isNotNull() & ((team == home) | (team == away))).select(
         "league", F.col("c.id").try_cast("bigint").alias("game_id"), date.alias("date"),
         season_label_from_date(F.to_date(F.substring(date, 1, 10)), F.col("league")).alias("season"),
         team.alias("team_id"), F.col("b.team.abbreviation").alias("team_abbrev"),
         F.when(team == home, away).otherwise(home).alias("opponent_id"),
         F.when(team == home, F.col("away.team.abbreviation")).otherwise(F.col("home.team.abbreviation")).alias("opponent_abbrev"),
-        (team == home).alias("is_home"), F.col("g.labels").alias("labels"), F.explode("g.athletes").alias("a"),
-    ).filter(F.col("a.athlete.id").isNotNull())
-    df = rows.select(
-        *[c for c in rows.columns if c not in ("a",)], F.col("a.athlete.id").try_cast("bigint").alias("player_id"),
+        (team == home).alias("is_home"), _places(F.col("g.labels")).alias("at"), F.explode("g.athletes").alias("a"))
+    stats = F.col("a.stats")
+    dnp = F.coalesce("a.didNotPlay", F.lit(False))
+    idle = F.when(dnp | (F.coalesce(F.size(stats), F.lit(0)) <= 0), F.lit(0))
+    cell = {la: F.get(stats, F.get("at", i)) for i, la in enumerate(_CELLS)}
+    cells = {col: X.to_long(cell[la]) for la, col in K.BOX_LABELS.items()}
+    for la, (m, a) in K.BOX_SPLIT_LABELS.items():
+        cells[m], cells[a] = X.made(cell[la]), X.attempted(cell[la])
+    filled = {c: v if c == "plus_minus" else F.coalesce(v, idle) for c, v in cells.items()}
+    filled["min"] = F.coalesce(idle, cells["min"])
+    return rows.filter(F.col("a.athlete.id").isNotNull()).select(
+        *head, F.col("a.athlete.id").try_cast("bigint").alias("player_id"),
         F.coalesce(F.nullif("a.athlete.displayName", F.lit("")), "a.athlete.shortName").alias("player_name"),
-        F.coalesce("a.starter", F.lit(False)).alias("starter"), F.coalesce("a.didNotPlay", F.lit(False)).alias("did_not_play"),
-        F.coalesce("a.stats", F.array().cast("array<string>")).alias("stats"))
-    idle = F.col("did_not_play") | (F.size("stats") == 0)
-    cells = {col: X.to_long(_cell(label)) for label, col in K.BOX_LABELS.items()}
-    for label, (m, a) in K.BOX_SPLIT_LABELS.items():
-        cells[m], cells[a] = X.made(_cell(label)), X.attempted(_cell(label))
-    filled = {c: v if c == "plus_minus" else F.when(idle, F.coalesce(v, F.lit(0))).otherwise(v) for c, v in cells.items()}
-    filled["min"] = F.when(idle, F.lit(0)).otherwise(cells["min"])
-    return df.select(*[c for c in df.columns if c not in ("labels", "stats")],
-                     *[v.cast("bigint").alias(c) for c, v in filled.items()])
+        F.coalesce("a.starter", F.lit(False)).alias("starter"), dnp.alias("did_not_play"),
+        *[v.cast("bigint").alias(c) for c, v in filled.items()])
 
 
 def flatten_box_meta(raw: DataFrame) -> DataFrame:
     """Game header of summaries."""
-    df = _sides(parsed(raw, SUMMARY).withColumn("c", _first_of(F.col("p.header.competitions"))))
+    df = _sides(parsed(raw, HEADER).withColumn("c", _first_of(F.col("p.header.competitions"))))
     date = F.coalesce("c.date", "p.header.gameDate")
     return df.select("league", F.col("c.id").try_cast("bigint").alias("game_id"), date.alias("date"),
                      season_label_from_date(F.to_date(F.substring(date, 1, 10)), F.col("league")).alias("season"),
@@ -181,7 +193,7 @@ def finals_series(raw: DataFrame) -> DataFrame:
     The block is a play-off series whose description has 'Finals' but not 'Conference', or a generic
     one of at least 7 games or with the season over (input column ``season_over``).
     """
-    df = parsed(raw, SUMMARY).withColumn("c", _first_of(F.col("p.header.competitions")))
+    df = parsed(raw, HEADER).withColumn("c", _first_of(F.col("p.header.competitions")))
     over = F.coalesce("season_over", F.lit(False)) if "season_over" in raw.columns else F.lit(False)
 
     def is_finals(s: Column) -> Column:
