@@ -177,6 +177,9 @@ def with_baseline(rows: DataFrame, score: str = "fantasy_points", grain: str = "
 
 
 def join_baseline(rows: DataFrame, b: DataFrame, grain: str) -> DataFrame:
+    """A day table has at most 366 rows per league and year, which is the bound for broadcasting
+    it; the instant grain has none and is left to Spark."""
+    b = F.broadcast(b) if grain == "day" else b
     return rows.withColumn("slot", grain_key(grain)).join(
         b, ["league", "season", "slot"], "left").drop("slot")
 

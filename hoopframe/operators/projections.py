@@ -123,7 +123,7 @@ def projection_rows(history: DataFrame, upcoming: DataFrame, roster: DataFrame,
            .join(ts.withColumnRenamed("state", "t"), [*X.TEAM, "day"], "left")
            .join(ts.withColumnsRenamed({"team_id": "opponent_id", "state": "o"}),
                  ["league", "opponent_id", "day"], "left")
-           .join(bs, ["league", "day"], "left"))
+           .join(F.broadcast(bs), ["league", "day"], "left"))  # one row per league and day
     rest, b2b = X.rest_from(F.unix_timestamp("ts") - F.unix_timestamp("p.last_ts"))
     return out.select(
         "league", "season", "season_start", "game_id", "ts", "player_id", "team_id", "opponent_id",

@@ -278,7 +278,7 @@ def stale_entries(bundles: DataFrame, pool: DataFrame, now: Column, current_end_
 def content_hash(df: DataFrame, keys: Sequence[str], ignore: Sequence[str] = K.STAMP_COLUMNS) -> DataFrame:
     """Order-free fingerprint per key (a sum of row hashes, so copies count), stamps left out."""
     cols = sorted(c for c in df.columns if c not in ignore)
-    row = F.xxhash64(*[F.to_json(F.struct(c)) for c in cols])
+    row = F.xxhash64(*[x for c in cols for x in (F.col(c), F.col(c).isNull())])  # nulls alone hash to nothing
     return df.groupBy(*keys).agg(F.sum(row.cast("decimal(28,0)")).alias("hash"), F.count(F.lit(1)).alias("n"))
 
 
