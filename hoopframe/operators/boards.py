@@ -356,6 +356,12 @@ def draft_class(candidates: DataFrame, profiles: DataFrame, season_start: int) -
     return candidates.join(cls, ["league", "player_id"], "left_semi")
 
 
+def unknown_draft(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Candidates per league left out because their profile has no draft year."""
+    return candidates.join(profiles.filter(F.col("draft_year").isNull()).select("league", "player_id"),
+                           ["league", "player_id"], "left_semi").groupBy("league").agg(F.count(F.lit(1)).alias("undrafted"))
+
+
 def live_roy(candidates: DataFrame, profiles: DataFrame, lines: DataFrame, teams: DataFrame,
              season_start: int, size: int | None = K.RACE_SIZE) -> DataFrame:
     """In-season rookie race over the draft class of the season's start year."""
