@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.core import half_up
+from ..functions.core import first_by, half_up
 from ..operators import boards as B
 from ..operators import features as X
 from ..operators import lineup as L
 from ..operators import projections as P
+from ..sources.staging import stage
 from . import bindings as D
 from . import sqlparts as Q
 from .board_queries import fact, season_inputs, totals
@@ -210,9 +211,9 @@ _POOL = f"""pool AS (SELECT *, ts::DATE AS slate, {hu('projected_points', 6)} AS
 def slate_pool(spark, d):
     """Each player once per day, with the better of two games."""
     p = projections(spark, d).withColumn("slate", F.to_date("ts"))
-    from ..functions.core import first_by
-    return first_by(p.select("slate", "player_id", "game_id", "position", "projected_points"),
+    best = first_by(p.select("slate", "player_id", "game_id", "position", "projected_points"),
                     ["slate", "player_id"], [-F.col("projected_points"), F.col("game_id")])
+    return stage(best, "slates")  # the line-up reads its pool more than once
 
 
 @query("best_lineup", f"""WITH {_ASOF_CTE}, {_PROJ}, {_POOL}

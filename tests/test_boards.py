@@ -103,3 +103,36 @@ def test_season_races_equal_single_boards(spark):
     for name, df in parts.items():
         want = {(x.season, x["rank"], x.player_id, x.score) for x in df.collect()}
         assert {(x.season, x["rank"], x.player_id, x.score) for x in allr.filter(F.col("race") == name).collect()} == want, name
+
+
+def test_live_races(spark):
+    cand = spark.createDataFrame([("nba", 1, 7), ("nba", 2, 7), ("nba", 3, 8)], "league string, player_id bigint, team_id bigint")
+    lines = totals(spark, [dict(player_id=i, gp=g, pts=p) for i, g, p in ((1, 10, 100), (2, 5, 100), (3, 4, 90))]).drop(
+        "team_abbrev", "starts", "minutes", "season", "season_start")
+    teams = spark.createDataFrame([("nba", 7, "AAA"), ("nba", 8, "BBB")], "league string, team_id bigint, abbrev string")
+    stand = spark.createDataFrame([("nba", 7, 3, 1), ("nba", 8, 0, 0)], "league string, team_id bigint, wins int, losses int")
+    rows = by(B.live_mvp(cand, lines, teams, stand), "player_id", "score", "win_pct")
+    assert rows == {1: (9.0, 0.75), 2: (18.0, 0.75)}
+    assert by(B.live_mvp(cand, lines, teams, None), "player_id", "score", "wins") == {1: (8.0, None), 2: (16.0, None)}
+    prof = spark.createDataFrame([("nba", 1, "Ann", 2020), ("nba", 2, "Bo", None), ("nba", 3, "Cy", 2019)], "league string, player_id bigint, player_name string, draft_year int")
+    assert by(B.live_roy(cand, prof, lines, teams, 2020), "player_id", "player_name") == {1: "Ann"}
+    assert B.unknown_draft(cand, prof).first().undrafted == 1
+
+
+def test_kpi_and_summary(spark):
+    b = box(spark, [dict(game_id=1, pts=10), dict(game_id=2, pts=20, min=0)])
+    g = games(spark, [dict(game_id=1), dict(game_id=3, date="2021-02-01T00:00:00Z", status="STATUS_SCHEDULED"), dict(game_id=4, date="2020-12-01T00:00:00Z", status="STATUS_POSTPONED")])
+    t, r = B.player_totals(b), B.team_records(g)
+    k = B.kpi_strip(b, g, t, B.qualifiers(r), "2021-01-15").first()
+    assert (k.games_collected, str(k.next_tip), k.top_ppg) == (2, "2021-02-01 00:00:00", 15.0)
+    s = B.dataset_summary(b).first()
+    assert (s.n_rows, s.n_games, s.share_played) == (2, 2, 0.5)
+    order = spark.createDataFrame([("nba", "2021-22", 0), ("nba", "2020-21", 1)], "league string, season string, priority int")
+    assert B.first_season_with_rows(b, order).count() == 2
+
+
+def test_one_player_with_most_rows(spark):
+    """A key with a third of all rows gives the same totals as a plain sum."""
+    rows = [dict(game_id=i, player_id=1 if i % 3 == 0 else i, pts=i % 7, team_abbrev=f"T{i % 4}") for i in range(1, 600)]
+    got = by(B.player_totals(box(spark, rows)), "player_id", "gp", "pts")
+    assert got[1] == (199 + 1, sum(i % 7 for i in range(1, 600) if i % 3 == 0 or i == 1))

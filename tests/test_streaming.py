@@ -107,6 +107,26 @@ def test_snapshot_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(table).select("season").distinct().count() == 2
 
 
+def test_file_streams(spark, tmp_path):
+    """The same rules behind real streams: one file per pull, oldest first."""
+    none = spark.createDataFrame([], "league string, season string, failures int")
+    schema = spark.createDataFrame([snap(0, 0, 1.0)], SNAP).schema
+    src, table = str(tmp_path / "arrivals"), str(tmp_path / "kept")
+    days = [1.0, 2.0, 2.0, 3.0]
+    for i, v in enumerate(days):
+        spark.createDataFrame([snap(i, 0, v)], SNAP).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        T.ingest_snapshots(stream, table, str(tmp_path / "ck1")).awaitTermination()
+    assert sorted((r.snap_date, r.score) for r in spark.read.parquet(table).collect()) == fold([snap(i, 0, v) for i, v in enumerate(days)])
+
+    pulls, stored = str(tmp_path / "pulls"), str(tmp_path / "schedule")
+    base = games(spark, [dict(game_id=i, home_score=None if i == 2 else 1) for i in (1, 2)]).withColumn("feed", F.lit(0))
+    for pull in (base, games(spark, [dict(game_id=i) for i in (1, 2)]).withColumn("feed", F.lit(0))):
+        pull.coalesce(1).write.mode("append").parquet(pulls)
+        T.ingest_schedule(spark.readStream.schema(base.schema).parquet(pulls), stored, str(tmp_path / "ck2"), "feed", none).awaitTermination()
+    assert {r.game_id: r.home_score for r in spark.read.parquet(stored).collect()} == {1: 100, 2: 100}
+
+
 def test_snapshot_views(spark):
     rows = [("nba", "2020-21", dt.date(2021, 1, d), "mvp", r, p, f"P{p}", float(s)) for d, r, p, s in
             ((1, 1, 1, 9), (1, 2, 2, 8), (2, 1, 2, 9), (2, 2, 1, 8), (2, 3, 3, 7))]
