@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scoring as S
-from ..functions.core import half_up
+from ..functions.core import half_up, nz, ratio
 from . import hotkeys as H
 
 PLAYER = ("league", "player_id")
@@ -163,12 +163,27 @@ def daily_means(rows: DataFrame, score: str = "fantasy_points", grain: str = "da
 
 
 def baseline(rows: DataFrame, score: str = "fantasy_points", grain: str = "day") -> DataFrame:
-    """Mean of all earlier daily means.  The ordered window runs on the day table only."""
-    w = Window.partitionBy("league").orderBy("season_start", "slot").rowsBetween(
-        Window.unboundedPreceding, -1)
-    days = daily_means(rows, score, grain)
-    return days.select("league", "season", "slot",
-                       F.avg("day_mean").over(w).alias("new_player_baseline"))
+    """Mean of all earlier slot means per league.
+
+    The league-wide order runs over a day table only (at most 366 rows per year).  Instants add a
+    second level: a running sum inside each day on top of the prefix over days, so no task ever
+    holds all instants of a league.
+    """
+    slots = daily_means(rows, score, grain)
+    before = (Window.unboundedPreceding, -1)
+    if grain == "day":
+        w = Window.partitionBy("league").orderBy("season_start", "slot").rowsBetween(*before)
+        return slots.select("league", "season", "slot", F.avg("day_mean").over(w).alias("new_player_baseline"))
+    keys = ["league", "season_start", "_day"]
+    slots = slots.withColumn("_day", F.to_date("slot"))
+    inner = Window.partitionBy(*keys).orderBy("slot").rowsBetween(*before)
+    outer = Window.partitionBy("league").orderBy("season_start", "_day").rowsBetween(*before)
+    days = slots.groupBy(*keys).agg(F.sum("day_mean").alias("_s"), F.count("day_mean").alias("_n")).select(
+        *keys, F.sum("_s").over(outer).alias("_s0"), F.sum("_n").over(outer).alias("_n0"))
+    out = slots.withColumn("_s1", F.sum("day_mean").over(inner)).withColumn(
+        "_n1", F.count("day_mean").over(inner)).join(F.broadcast(days), keys, "left")
+    return out.select("league", "season", "slot", ratio(
+        nz("_s0") + nz("_s1"), nz("_n0") + nz("_n1")).alias("new_player_baseline"))
 
 
 def with_baseline(rows: DataFrame, score: str = "fantasy_points", grain: str = "day") -> DataFrame:

@@ -46,21 +46,19 @@ def with_blocks(df: DataFrame, keys: Sequence[str], block: Column, hot: list[tup
             .withColumn(BLOCK, F.when(F.col("_hot"), block)).drop("_hot"))
 
 
-def with_halo(blocked: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-              lookback: int, source: Column | None = None) -> DataFrame:
+def with_halo(blocked: DataFrame, keys: Sequence[str], order: Sequence[str], lookback: int) -> DataFrame:
     """Adds, for every block of a hot key, copies (``_halo`` true) of the last ``lookback``
-    rows before it.  ``source`` restricts which rows may be copied."""
+    rows before it."""
     cols = blocked.columns
     hot = blocked.filter(F.col(BLOCK).isNotNull())
-    eligible = hot if source is None else hot.filter(source)
-    back = Window.partitionBy(*keys, BLOCK).orderBy(*[_reverse(o) for o in order])
-    tails = (eligible.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= lookback)
+    back = Window.partitionBy(*keys, BLOCK).orderBy(*[F.desc(o) for o in order])
+    tails = (hot.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= lookback)
              .select(*keys, F.col(BLOCK).alias("_b"), F.struct(*cols).alias("_row")))
     # per hot key at most (blocks x lookback) tail rows; gather the last ones before each block
     starts = hot.select(*keys, F.col(BLOCK).alias("_b")).distinct().withColumn(
         "_row", F.lit(None).cast(tails.schema["_row"].dataType))
     seq = Window.partitionBy(*keys).orderBy("_b", F.col("_row").isNotNull(), *[
-        F.col(f"_row.{_name(o)}") for o in order]).rowsBetween(Window.unboundedPreceding, -1)
+        F.col(f"_row.{o}") for o in order]).rowsBetween(Window.unboundedPreceding, -1)
     # a start marker sorts before the tails of its own block
     near = tails.unionByName(starts)
     kept = near.withColumn("_seen", F.count("_row").over(seq))
@@ -124,13 +122,3 @@ def open_log(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Co
     blocked = with_blocks(df, keys, block, hot)
     return Log(with_halo(blocked, keys, order, lookback), [*keys, BLOCK],
                block_counts(blocked, keys, within))
-
-
-def _name(o: Column | str) -> str:
-    if not isinstance(o, str):
-        raise TypeError("order columns are given by name")
-    return o
-
-
-def _reverse(o: Column | str) -> Column:
-    return F.desc(_name(o))
