@@ -42,7 +42,7 @@ def made(c: Column | str) -> Column:
 def attempted(c: Column | str) -> Column:
     """'6-13' -> 13 (everything after the first hyphen)."""
     s = as_col(c)
-    return F.when(s.contains("-"), to_long(F.regexp_extract(s, r"^[^-]*-(.*)$", 1)))
+    return F.when(s.contains("-"), to_long(F.substr(s, F.locate("-", s) + 1)))
 
 
 def leading_number(c: Column | str) -> Column:
