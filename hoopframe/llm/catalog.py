@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing
+from . import bpe, exact_dedup, line_dedup, mixing, token_counts
 from .common import documents
 
 QUERIES: dict = {}
@@ -21,6 +22,25 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    return bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+
+
+@query("op1_byte_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.decode(encoded(documents(spark, sf_dir)), RANKS)
+    return tokens.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 EXACT_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
