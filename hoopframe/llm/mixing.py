@@ -20,7 +20,7 @@ from .common import WORD
 
 #: Costs of a token's first, second and third use (convex).
 COSTS = (0, 1, 4)
-#: Patterns and sources the driver's flow solver takes; more is an error, never a cut.
+#: Patterns the driver's flow solver takes; more is an error, never a cut. It also bounds the broadcast plan.
 MOST_PATTERNS = 200_000
 
 
@@ -195,7 +195,7 @@ def with_copies(docs: DataFrame, members: Column, size: Column, id_col: str = "d
     def applied(df: DataFrame) -> DataFrame:
         upto = (F.col("draw") < F.col("cut_draw")) | ((F.col("draw") == F.col("cut_draw")) & (F.col("doc_id") <= F.col("cut_id")))
         extra = F.coalesce((F.col("rest") > 0) & (F.col("size") > 0) & upto, F.lit(False))
-        return df.join(plan, "pattern").withColumn("copies", F.col("whole") + extra.cast("long"))
+        return df.join(F.broadcast(plan), "pattern").withColumn("copies", F.col("whole") + extra.cast("long"))
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("doc_id"), pattern.alias("pattern"),
                        size.alias("size"), draw.alias("draw"))
