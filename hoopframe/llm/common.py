@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from hoopframe.sources.staging import stage
 #: The white space of every contract, as characters and as a class for regular expressions.
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +27,15 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches handed to Python workers: long texts must not fill a worker."""
+    """Bound the Arrow batches handed to Python workers, so that long texts don't fill a worker.
+
+    Workers also look for this library where the driver has it, besides their installed packages.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    paths = spark.sparkContext.environment
+    held = [p for p in paths.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in held:
+        paths["PYTHONPATH"] = os.pathsep.join([*held, ROOT])
 
 
 def slices(texts: list, most: int = 8_000_000):
