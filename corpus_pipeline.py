@@ -6,24 +6,42 @@ read again as the next one's input.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hoopframe.llm import exact_dedup, mixing
+from hoopframe.llm import bpe, exact_dedup, minhash, mixing, quality
 from hoopframe.llm.common import documents
 from hoopframe.sources.staging import stage
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the learned ones go (operator 4)."""
+    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each distinct text stays (operator 6)."""
     return exact_dedup.drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, 0.8 (operator 8)."""
+    return minhash.drop_near(docs, k=5, percent=80)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, repeats as repeated rows (operator 10)."""
     return mixing.mixed(docs)
 
 
-STAGES = [("exact_dedup", exact), ("mix_sources", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every row (operator 1)."""
+    tokens = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return tokens.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality_rules", good), ("exact_dedup", exact), ("minhash_near_dedup", near), ("mix_sources", mix), ("byte_bpe", encode)]
 
 #: Learned rules, links by similarity and subword ids have no SQL form; tests hold the stages against plain loops.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, quality, token_counts
+from . import bpe, exact_dedup, line_dedup, minhash, mixing, quality, token_counts
 from .common import documents
 
 QUERIES: dict = {}
@@ -85,6 +85,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("op8_minhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(documents(spark, sf_dir), k=4, percent=80)
+
+
 @query("op10_mix_sources")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = mixing.mix_by_source(documents(spark, sf_dir))
