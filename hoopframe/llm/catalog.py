@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, minhash, mixing, quality, token_counts
+from . import bpe, exact_dedup, line_dedup, minhash, mixing, quality, suffixes, token_counts, windows
 from .common import documents
 
 QUERIES: dict = {}
@@ -90,6 +90,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(documents(spark, sf_dir), k=4, percent=80)
 
 
+@query("op5_compact_windows")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.near_passages(documents(spark, sf_dir))
+
+
+@query("op9_suffix_arrays")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(documents(spark, sf_dir))
+
+
 @query("op10_mix_sources")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = mixing.mix_by_source(documents(spark, sf_dir))
