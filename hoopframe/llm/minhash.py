@@ -132,6 +132,15 @@ def unshared(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return seen.where("doc_id = other").groupBy("doc_id").agg(F.count("*").alias("n_alone"))
 
 
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (v, component) after the components that new links (a, b) connect have become one."""
+    ends = links.select("a", "b").join(labels.select(F.col("v").alias("a"), F.col("component").alias("ca")), "a")
+    ends = ends.join(labels.select(F.col("v").alias("b"), F.col("component").alias("cb")), "b")
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "near-components")
+    joined = joined.select(F.col("v").alias("component"), F.col("component").alias("to"))
+    return labels.join(joined, "component", "left").select("v", F.coalesce("to", "component").alias("component"))
+
+
 def near_links(signed: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text"):
     """(classes, labels): m1, m2, n_shingles -> rep, and rep (v) -> component for linked representatives.
 
@@ -139,7 +148,7 @@ def near_links(signed: DataFrame, docs: DataFrame, k: int, percent: int, id_col:
     unless set sizes (n) and shared shingles rule a link out. The first center is the smallest
     id. Then s, the shingles shared with anyone, is counted, and the member that shares most
     meets all others: each shares i shingles with it and s - i others, so the intersection of
-    two members is at most the sum of both smaller parts. From then on each round has four
+    two members is at most the sum of both smaller parts. From then on each round has 16
     times as many centers, drawn by a hash.
     """
     spark = signed.sparkSession
@@ -152,12 +161,11 @@ def near_links(signed: DataFrame, docs: DataFrame, k: int, percent: int, id_col:
     live = stage(members.join(shared, "bucket").distinct()
                  .withColumns({"s": F.col("n"), "i": F.lit(0).cast("long")}), "near-buckets")
     texts = stage(id_text(docs, id_col, text_col).join(live.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "near-texts")
-    empty = spark.createDataFrame([], "a long, b long")
-    links, done, labels = empty, empty, spark.createDataFrame([], "v long, component long")
+    labels = live.select(F.col("doc_id").alias("v"), F.col("doc_id").alias("component")).distinct()
+    done = spark.createDataFrame([], "a long, b long")
     turn, centers = 0, 1
     while True:
-        state = (live.join(labels, live["doc_id"] == labels["v"], "left")
-                 .select("bucket", "doc_id", "n", "s", "i", F.coalesce("component", "doc_id").alias("comp")))
+        state = live.join(labels, live["doc_id"] == labels["v"]).select("bucket", "doc_id", "n", "s", "i", F.col("component").alias("comp"))
         best = F.struct((-F.col("s") / F.col("n")).alias("order") if turn else F.lit(0.0).alias("order"), "doc_id")
         open_ = (state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"),
                                              F.min(best).alias("best")).where("lo < hi")
@@ -175,10 +183,7 @@ def near_links(signed: DataFrame, docs: DataFrame, k: int, percent: int, id_col:
         pairs = stage(pairs if turn == 1 else pairs.join(done, ["a", "b"], "left_anti"), "near-pairs")
         done = done.unionByName(pairs)
         met = stage(measure(pairs, texts, k, percent), "near-links")
-        found = met.where("linked").select("a", "b")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = stage(components(links, "near-components"), "near-labels")
+        labels = stage(relabel(labels, met.where("linked")), "near-labels")
         live = state.where("NOT center").select("bucket", "doc_id", "n", "s", "i", "best")
         if turn == 0:
             alone = stage(unshared(texts, state.select("doc_id").distinct(), k), "near-alone")
@@ -188,7 +193,7 @@ def near_links(signed: DataFrame, docs: DataFrame, k: int, percent: int, id_col:
             live = live.drop("i").join(met.select(F.col("a"), F.col("b"), F.col("same").alias("i")),
                                        (F.least("doc_id", "best") == F.col("a")) & (F.greatest("doc_id", "best") == F.col("b")))
             live = stage(live.select("bucket", "doc_id", "n", "s", "i"), "near-live")
-        turn, centers = turn + 1, centers if turn < 1 else centers * 4
+        turn, centers = turn + 1, centers if turn < 1 else centers * 16
     return classes, labels
 
 
