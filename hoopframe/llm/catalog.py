@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, minhash, mixing, quality, suffixes, token_counts, windows
+from . import bpe, exact_dedup, line_dedup, lm, minhash, mixing, quality, suffixes, token_counts, windows
 from .common import documents
 
 QUERIES: dict = {}
@@ -41,6 +41,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op3_lm_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), RANKS)
+
+
 @query("op4_quality_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
