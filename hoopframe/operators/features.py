@@ -1,7 +1,7 @@
 """Leak-free features per player-game: every value uses earlier rows only.
 
 Order of a log is (season_start, ts, game_id).  Player and team windows run through
-``hotkeys.open_log``; one sort serves all columns of a pass.
+``logs.open_log``; one sort serves all columns of a pass.
 """
 
 from __future__ import annotations
@@ -14,18 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scoring as S
 from ..functions.core import half_up, nz, ratio
-from . import hotkeys as H
+from . import logs as H
 
 PLAYER = ("league", "player_id")
 TEAM = ("league", "team_id")
 ORDER = ("season_start", "ts", "game_id")
 
 
-def day_block(ts: str = "ts") -> Column:
-    """Order-preserving integer per (season, day)."""
-    return F.col("season_start").cast("bigint") * 1_000_000 + F.unix_date(F.to_date(ts))
-
-
 # --- joins that build the fact ----------------------------------------------------------
 
 def with_scores(box: DataFrame, games: DataFrame) -> DataFrame:
@@ -74,12 +69,12 @@ def rest_from(gap_seconds: Column) -> tuple[Column, Column]:
 
 
 def player_form(rows: DataFrame, stats: Sequence[str] = K.ROLLING_STATS,
-                windows: Sequence[int] = K.ROLLING_WINDOWS, **hot) -> DataFrame:
+                windows: Sequence[int] = K.ROLLING_WINDOWS, parts: int | None = None) -> DataFrame:
     """Rolling form, game counts and availability of a player before each game.
 
     All windows share one sort (league, player, block, season, time, game).
     """
-    log = H.open_log(rows, PLAYER, ORDER, day_block(), max([*windows, 5]), **hot)
+    log = H.open_log(rows, PLAYER, ORDER, max([*windows, 5]), parts=parts)
     w = Window.partitionBy(*log.keys).orderBy(*ORDER)
     in_season = Window.partitionBy(*log.keys, "season_start").orderBy("ts", "game_id")
     before = (Window.unboundedPreceding, -1)
@@ -124,19 +119,19 @@ def team_game_table(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return agg.filter(same).select(*keys, *fields), agg.filter(~same).select(*keys)
 
 
-def team_form(team_games: DataFrame, window: int = 5, **hot) -> DataFrame:
+def team_form(team_games: DataFrame, window: int = 5, parts: int | None = None) -> DataFrame:
     """Average score made and allowed over a team's last ``window`` games before each game."""
-    log = H.open_log(team_games, TEAM, ORDER, day_block(), window, **hot)
+    log = H.open_log(team_games, TEAM, ORDER, window, parts=parts)
     f = Window.partitionBy(*log.keys).orderBy(*ORDER).rowsBetween(-window, -1)
     out = log.finish(log.rows.select("*", F.avg("team_score").over(f).alias("form_pf"),
                                      F.avg("opp_score").over(f).alias("form_pa")))
     return out.select("league", "season", "game_id", "team_id", "form_pf", "form_pa")
 
 
-def with_team_form(rows: DataFrame, window: int = 5, **hot) -> DataFrame:
+def with_team_form(rows: DataFrame, window: int = 5) -> DataFrame:
     """Own and opponent form joined onto player rows."""
     good, _ = team_game_table(rows)
-    return join_team_form(rows, team_form(good, window, **hot))
+    return join_team_form(rows, team_form(good, window))
 
 
 def join_team_form(rows: DataFrame, form: DataFrame) -> DataFrame:
@@ -201,13 +196,12 @@ def join_baseline(rows: DataFrame, b: DataFrame, grain: str) -> DataFrame:
 
 # --- everything ------------------------------------------------------------------------------
 
-def feature_table(rows: DataFrame, grain: str = "day", hot_players: list[tuple] | None = None,
-                  hot_teams: list[tuple] | None = None) -> DataFrame:
+def feature_table(rows: DataFrame, grain: str = "day") -> DataFrame:
     """All features on the fact from ``player_games``."""
-    form = player_form(rows, hot=hot_players)
+    form = player_form(rows)
     good, _ = team_game_table(rows)
     days = baseline(rows, grain=grain)
-    out = join_team_form(form, team_form(good, hot=hot_teams))
+    out = join_team_form(form, team_form(good))
     return join_baseline(out, days, grain)
 
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..sources.staging import stage
 from . import features as X
-from . import hotkeys as H
+from . import logs as H
 
 
 def horizon(games: DataFrame, today: str, days: int = K.PROJECTION_HORIZON_DAYS) -> DataFrame:
@@ -25,8 +26,8 @@ def horizon(games: DataFrame, today: str, days: int = K.PROJECTION_HORIZON_DAYS)
 
 
 def only_games(games: DataFrame, ids: DataFrame) -> DataFrame:
-    """Keep the games whose id is listed."""
-    return games.join(ids.select("game_id"), "game_id", "left_semi")
+    """Keep the games listed by league and id."""
+    return games.join(ids.select("league", "game_id"), ["league", "game_id"], "left_semi")
 
 
 def drop_null_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -63,9 +64,9 @@ def asof_day(states: DataFrame, targets: DataFrame, keys: Sequence[str]) -> Data
 
 
 def player_states(history: DataFrame, stats: Sequence[str] = K.ROLLING_STATS,
-                  windows: Sequence[int] = K.ROLLING_WINDOWS, **hot) -> DataFrame:
+                  windows: Sequence[int] = K.ROLLING_WINDOWS, parts: int | None = None) -> DataFrame:
     """State after the last game of each (player, day): inclusive form, counts, last game."""
-    log = H.open_log(history, X.PLAYER, X.ORDER, X.day_block(), max([*windows, 5]) - 1, **hot)
+    log = H.open_log(history, X.PLAYER, X.ORDER, max([*windows, 5]) - 1, parts=parts)
     w = Window.partitionBy(*log.keys).orderBy(*X.ORDER)
     in_season = Window.partitionBy(*log.keys, "season_start").orderBy("ts", "game_id")
     upto = (Window.unboundedPreceding, 0)
@@ -75,7 +76,7 @@ def player_states(history: DataFrame, stats: Sequence[str] = K.ROLLING_STATS,
         F.count(log.own()).over(w.rowsBetween(*upto)).alias("career"),
         F.count(log.own()).over(in_season.rowsBetween(*upto)).alias("in_season"),
         F.sum(X._played_flag()).over(w.rowsBetween(-4, 0)).alias("games_played_last_5"),
-        F.lead("day").over(w).alias("_next")), "career", "in_season")
+        F.lead("day").over(w).alias("_next")), "career", "in_season", ("_next", F.to_date("_next_first.ts")))
     state = F.struct(*[F.col(n) for n, _ in form], "career", "in_season", "season",
                      F.col("min").alias("last_min"), F.col("ts").alias("last_ts"), "games_played_last_5")
     return last_of_day(rows).select(*X.PLAYER, "day", state.alias("state"))
@@ -86,14 +87,14 @@ def last_of_day(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("_next").isNull() | (F.col("_next") != F.col("day"))).drop("_next")
 
 
-def team_states(team_games: DataFrame, window: int = 5, **hot) -> DataFrame:
+def team_states(team_games: DataFrame, window: int = 5, parts: int | None = None) -> DataFrame:
     """Form of a team after its last game of each day."""
-    log = H.open_log(team_games, X.TEAM, X.ORDER, X.day_block(), max(window - 1, 1), **hot)
+    log = H.open_log(team_games, X.TEAM, X.ORDER, max(window - 1, 1), parts=parts)
     w = Window.partitionBy(*log.keys).orderBy(*X.ORDER)
     f = w.rowsBetween(-window + 1, 0)
     rows = log.finish(log.rows.withColumn("day", F.to_date("ts")).select(
         *log.rows.columns, "day", F.avg("team_score").over(f).alias("pf"),
-        F.avg("opp_score").over(f).alias("pa"), F.lead("day").over(w).alias("_next")))
+        F.avg("opp_score").over(f).alias("pa"), F.lead("day").over(w).alias("_next")), next_first=("_next", F.to_date("_next_first.ts")))
     return last_of_day(rows).select(*X.TEAM, "day", F.struct("pf", "pa").alias("state"))
 
 
@@ -108,16 +109,14 @@ def baseline_states(history: DataFrame, score: str = "fantasy_points") -> DataFr
 
 def projection_rows(history: DataFrame, upcoming: DataFrame, roster: DataFrame,
                     stats: Sequence[str] = K.ROLLING_STATS,
-                    windows: Sequence[int] = K.ROLLING_WINDOWS,
-                    hot_players: list[tuple] | None = None,
-                    hot_teams: list[tuple] | None = None) -> DataFrame:
+                    windows: Sequence[int] = K.ROLLING_WINDOWS) -> DataFrame:
     """Feature-ready rows for every upcoming (game, player)."""
-    rows = placeholders(upcoming, roster).withColumn("day", F.to_date("ts"))
-    ps = asof_day(player_states(history, stats, windows, hot=hot_players), rows, list(X.PLAYER)).withColumnRenamed("state", "p")
+    rows = stage(placeholders(upcoming, roster).withColumn("day", F.to_date("ts")), "placeholders")  # read by five branches
+    ps = asof_day(player_states(history, stats, windows), rows, list(X.PLAYER)).withColumnRenamed("state", "p")
     good, _ = X.team_game_table(history)
     teams = rows.select("league", "team_id", "day").unionByName(
         rows.select("league", F.col("opponent_id").alias("team_id"), "day"))
-    ts = asof_day(team_states(good, hot=hot_teams), teams, list(X.TEAM))
+    ts = asof_day(team_states(good), teams, list(X.TEAM))
     bs = asof_day(baseline_states(history), rows, ["league"]).withColumnRenamed("state", "b")
     out = (rows.join(ps, [*X.PLAYER, "day"], "left")
            .join(ts.withColumnRenamed("state", "t"), [*X.TEAM, "day"], "left")

@@ -248,8 +248,8 @@ _EW = "PARTITION BY player_id ORDER BY ts, game_id"
  row_number() OVER ({_EW})-1 AS career_game_count,
  sum(("min">0)::INT::DOUBLE) OVER ({_EW} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS games_played_last_5 FROM ev""")
 def event_form(spark, d):
-    """The same windows on a second log, with the hot-key path forced for every key."""
-    f = X.player_form(D.event_log(spark, d), ("score",), (3, 10), floor=0)
+    """The same windows on a second log, in many ranges."""
+    f = X.player_form(D.event_log(spark, d), ("score",), (3, 10), parts=64)
     cols = ["score_avg_last_3", "score_avg_last_10"]
     return six(f.select("game_id", "player_id", *cols, "career_game_count", "games_played_last_5"), cols)
 

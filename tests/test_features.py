@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tables import box, by, games
 
 from hoopframe.operators import features as X
-from hoopframe.operators import hotkeys as H
 from hoopframe.operators import projections as P
 from hoopframe.operators import quality as V
 
@@ -101,23 +100,35 @@ FORM = ("fantasy_points_avg_last_3", "fantasy_points_avg_last_10", "career_game_
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_hot_keys_give_the_same_features(spark, seed):
+def test_ranges_do_not_change_features(spark, seed):
     df = log(spark, seed)
     cols = ["game_id", *FORM]
-    plain = X.player_form(df, ("fantasy_points",), (3, 10), hot=[])
-    hot = X.player_form(df, ("fantasy_points",), (3, 10), hot=[("nba", 1), ("nba", 2)])
-    found = X.player_form(df, ("fantasy_points",), (3, 10), share=3, floor=0)
-    want = sorted(map(tuple, plain.select(*cols).collect()))
-    assert sorted(map(tuple, hot.select(*cols).collect())) == want
-    assert sorted(map(tuple, found.select(*cols).collect())) == want
-    a = sorted(map(str, P.player_states(df, ("fantasy_points",), (3, 10), hot=[]).collect()))
-    assert sorted(map(str, P.player_states(df, ("fantasy_points",), (3, 10), hot=[("nba", 1)]).collect())) == a
+    one = X.player_form(df, ("fantasy_points",), (3, 10), parts=1)
+    many = X.player_form(df, ("fantasy_points",), (3, 10), parts=23)
+    assert sorted(map(tuple, many.select(*cols).collect())) == sorted(map(tuple, one.select(*cols).collect()))
+    a = sorted(map(str, P.player_states(df, ("fantasy_points",), (3, 10), parts=1).collect()))
+    assert sorted(map(str, P.player_states(df, ("fantasy_points",), (3, 10), parts=23).collect())) == a
 
 
-def test_hot_key_probe(spark):
-    df = log(spark, 3)
-    assert H.hot_keys(df, ["league", "player_id"], share=3, floor=0) == [("nba", 1)]
-    assert H.hot_keys(df, ["league", "player_id"]) == []
+def test_one_key_and_day_with_most_rows(spark):
+    """90 % of the rows under one key on one day, and a null key, in more ranges than keys."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        p = rng.choice([7] * 18 + [8, None])
+        t = dt.datetime(2020, 12, 1, rng.randint(0, 23), rng.randint(0, 59)) if p == 7 else dt.datetime(2020, 11, rng.randint(1, 28))
+        rows.append(("nba", "2020-21", 2020, i, t, p, rng.choice([None, 0, 10]), float(rng.randint(0, 40))))
+    df = spark.createDataFrame(rows, "league string, season string, season_start int, game_id bigint, ts timestamp, player_id bigint, min int, fantasy_points double")
+    pdf = df.toPandas().sort_values(["ts", "game_id"])
+    got = {r.game_id: r for r in X.player_form(df, ("fantasy_points",), (3, 10), parts=40).collect()}
+    assert len(got) == len(rows)
+    for _, g in pdf.groupby("player_id", dropna=False):
+        want = g["fantasy_points"].shift(1).rolling(10, min_periods=1).mean()
+        for k, (i, w) in enumerate(zip(g["game_id"], want)):
+            assert got[i].career_game_count == k and got[i].season_game_count == k
+            assert got[i].fantasy_points_avg_last_10 == (None if pd.isna(w) else pytest.approx(w))
+    states = P.player_states(df, ("fantasy_points",), (3,), parts=40)
+    assert states.groupBy("league", "player_id", "day").count().filter("count > 1").isEmpty()
 
 
 def test_windows_match_pandas(spark):
@@ -146,5 +157,5 @@ def test_filters(spark):
     g = games(spark, [dict(game_id=1, date="2021-01-01T00:00:00Z", status="S"), dict(game_id=2, date="2021-01-22T00:00:00Z", status="S"),
                       dict(game_id=3, date="2021-01-23T00:00:00Z", status="S"), dict(game_id=4, date="2021-01-05T00:00:00Z")])
     assert sorted(r.game_id for r in P.horizon(g, "2021-01-01").collect()) == [1, 2]
-    assert P.only_games(g, spark.createDataFrame([(3,)], "game_id bigint")).first().game_id == 3
+    assert P.only_games(g, spark.createDataFrame([("nba", 3)], "league string, game_id bigint")).first().game_id == 3
     assert P.drop_null_rows(spark.createDataFrame([(None,), (1,)], "x int"), ["x"]).count() == 1
