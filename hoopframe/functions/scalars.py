@@ -186,11 +186,11 @@ def game_buckets(ts: Column | str) -> Column:
 
 
 def gap_days(last_regular: Column | str, first_post: Column | str,
-             most: int = K.GAP_PROBE_DAYS) -> Column:
-    """Days strictly between two dates, at most ``most`` of them."""
+             most: int | None = None) -> Column:
+    """Days strictly between two dates (the first ``most`` of them, if given)."""
     lo = F.date_add(F.to_date(as_col(last_regular)), 1)
     hi = F.date_sub(F.to_date(as_col(first_post)), 1)
-    return F.when(lo <= hi, F.sequence(lo, F.least(hi, F.date_add(lo, most - 1)))).otherwise(
+    return F.when(lo <= hi, F.sequence(lo, hi if most is None else F.least(hi, F.date_add(lo, most - 1)))).otherwise(
         F.array().cast("array<date>"))
 
 

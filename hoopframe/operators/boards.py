@@ -57,12 +57,13 @@ def attempt_floor(category: str) -> Column:
 # --- aggregates ------------------------------------------------------------------------
 
 def player_totals(box: DataFrame, by: Sequence[str] = BY,
-                  stats: Sequence[str] = K.SEASON_STATS) -> DataFrame:
+                  stats: Sequence[str] = K.SEASON_STATS, first_team: bool = False) -> DataFrame:
     """gp, starts, minutes, summed stats, first-seen name and primary team per player.
 
     Two aggregations: per (player, name, team), then per player, so that the team with most
     appearances (tie: met first in game-id text order) needs no second scan.  The first one
     carries numbers only, which keeps it a hash aggregate with map-side partial sums.
+    ``first_team`` names the team of the first appearance instead.
     """
     per_team = appeared(box).groupBy(*by, "player_id", "player_name", "team_abbrev").agg(
         F.count(F.lit(1)).alias("gp"),
@@ -76,7 +77,7 @@ def player_totals(box: DataFrame, by: Sequence[str] = BY,
     named = F.coalesce(F.col("team_abbrev") != "", F.lit(False))
     return teams.groupBy(*by, "player_id").agg(
         F.min_by("player_name", "_seen").alias("player_name"),
-        F.min_by("team_abbrev", F.when(named, F.struct(-F.col("gp"), "_seen"))).alias("team_abbrev"),
+        F.min_by("team_abbrev", F.col("_seen") if first_team else F.when(named, F.struct(-F.col("gp"), "_seen"))).alias("team_abbrev"),
         *[F.sum(c).alias(c) for c in ("gp", "starts", "minutes", *stats)])
 
 
@@ -139,7 +140,7 @@ def qualifiers(records: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 def season_leaderboard(box: DataFrame, weights: Mapping[str, float] | None = None,
                        by: Sequence[str] = BY) -> DataFrame:
     """Totals, fantasy score and efficiencies per player, best first per season."""
-    out = S.fantasy_points(player_totals(box, by, K.CAREER_STATS), weights)
+    out = S.fantasy_points(player_totals(box, by, K.CAREER_STATS, first_team=True), weights)
     out = out.select("*", *[c.alias(n) for n, c in S.efficiency().items()])
     return out.orderBy(*by, F.desc("fantasy_points"), "player_id")
 

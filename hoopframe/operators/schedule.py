@@ -16,6 +16,7 @@ from ..functions.core import first_by, nz, ranked
 from ..functions.seasons import current_season_label, latest_completed_season
 
 ALL_TEAMS = "All teams"
+GAME = ("league", "season", "game_id")
 
 
 # --- filters and splits -----------------------------------------------------------------------
@@ -54,12 +55,20 @@ def local_day_games(games: DataFrame, start: str, end: str, zone: str = "UTC") -
     return once.withColumn("time", X.local_stamp("ts", zone)).orderBy("ts", "game_id")
 
 
-def recent_results(games: DataFrame, size: int = K.RECENT_RESULTS) -> DataFrame:
-    return games.filter(F.col("status") == K.FINAL).orderBy(F.desc("ts"), F.desc("game_id")).limit(size)
+def recent_results(games: DataFrame, size: int | None = K.RECENT_RESULTS) -> DataFrame:
+    """The newest finished games of each league, newest first (all of them without a size)."""
+    done = games.filter(F.col("status") == K.FINAL)
+    if size is not None:
+        done = ranked(done, ["league"], [F.desc("ts"), F.desc("game_id")], size, "_n").drop("_n")
+    return done.orderBy("league", F.desc("ts"), F.desc("game_id"))
 
 
-def next_fixtures(games: DataFrame, today: str, zone: str = "UTC", size: int = K.NEXT_FIXTURES) -> DataFrame:
-    return with_state(games, today, zone).filter(F.col("state") == "upcoming").orderBy("ts", "game_id").limit(size)
+def next_fixtures(games: DataFrame, today: str, zone: str = "UTC", size: int | None = K.NEXT_FIXTURES) -> DataFrame:
+    """The next games of each league, earliest first (all of them without a size)."""
+    ahead = with_state(games, today, zone).filter(F.col("state") == "upcoming")
+    if size is not None:
+        ahead = ranked(ahead, ["league"], [F.asc("ts"), F.asc("game_id")], size, "_n").drop("_n")
+    return ahead.orderBy("league", "ts", "game_id")
 
 
 def schedule_order(games: DataFrame) -> DataFrame:
@@ -133,8 +142,9 @@ def bracket_order(games: DataFrame) -> DataFrame:
 
 
 def fill_rounds(games: DataFrame, labels: DataFrame) -> DataFrame:
-    """Label rows without a round from (game_id, round); existing labels stay."""
-    return games.join(labels.select("game_id", F.col("round").alias("_label")), "game_id", "left").withColumn(
+    """Label rows without a round from (league, game_id, round), one label a game; existing labels stay."""
+    one = labels.groupBy("league", "game_id").agg(F.min(F.nullif("round", F.lit(""))).alias("_label"))
+    return games.join(one, ["league", "game_id"], "left").withColumn(
         "round", F.coalesce(F.when(F.trim("round") != "", F.col("round")), "_label", "round")).drop("_label")
 
 
@@ -176,7 +186,7 @@ def upsert_schedule(existing: DataFrame, fresh: DataFrame, source_order: str, fa
 
 def pending_games(games: DataFrame, stored: DataFrame) -> DataFrame:
     """Finished games without a valid stored box score."""
-    return games.filter(F.col("status") == K.FINAL).join(stored.select("game_id"), "game_id", "left_anti")
+    return games.filter(F.col("status") == K.FINAL).join(stored.select(*GAME), list(GAME), "left_anti")
 
 
 def gap_spans(regular: DataFrame, post: DataFrame, by: Sequence[str] = ("league", "season")) -> DataFrame:
@@ -188,7 +198,7 @@ def gap_spans(regular: DataFrame, post: DataFrame, by: Sequence[str] = ("league"
 
 def gap_games(found: DataFrame, post: DataFrame) -> DataFrame:
     """Games seen on gap days that the postseason table does not have yet."""
-    return found.join(post.select("game_id"), "game_id", "left_anti").dropDuplicates(["game_id"])
+    return found.join(post.select(*GAME), list(GAME), "left_anti").dropDuplicates(list(GAME))
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -201,14 +211,15 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 def refresh_positions(existing: DataFrame, fresh: DataFrame, failed_teams: DataFrame) -> DataFrame:
     """Fresh roster rows plus the stored rows of teams whose call failed."""
-    return union_all([fresh, existing.join(failed_teams.select("team_id"), "team_id", "left_semi")])
+    return union_all([fresh, existing.join(failed_teams.select("league", "team_id"), ["league", "team_id"], "left_semi")])
 
 
 # --- seasons ------------------------------------------------------------------------------------------
 
-def available_seasons(games: DataFrame, first_year: int = K.FIRST_KNOWN_SEASON) -> DataFrame:
-    """Season labels with at least one game inside the collection window."""
-    return games.filter(F.col("season_start") >= first_year).select("league", "season", "season_start").distinct()
+def available_seasons(games: DataFrame, first_year: int | None = None) -> DataFrame:
+    """Season labels with at least one game (since ``first_year``, if given)."""
+    since = games if first_year is None else games.filter(F.col("season_start") >= first_year)
+    return since.select("league", "season", "season_start").distinct()
 
 
 def latest_season(games: DataFrame) -> DataFrame:
@@ -295,5 +306,6 @@ def same_content(old: DataFrame, new: DataFrame, ignore: Sequence[str] = K.STAMP
     cols = sorted(c for c in new.columns if c not in ignore)
     if cols != sorted(c for c in old.columns if c not in ignore):
         return False
-    a, b = old.select(*cols), new.select(*cols)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    mark = lambda df: content_hash(df.select(*cols), [], ignore).first()
+    a, b = mark(old), mark(new)
+    return (a["hash"], a["n"]) == (b["hash"], b["n"])

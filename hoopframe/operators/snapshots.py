@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.core import ranked
 from ..functions.seasons import current_season_label, season_label
+from .schedule import content_hash
 
 KEY = ("league", "season")
 ROW = ("race", "rank", "player_id", "player_name", "score")
@@ -20,17 +21,17 @@ def snapshot_rows(races: DataFrame, top: int = K.SNAPSHOT_TOP) -> DataFrame:
     return races.filter(F.col("rank") <= top).select(*KEY, *ROW)
 
 
-def keep_changed(arrivals: DataFrame, cap: int | None = K.SNAPSHOT_CAP) -> DataFrame:
+def keep_changed(arrivals: DataFrame, cap: int | None = None) -> DataFrame:
     """Snapshots that are stored, from all arrivals (league, season, snap_date, arrival, race rows).
 
     A day is stored when any of its arrivals differs from the last content before that day, and
-    holds the day's last arrival; only the newest ``cap`` days stay.  This is the fold "skip when
+    holds the day's last arrival; with a ``cap`` only the newest days stay.  This is the fold "skip when
     equal to the last kept, replace on the same day, else append": the last kept content always
     equals the last arrival's.
     """
     day = [*KEY, "snap_date"]
-    row = F.xxhash64(*ROW)
-    content = arrivals.groupBy(*day, "arrival").agg(F.bit_xor(row).alias("h"), F.count(F.lit(1)).alias("n"))
+    one = [*day, "arrival"]
+    content = content_hash(arrivals.select(*one, *ROW), one, ignore=one).withColumnRenamed("hash", "h")
     last = content.groupBy(*day).agg(F.max_by(F.struct("h", "n"), "arrival").alias("last"), F.max("arrival").alias("arrival"))
     w = Window.partitionBy(*KEY).orderBy("snap_date")
     before = last.withColumn("prev", F.lag("last").over(w)).select(*day, F.col("arrival").alias("_last"), "prev")
@@ -74,13 +75,13 @@ def race_trend(snapshots: DataFrame, top: int = K.TREND_TOP) -> DataFrame:
 def official_vs_top(races: DataFrame, official: DataFrame) -> DataFrame:
     """Race leader against the official winners by name: agree, differs, or null while either is missing.
 
-    ``official`` is (league, season, race, player_name), several winners allowed.
+    ``official`` is (league, season, race, player_name), several winners allowed; all of them are listed.
     """
     by = [*KEY, "race"]
     top = races.filter(F.col("rank") == 1).select(*by, F.col("player_name").alias("top"))
     won = official.filter(F.coalesce(F.col("player_name") != "", F.lit(False)))
     j = won.join(top, by, "full_outer").groupBy(*by).agg(
-        F.max("top").alias("top"), F.min("player_name").alias("official"),
+        F.max("top").alias("top"), F.nullif(F.concat_ws(", ", F.array_sort(F.collect_set("player_name"))), F.lit("")).alias("official"),
         F.bool_or(F.col("player_name") == F.col("top")).alias("_hit"))
     return j.withColumn("verdict", F.when(F.col("top").isNull() | F.col("official").isNull(), F.lit(None)).when(
         F.coalesce("_hit", F.lit(False)), "agree").otherwise("differs")).drop("_hit")
@@ -99,11 +100,16 @@ def finals_tracker(winners: DataFrame, champions: DataFrame, today: str, names:
     return rows.unionByName(pending, allowMissingColumns=True)
 
 
-def other_seasons(tracker: DataFrame, season: str, size: int = K.FINALS_TRACKER_SIZE) -> DataFrame:
-    """Newest tracker rows apart from the selected season."""
-    return tracker.filter(F.col("season") != season).orderBy(F.desc("season"), F.desc("pending"), "player_id").limit(size)
+def other_seasons(tracker: DataFrame, season: str, size: int | None = K.FINALS_TRACKER_SIZE) -> DataFrame:
+    """Newest tracker rows of each league apart from the selected season."""
+    order = [F.desc("season"), F.desc("pending"), F.asc("player_id")]
+    rest = tracker.filter(F.col("season") != season)
+    rest = rest if size is None else ranked(rest, ["league"], order, size, "_n").drop("_n")
+    return rest.orderBy("league", *order)
 
 
-def best_profiles(board: DataFrame, size: int = 4) -> DataFrame:
-    """The best ladder ranks, the default profile selection."""
-    return board.filter(F.col("rank").isNotNull()).orderBy("rank", "player_id").limit(size)
+def best_profiles(board: DataFrame, size: int | None = 4) -> DataFrame:
+    """The best ladder ranks of each league, the default profile selection."""
+    known = board.filter(F.col("rank").isNotNull())
+    known = known if size is None else ranked(known, ["league"], [F.asc("rank"), F.asc("player_id")], size, "_n").drop("_n")
+    return known.orderBy("league", "rank", "player_id")

@@ -159,10 +159,11 @@ def series_mvp(spark, d):
     return B.series_mvp(b, g, by)
 
 
-@query("leaderboard", f"""WITH {Q.BOX}, {Q.TOTALS}, pick AS (SELECT max(season_start) AS s FROM totals)
-SELECT {BY}, player_id, player_name, team_abbrev, gp, starts, minutes,
+@query("leaderboard", f"""WITH {Q.BOX}, {Q.TOTALS}, pick AS (SELECT max(season_start) AS s FROM totals),
+opening AS (SELECT season_start AS s0, player_id AS p0, arg_min(team_abbrev, game_id::VARCHAR) AS first_team FROM box WHERE NOT did_not_play GROUP BY ALL)
+SELECT {BY}, player_id, player_name, first_team AS team_abbrev, gp, starts, minutes,
   {', '.join(f'"{s}"' for s in K.CAREER_STATS)}, {Q.wsum(K.FANTASY_WEIGHTS)} AS fantasy_points, {_EFFS}
-  FROM totals, pick WHERE season_start = s""")
+  FROM totals JOIN opening ON season_start=s0 AND player_id=p0, pick WHERE season_start = s""")
 def leaderboard(spark, d):
     """Totals of the newest season that has games (try-order: newest first)."""
     box = D.box(spark, d)

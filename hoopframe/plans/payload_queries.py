@@ -121,17 +121,24 @@ def flatten_box_score(spark, d):
 
 @query("flatten_standings", f"""WITH {Q.BOX}, {Q.GAMES}, {Q.RECORDS}, s AS (SELECT season, substr(team_abbrev,2)::BIGINT AS team_id, team_abbrev AS team, wins, losses,
  CASE WHEN substr(team_abbrev,2)::BIGINT%2=0 THEN 'Eastern Conference' ELSE 'Western Conference' END AS conference, win_pct FROM records)
-SELECT season, team_id, team, conference, wins, losses, '.'||lpad(floor(win_pct*1000+5e-1)::BIGINT::VARCHAR,3,'0') AS win_percent,
+SELECT season, team_id, team, conference, wins, losses, regexp_replace(printf('%.3f', floor(win_pct*1000+5e-1)/1000e0), '^0', '') AS win_percent,
  row_number() OVER (PARTITION BY season, conference ORDER BY wins DESC, team) AS playoff_seed FROM s""")
 def flatten_standings(spark, d):
-    """Entries sit under conference, division and standings."""
+    """Entries at the root, under a conference, under its division and five levels down, by team."""
     s = standings(spark, d)
     stat = lambda n, c: F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("displayValue"))
     entry = F.struct(F.struct(F.col("team_id").cast("string").alias("id"), F.col("team").alias("displayName")).alias("team"),
                      F.array(stat("wins", "wins"), stat("losses", "losses"), stat("winPercent", "win_percent"),
                              stat("playoffSeed", "playoff_seed"), stat("other", "team")).alias("stats"))
     division = F.struct(F.lit("Division").alias("name"), F.struct(F.array(entry).alias("entries")).alias("standings"))
-    doc = js(children=F.array(F.struct(F.col("conference").alias("name"), F.array(division).alias("children"))))
+    deep = division
+    for name in ("Section", "Group", "Pool"):
+        deep = F.struct(F.lit(name).alias("name"), F.array(deep).alias("children"))
+    under = lambda *kids: js(children=F.array(F.struct(F.col("conference").alias("name"), *kids)))
+    place = F.col("team_id") % 4
+    doc = (F.when(place == 0, under(F.array(division).alias("children"))).when(place == 1, under(F.array(entry).alias("entries")))
+           .when(place == 2, under(F.array(deep).alias("children")))
+           .otherwise(js(name=F.col("conference"), standings=F.struct(F.array(entry).alias("entries")))))
     return P.flatten_standings(s.select("league", "season", doc.alias("payload"))).select(
         "season", "team_id", "team", "conference", "wins", "losses", "win_percent", "playoff_seed")
 
@@ -163,10 +170,10 @@ def flatten_roster(spark, d):
 
 
 def leader_payload(spark, d, t):
-    """One document per season: the top 40 of three categories as links."""
+    """One document per season: all players of three categories as links."""
     long = t.select("season", "player_id", F.col("team_abbrev"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("cat"), F.col(c).alias("v")) for i, c in enumerate(("pts", "reb", "ast"))])).alias("s")).select("*", "s.*")
-    top = ranked(long, ["season", "cat"], [F.desc("v"), F.asc("player_id")], 40)
+    top = ranked(long, ["season", "cat"], [F.desc("v"), F.asc("player_id")], None)
     ref = lambda kind, c: F.struct(F.concat(F.lit(f"http://x/{kind}/"), c.cast("string"), F.lit("?lang=en")).alias("$ref"))
     entry = F.struct("rank", ref("athletes", F.col("player_id")).alias("athlete"), ref("teams", F.substring("team_abbrev", 2, 9).cast("bigint")).alias("team"))
     cats = top.groupBy("season", "cat").agg(F.array_sort(F.collect_list(entry)).alias("leaders"))
@@ -175,7 +182,7 @@ def leader_payload(spark, d, t):
 
 
 _CAND = """long AS (SELECT season, player_id, team_abbrev, 0 AS cat, pts AS v FROM totals UNION ALL SELECT season, player_id, team_abbrev, 1, reb FROM totals UNION ALL SELECT season, player_id, team_abbrev, 2, ast FROM totals),
-top AS (SELECT *, row_number() OVER (PARTITION BY season, cat ORDER BY v DESC, player_id) AS rn FROM long QUALIFY rn<=30),
+top AS (SELECT *, row_number() OVER (PARTITION BY season, cat ORDER BY v DESC, player_id) AS rn FROM long),
 cand AS (SELECT DISTINCT season, player_id, substr(team_abbrev,2)::BIGINT AS team_id FROM top)"""
 
 

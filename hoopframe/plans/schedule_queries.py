@@ -45,12 +45,19 @@ def schedule_split(spark, d):
     return C.schedule_counts(D.games(spark, d), TODAY, ZONE)
 
 
-@query("recent_upcoming", f"""{GAMES}, r AS (SELECT 'recent' AS view, game_id FROM games WHERE status='STATUS_FINAL' ORDER BY ts DESC, game_id DESC LIMIT 15),
-n AS (SELECT 'next' AS view, game_id FROM games WHERE status<>'STATUS_FINAL' AND ts::DATE >= DATE '{TODAY}' ORDER BY ts, game_id LIMIT 25) SELECT * FROM r UNION ALL SELECT * FROM n""")
+def two_leagues(games):
+    """Every third game once more in another league, under the same id."""
+    return games.unionByName(games.filter(F.col("game_id") % 3 == 0).withColumn("league", F.lit("wnba")))
+
+
+@query("recent_upcoming", f"""{GAMES}, two AS (SELECT league, game_id, ts, status FROM games UNION ALL SELECT 'wnba', game_id, ts, status FROM games WHERE game_id%3=0),
+r AS (SELECT 'recent' AS view, league, game_id FROM two WHERE status='STATUS_FINAL' QUALIFY row_number() OVER (PARTITION BY league ORDER BY ts DESC, game_id DESC)<=15),
+n AS (SELECT 'next' AS view, league, game_id FROM two WHERE status<>'STATUS_FINAL' AND ts::DATE >= DATE '{TODAY}' QUALIFY row_number() OVER (PARTITION BY league ORDER BY ts, game_id)<=25) SELECT * FROM r UNION ALL SELECT * FROM n""")
 def recent_upcoming(spark, d):
-    g = D.games(spark, d)
-    return C.recent_results(g).select(F.lit("recent").alias("view"), "game_id").unionByName(
-        C.next_fixtures(g, TODAY).select(F.lit("next").alias("view"), "game_id"))
+    """Two leagues with the same game ids; each has its own newest and next games."""
+    g = two_leagues(D.games(spark, d))
+    return C.recent_results(g).select(F.lit("recent").alias("view"), "league", "game_id").unionByName(
+        C.next_fixtures(g, TODAY).select(F.lit("next").alias("view"), "league", "game_id"))
 
 
 @query("local_day", f"""WITH e AS (SELECT 'wnba' AS league, event_id AS game_id, ts, timezone('{ZONE}', timezone('UTC', ts)) AS lt FROM events)
@@ -104,26 +111,27 @@ def upsert_schedule(spark, d):
     return C.upsert_schedule(g.filter(s != "2001"), fresh, "feed", failed).select("season", "game_id", "home_score")
 
 
-@query("pending_games", f"""{GAMES}, ok AS (SELECT game_id FROM box GROUP BY game_id HAVING count(DISTINCT team_id)>=2)
-SELECT league, season, game_id FROM games WHERE status='STATUS_FINAL' AND game_id NOT IN (SELECT game_id FROM ok)""")
+@query("pending_games", f"""{GAMES}, two AS (SELECT league, season, game_id, status FROM games UNION ALL SELECT 'wnba', season, game_id, status FROM games WHERE game_id%3=0),
+ok AS (SELECT league, season, game_id FROM box GROUP BY ALL HAVING count(DISTINCT team_id)>=2)
+SELECT league, season, game_id FROM two ANTI JOIN ok USING (league, season, game_id) WHERE status='STATUS_FINAL'""")
 def pending_games(spark, d):
     """Finished games whose stored box score is missing a team."""
     from ..streaming.incremental import valid_games
-    return C.pending_games(D.games(spark, d), valid_games(D.box(spark, d))).select("league", "season", "game_id")
+    return C.pending_games(two_leagues(D.games(spark, d)), valid_games(D.box(spark, d))).select("league", "season", "game_id")
 
 
 @query("gap_days", f"""{GAMES}, r AS (SELECT season, max(ts)::DATE AS l FROM games WHERE month(ts)<=4 GROUP BY ALL), p AS (SELECT season, min(ts)::DATE AS f FROM games WHERE month(ts)>=6 AND game_id%40=0 GROUP BY ALL)
-SELECT season, unnest(generate_series(l+1, least(f-1, l+7), INTERVAL 1 DAY))::DATE AS day FROM r JOIN p USING (season)""")
+SELECT season, unnest(generate_series(l+1, f-1, INTERVAL 1 DAY))::DATE AS day FROM r JOIN p USING (season)""")
 def gap_days(spark, d):
     g = stage(D.games(spark, d), "games")
     post = g.filter((F.month("ts") >= 6) & (F.col("game_id") % 40 == 0))
     return C.gap_spans(g.filter(F.month("ts") <= 4), post).select("season", "day")
 
 
-@query("gap_games", f"""{GAMES} SELECT game_id FROM games WHERE month(ts)=5 AND game_id NOT IN (SELECT game_id FROM games WHERE game_id%3=0)""")
+@query("gap_games", f"""{GAMES} SELECT league, game_id FROM games WHERE game_id%3<>0 UNION ALL SELECT 'wnba', game_id FROM games WHERE game_id%3=0""")
 def gap_games(spark, d):
     g = stage(D.games(spark, d), "games")
-    return C.gap_games(g.filter(F.month("ts") == 5), g.filter(F.col("game_id") % 3 == 0)).select("game_id")
+    return C.gap_games(two_leagues(g), g.filter(F.col("game_id") % 3 == 0)).select("league", "game_id")
 
 
 HEADLINES = {"1-URGENT": "EASTERN CONFERENCE 1st ROUND - GAME 1", "2-HIGH": "West Semifinals – Game 1",
@@ -155,7 +163,16 @@ def fill_rounds(spark, d):
     h = headlines(spark, d)
     k = F.col("game_id")
     rows = h.withColumn("round", F.when(k % 4 == 0, "Stored Round").when(k % 4 == 1, ""))
-    return C.fill_rounds(rows, h.withColumn("round", X.round_label("headline"))).select("game_id", "round")
+    labels = h.select(F.lit(D.LEAGUE).alias("league"), "game_id", X.round_label("headline").alias("round"))
+    again = labels.filter(F.col("game_id") % 5 == 0)  # seen in two day buckets
+    other = labels.withColumn("league", F.lit("wnba")).withColumn("round", F.lit("Other League"))
+    rows = rows.withColumn("league", F.lit(D.LEAGUE))
+    return C.fill_rounds(rows, labels.unionByName(again).unionByName(other)).select("game_id", "round")
+
+
+def win_text(share):
+    """Three decimals, without the leading zero: '.682', '1.000'."""
+    return F.regexp_replace(F.format_string("%.3f", F.floor(share * 1000 + 0.5) / 1000), "^0", "")
 
 
 def standings(spark, d):
@@ -167,14 +184,14 @@ def standings(spark, d):
     w = Window.partitionBy("league", "season", conf).orderBy(F.desc("wins"), "team_abbrev")
     seed = F.row_number().over(w)
     return r.select("league", "season", tid.alias("team_id"), F.col("team_abbrev").alias("team"), conf.alias("conference"),
-                    "wins", "losses", F.concat(F.lit("."), F.lpad(F.floor(F.col("win_pct") * 1000 + 0.5).cast("string"), 3, "0")).alias("win_percent"),
+                    "wins", "losses", win_text(F.col("win_pct")).alias("win_percent"),
                     seed.alias("playoff_seed"), F.when(seed == 1, "-").otherwise(seed.cast("string")).alias("games_behind"))
 
 
 @query("standings_view", f"""WITH {Q.BOX}, {Q.GAMES}, {Q.RECORDS}, s AS (SELECT league, season, substr(team_abbrev,2)::BIGINT AS team_id, team_abbrev AS team, wins, losses,
  CASE WHEN substr(team_abbrev,2)::BIGINT%2=0 THEN 'Eastern Conference' ELSE 'Western Conference' END AS conference, win_pct FROM records),
  r AS (SELECT *, row_number() OVER (PARTITION BY league, season, conference ORDER BY wins DESC, team) AS playoff_seed FROM s)
-SELECT league, season, team_id, team, conference, wins, losses, floor(win_pct*1000+5e-1)/1000e0 - CASE WHEN win_pct=1 THEN 9e-1 ELSE 0 END AS win_percent, playoff_seed,
+SELECT league, season, team_id, team, conference, wins, losses, floor(win_pct*1000+5e-1)/1000e0 AS win_percent, playoff_seed,
  CASE WHEN playoff_seed=1 THEN 0e0 ELSE playoff_seed::DOUBLE END AS games_behind, CASE WHEN playoff_seed<=6 THEN 'playoff' WHEN playoff_seed<=10 THEN 'play_in' ELSE '' END AS zone FROM r""")
 def standings_view(spark, d):
     return C.standings_view(standings(spark, d))

@@ -14,6 +14,7 @@ from ..functions import constants as K
 from ..functions import scalars as X
 from ..functions.core import case_map, first_by
 from ..functions.seasons import season_label_from_date
+from .staging import stage
 
 _SIDE = "STRUCT<homeAway: STRING, score: STRING, team: STRUCT<id: STRING, abbreviation: STRING>>"
 _STATUS = ("STRUCT<period: STRING, clock: STRING, displayClock: STRING, "
@@ -223,29 +224,32 @@ _ENTRY = ("STRUCT<team: STRUCT<id: STRING, displayName: STRING, name: STRING>, "
           "stats: ARRAY<STRUCT<name: STRING, displayValue: STRING, value: STRING>>>")
 
 
-def _node(depth: int) -> str:
-    kids = f", children: ARRAY<{_node(depth - 1)}>" if depth > 1 else ""
-    return f"STRUCT<name: STRING, entries: ARRAY<{_ENTRY}>, standings: STRUCT<name: STRING, entries: ARRAY<{_ENTRY}>>{kids}>"
+#: One node of a standings document; its children stay text until their level is walked.
+_NODE = (f"STRUCT<name: STRING, entries: ARRAY<{_ENTRY}>, standings: STRUCT<name: STRING, entries: ARRAY<{_ENTRY}>>, "
+         "children: ARRAY<STRING>>")
 
 
-def flatten_standings(raw: DataFrame, depth: int = 3) -> DataFrame:
-    """One row per team; entries may sit up to ``depth`` levels down, the conference is the nearest
-    level above whose name ends in 'Conference'."""
+def flatten_standings(raw: DataFrame) -> DataFrame:
+    """One row per team; entries may sit at any level, the document's root included. The conference
+    is the nearest level above whose name ends in 'Conference'.
+
+    The document is walked level by level until no node has children.
+    """
     extra = [c for c in raw.columns if c not in ("league", "payload")]
-    level = parsed(raw, f"STRUCT<children: ARRAY<{_node(depth)}>>").select(
-        "league", *extra, F.posexplode("p.children").alias("i", "n")).withColumn("conf", F.col("n.name")).withColumn(
-        "path", F.format_string("%05d", "i")).drop("i")
+    level = raw.select("league", *extra, "payload", F.lit(None).cast("string").alias("conf"), F.lit("").alias("path"))
     parts = []
-    for lv in range(depth):
+    while True:
         conf = lambda c: F.when(c.endswith("Conference"), c).otherwise(F.col("conf"))
-        here = level.withColumn("conf", conf(F.coalesce("n.name", F.lit(""))))
+        here = level.withColumn("n", F.from_json("payload", _NODE)).withColumn("conf", conf(F.coalesce("n.name", F.lit(""))))
         inner = conf(F.coalesce("n.standings.name", F.lit("")))
         for kind, c, e in ((0, F.col("conf"), "n.entries"), (1, inner, "n.standings.entries")):
             parts.append(here.select("league", *extra, c.alias("conference"), "path", F.posexplode(e).alias("pos", "e")).withColumn(
                 "path", F.concat("path", F.lit(f"-{kind}"))))
-        if lv < depth - 1:
-            level = here.select("league", *extra, "conf", "path", F.posexplode("n.children").alias("i", "n")).withColumn(
-                "path", F.concat("path", F.format_string("-2%05d", "i"))).drop("i")
+        below = here.select("league", *extra, "conf", "path", F.posexplode("n.children").alias("i", "payload")).withColumn(
+            "path", F.concat("path", F.format_string("-2%05d", "i"))).drop("i")
+        level = stage(below, "standings-level")
+        if level.isEmpty():
+            break
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -290,12 +294,13 @@ def flatten_roster(raw: DataFrame) -> DataFrame:
 
 # --- leaders, totals, careers ---------------------------------------------------------------------------------
 
-def leader_candidates(raw: DataFrame, per_category: int = K.LEADER_DEPTH) -> DataFrame:
-    """Players among the first entries of any category, each once, with the team of the first hit."""
+def leader_candidates(raw: DataFrame, per_category: int | None = None) -> DataFrame:
+    """Players among the entries of any category (the first ``per_category`` of each, if given), each once, with the team of the first hit."""
     entry = "STRUCT<athlete: STRUCT<`$ref`: STRING>, team: STRUCT<`$ref`: STRING>>"
     df = parsed(raw, f"STRUCT<categories: ARRAY<STRUCT<name: STRING, leaders: ARRAY<{entry}>>>>")
     rows = df.select("league", F.posexplode("p.categories").alias("cat", "c")).select(
-        "league", "cat", F.posexplode("c.leaders").alias("pos", "e")).filter(F.col("pos") < per_category).select(
+        "league", "cat", F.posexplode("c.leaders").alias("pos", "e")).filter(
+        F.lit(True) if per_category is None else F.col("pos") < per_category).select(
         "league", "cat", "pos", X.to_long(X.ref_id("e.athlete.`$ref`")).alias("player_id"),
         X.to_long(X.ref_id("e.team.`$ref`")).alias("team_id")).filter(F.col("player_id").isNotNull())
     return first_by(rows, ["league", "player_id"], ["cat", "pos"]).select("league", "player_id", "team_id")

@@ -24,8 +24,8 @@ GAME_KEY = ("league", "season", "game_id")
 
 def valid_games(box: DataFrame) -> DataFrame:
     """Stored games with player rows of at least two teams."""
-    return box.filter(F.col("team_id").isNotNull()).groupBy("game_id").agg(
-        F.countDistinct("team_id").alias("teams")).filter(F.col("teams") >= 2).select("game_id")
+    return box.filter(F.col("team_id").isNotNull()).groupBy(*GAME_KEY).agg(
+        F.countDistinct("team_id").alias("teams")).filter(F.col("teams") >= 2).select(*GAME_KEY)
 
 
 def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
@@ -48,11 +48,13 @@ def ingest_box_scores(spark: SparkSession, source: str, table: str, rejects: str
               .option("columnNameOfCorruptRecord", "_corrupt"))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    docs = S.with_path_fields(reader.json(source).select("*", F.col("_metadata.file_path").alias("path")))
+    docs = S.with_path_fields(reader.json(source).select("*", F.col("_metadata.file_path").alias("path"),
+                                                         F.col("_metadata.file_modification_time").alias("modified")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         good, bad = S.split_documents(batch)
-        rows = S.player_rows(good.dropDuplicates(["season", "file_id"]), league)
+        newest = good.groupBy("season", "file_id").agg(F.max_by(F.struct(*good.columns), F.struct("modified", "path")).alias("_f"))
+        rows = S.player_rows(newest.select("_f.*").drop("modified"), league)
         if table_exists(spark, table):
             # prune to the seasons of the batch before looking for stored games
             seasons = [r[0] for r in good.select("season").distinct().collect()]
@@ -69,7 +71,7 @@ def ingest_box_scores(spark: SparkSession, source: str, table: str, rejects: str
 def offered_again(spark: SparkSession, rejects: str, fact: DataFrame) -> DataFrame:
     """Rejected files whose game is still not stored: the list to fetch again."""
     return spark.read.parquet(rejects).select(F.col("file_id").alias("game_id"), "season", "path", "reason").join(
-        fact.select("game_id"), "game_id", "left_anti")
+        fact.select("season", "game_id"), ["season", "game_id"], "left_anti")
 
 
 # --- schedules ----------------------------------------------------------------------------------------
@@ -96,7 +98,7 @@ def ingest_schedule(stream: DataFrame, table: str, checkpoint: str, source_order
 
 # --- snapshots ------------------------------------------------------------------------------------------
 
-def snapshot_batch(spark: SparkSession, table: str, arrivals: DataFrame, cap: int = K.SNAPSHOT_CAP) -> None:
+def snapshot_batch(spark: SparkSession, table: str, arrivals: DataFrame, cap: int | None = None) -> None:
     """Arrivals of race snapshots into the stored history.
 
     The stored days of the touched seasons count as one earlier arrival each, then the batch rule
@@ -114,7 +116,7 @@ def snapshot_batch(spark: SparkSession, table: str, arrivals: DataFrame, cap: in
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(table)
 
 
-def ingest_snapshots(stream: DataFrame, table: str, checkpoint: str, cap: int = K.SNAPSHOT_CAP, once: bool = True) -> StreamingQuery:
+def ingest_snapshots(stream: DataFrame, table: str, checkpoint: str, cap: int | None = None, once: bool = True) -> StreamingQuery:
     return _run(stream, lambda b, _: snapshot_batch(b.sparkSession, table, b, cap), checkpoint, once=once)
 
 

@@ -71,7 +71,8 @@ def test_dates(spark):
     d = dt.date
     df = spark.createDataFrame([(d(2024, 4, 14), d(2024, 4, 17)), (d(2024, 4, 14), d(2024, 4, 15)), (d(2024, 4, 1), d(2024, 5, 1))], "a date, b date")
     gaps = [r[0] for r in df.select(X.gap_days("a", "b")).collect()]
-    assert gaps[0] == [d(2024, 4, 15), d(2024, 4, 16)] and gaps[1] == [] and len(gaps[2]) == 7
+    assert gaps[0] == [d(2024, 4, 15), d(2024, 4, 16)] and gaps[1] == [] and len(gaps[2]) == 29
+    assert [len(r[0]) for r in df.select(X.gap_days("a", "b", 7)).collect()] == [2, 0, 7]
     now = F.lit("2026-01-10 00:00:00").cast("timestamp")
     notes = ["old 2026-01-01T00:00:00Z new 2026-01-09T22:00Z", "2026-01-09T23:59:30Z", "2026-01-09T23:55:00Z", "2026-01-01T00:00:00Z", "none"]
     assert values(spark, notes, lambda v: X.age_text(v, now)) == [" (2 h ago)", " (just now)", " (5 min ago)", " (9 d ago)", ""]

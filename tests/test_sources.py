@@ -93,10 +93,13 @@ def test_payload_edges(spark):
 def test_standings_depths(spark):
     entry = lambda i, w: {"team": {"id": str(i), "name": f"n{i}"}, "stats": [{"name": "wins", "displayValue": str(w)}, {"name": "winPercent", "displayValue": ".5"}]}
     doc = {"children": [{"name": "Eastern Conference", "standings": {"entries": [entry(1, 5)]},
-                         "children": [{"name": "Atlantic", "standings": {"entries": [entry(1, 9), entry(2, 6)]}}]}]}
+                         "children": [{"name": "Atlantic", "standings": {"entries": [entry(1, 9), entry(2, 6)]},
+                                       "children": [{"name": "a", "children": [{"name": "b", "entries": [entry(4, 2)]}]}]}]}],
+           "entries": [entry(3, 7)]}
     raw = spark.createDataFrame([("nba", json.dumps(doc))], "league string, payload string")
     got = {r.team_id: (r.wins, r.conference, r.win_percent, r.team) for r in P.flatten_standings(raw).collect()}
-    assert got == {1: (5, "Eastern Conference", ".5", "n1"), 2: (6, "Eastern Conference", ".5", "n2")}
+    assert got == {1: (5, "Eastern Conference", ".5", "n1"), 2: (6, "Eastern Conference", ".5", "n2"),
+                   3: (7, None, ".5", "n3"), 4: (2, "Eastern Conference", ".5", "n4")}
 
 
 def test_sinks(spark, tmp_path):
@@ -121,7 +124,8 @@ def test_sinks(spark, tmp_path):
 
 def test_seasons_of_a_table(spark):
     g = games(spark, [dict(game_id=1), dict(game_id=2, season="2021-22", season_start=2021, status="STATUS_SCHEDULED"), dict(game_id=3, season="1999-00", season_start=1999)])
-    assert {r.season for r in C.available_seasons(g).collect()} == {"2020-21", "2021-22"}
+    assert {r.season for r in C.available_seasons(g, 2010).collect()} == {"2020-21", "2021-22"}
+    assert C.available_seasons(g).count() == 3
     r = C.latest_season(g).first()
     assert (r.latest, r.latest_played) == ("2021-22", "2020-21")
     order = {r.season: r.priority for r in C.try_order(g, "2022-02-01").collect()}
@@ -129,8 +133,8 @@ def test_seasons_of_a_table(spark):
     assert {r.season: r.games for r in C.season_counts(g).collect()}["1999-00"] == 1
     teams = spark.createDataFrame([("nba", i) for i in range(29)] + [("wnba", i) for i in range(10)], "league string, team_id int")
     assert {r.league: r.ok for r in C.enough_teams(teams).collect()} == {"nba": False, "wnba": True}
-    pos = lambda rows: spark.createDataFrame(rows, "player_id int, team_id int")
-    out = C.refresh_positions(pos([(1, 1), (2, 2)]), pos([(3, 1)]), spark.createDataFrame([(2,)], "team_id int"))
+    pos = lambda rows: spark.createDataFrame([("nba", *r) for r in rows], "league string, player_id int, team_id int")
+    out = C.refresh_positions(pos([(1, 1), (2, 2)]), pos([(3, 1)]), spark.createDataFrame([("nba", 2)], "league string, team_id int"))
     assert {r.player_id for r in out.collect()} == {2, 3}
     assert [r.game_id for r in C.schedule_order(g.withColumn("ts", F.when(F.col("game_id") != 3, F.col("ts")))).collect()] == [3, 1, 2]
     z = C.zero_table(spark.createDataFrame([("nba", 1, "A")], "league string, team_id int, display_name string"), "2030-31").first()

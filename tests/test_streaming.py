@@ -90,8 +90,17 @@ def test_snapshot_rule(spark):
              [(i, 0, float(i)) for i in range(96)]]
     for case in cases:
         rows = [snap(*c) for c in case]
-        got = sorted((r.snap_date, r.score) for r in N.keep_changed(spark.createDataFrame(rows, SNAP)).collect())
+        got = sorted((r.snap_date, r.score) for r in N.keep_changed(spark.createDataFrame(rows, SNAP), cap=90).collect())
         assert got == fold(rows), case
+    rows = [snap(i, 0, float(i)) for i in range(96)]
+    assert N.keep_changed(spark.createDataFrame(rows, SNAP)).count() == 96
+
+
+def test_snapshots_with_repeated_rows(spark):
+    """Contents that differ only in which row is there twice are different."""
+    a, b, c = 1.0, 2.0, 3.0
+    rows = [snap(0, 0, x) for x in (a, a, c)] + [snap(1, 0, x) for x in (b, b, c)]
+    assert N.keep_changed(spark.createDataFrame(rows, SNAP)).count() == 6
 
 
 def test_snapshot_stream_equals_batch(spark, tmp_path):
