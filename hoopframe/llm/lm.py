@@ -29,7 +29,7 @@ from .common import id_text, small_batches
 #: Characters of text that one group of documents holds at most (a longer document has a group to itself).
 GROUP_CHARS = 4_000_000
 #: Words of a training segment, and one segment in how many is trained on.
-SEGMENT, SHARE = 64, 16
+SEGMENT, SHARE = 64, 32
 #: Context of a window, and how much of it is scored.
 WIDE, HALF = 16, 8
 #: Classes of word-first and of other ids; one more is the end's own.
@@ -41,6 +41,8 @@ LN10 = float(np.log(10))
 OPENING = np.array([*range(FIRSTS), CLASSES - 1])
 BUCKETS = 32
 ROUNDS, BATCH, RATE = 2, 512, 0.03
+#: Rank of the attended outputs when texts are scored.
+RANK = 16
 #: What is added to every id's count, and the weight of an id's share when little is known of what follows a class.
 ADD, BACK = 0.1, 20.0
 
@@ -279,6 +281,35 @@ def attend(t: dict, query: np.ndarray, key: np.ndarray):
     return score, out
 
 
+def slim(t: dict) -> dict:
+    """Tables for scoring: attended outputs as a product of rank RANK, so that windows gather less."""
+    u, d, v = np.linalg.svd(t["seen"].astype(np.float64), full_matrices=False)
+    begins = np.zeros((CLASSES, 2), np.float32)
+    begins[:, 0], begins[OPENING, 1] = 1, 1
+    match = t["match"].astype(np.float32)
+    match[:, PAD] = -1e9
+    return {"match": match, "distance": t["distance"].astype(np.float32)[np.clip(_GAP, 0, WIDE - 1)] + _MASK, "own": t["own"], "begins": begins,
+            "seen_in": (u[:, :RANK] * d[:RANK]).astype(np.float32), "seen_out": v[:RANK].astype(np.float32)}
+
+
+def predict(t: dict, query: np.ndarray, key: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each wanted class and of a word's begin, (windows, HALF) each, from slim tables.
+
+    Scores and outputs stay far from the limits of single precision, so nothing is subtracted first.
+    """
+    score = t["match"].ravel().take(query[:, :, None] * (CLASSES + 2) + key[:, None, :])
+    score += t["distance"]
+    np.exp(score, out=score)
+    with np.errstate(invalid="ignore"):  # places after a text's end see nothing and are not read
+        score /= score.sum(2, keepdims=True)
+    out = (score @ t["seen_in"].take(key, 0)).reshape(-1, RANK) @ t["seen_out"]
+    out += t["own"].take(query.ravel(), 0)
+    picked = out[np.arange(len(out)), np.maximum(want.ravel(), 0)]
+    np.exp(out, out=out)
+    sums = np.log(out @ t["begins"])
+    return (picked - sums[:, 0]).reshape(want.shape), (sums[:, 1] - sums[:, 0]).reshape(want.shape)
+
+
 def gradients(t: dict, query: np.ndarray, key: np.ndarray, want: np.ndarray) -> dict:
     a, logp = attend(t, query, key)
     g = np.exp(logp)
@@ -384,7 +415,7 @@ def fit(gathered: DataFrame, counts: DataFrame, path: str) -> Model:
     t["own"][:] = np.log((pairs + 20 * prior) / (pairs.sum(1, keepdims=True) + 20))
     for i in range(ROUNDS):
         t = one_round(segments, classes, t, RATE / (1 + 2 * i))
-    return Model(classes, inner, share, words, fresh, t)
+    return Model(classes, inner, share, words, fresh, slim(t))
 
 
 def score_group(texts: list[str], uses_of: dict, model: Model, coder: Subwords) -> tuple[list[float], list[int], list[int], list[float]]:
@@ -415,11 +446,8 @@ def score_group(texts: list[str], uses_of: dict, model: Model, coder: Subwords)
     inputs[np.cumsum(per_text) - per_text] = START
     query, key, want, place = blocks(inputs, classes, per_text)
     logp, begin = np.zeros(want.shape, np.float32), np.zeros(want.shape, np.float32)
-    for i in range(0, len(query), 4096):
-        _, out = attend(model.tables, query[i:i + 4096], key[i:i + 4096])
-        w = want[i:i + 4096]
-        logp[i:i + 4096] = np.take_along_axis(out, np.maximum(w, 0)[:, :, None], 2)[:, :, 0]
-        begin[i:i + 4096] = np.log(np.exp(out[:, :, OPENING]).sum(2))
+    for i in range(0, len(query), 2048):
+        logp[i:i + 2048], begin[i:i + 2048] = predict(model.tables, query[i:i + 2048], key[i:i + 2048], want[i:i + 2048])
     chain = logp[want >= 0].astype(np.float64) / np.log(10)  # windows keep the order of ids
     begin = np.append(begin[want >= 0].astype(np.float64) / np.log(10), 0.0)  # a word begins here
     first = ends - lengths
