@@ -1,9 +1,4 @@
-"""Registered queries against their SQL on the smallest tables.
-
-A run covers one query per family; HOOPFRAME_ALL=1 covers all of them (so does check.py).
-"""
-
-import os
+"""All registered queries against their SQL on the smallest tables."""
 
 import pytest
 from compare import compare, duck
@@ -12,12 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-FAMILIES = ("player_season_totals", "season_leaders", "race_mvp", "race_dpoy", "race_mip", "series_mvp", "leaderboard", "season_races",
-            "rolling_form", "team_form", "feature_table", "asof_projection", "best_lineup", "event_form", "alltime_boards", "titles",
-            "career_overlay", "ladder", "accolades_pivot", "progression", "schedule_split", "best_copy", "upsert_schedule", "rounds",
-            "standings_view", "race_snapshots", "race_trend", "flatten_box_score", "flatten_standings", "season_averages",
-            "quality_schedule", "stream_totals", "content_diff")
-NAMES = sorted(QUERIES) if os.environ.get("HOOPFRAME_ALL") else sorted(FAMILIES)
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
