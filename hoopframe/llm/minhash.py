@@ -171,28 +171,32 @@ def near_links(signed: DataFrame, docs: DataFrame, k: int, percent: int, id_col:
                                              F.min(best).alias("best")).where("lo < hi")
                  .select("bucket", "size", F.col("best.doc_id").alias("best")))
         drawn = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col("size")) < (centers if centers > 1 else 0)
-        state = stage(state.join(open_, "bucket").withColumn("center", (F.col("doc_id") == F.col("best")) | drawn), "near-open")
+        state = state.join(open_, "bucket").withColumn("drawn", (F.col("doc_id") == F.col("best")) | drawn)
+        # a center is one in all its buckets; ``mine`` are a document's open buckets
+        own = state.groupBy("doc_id").agg(F.max("drawn").alias("center"), F.collect_set("bucket").alias("mine"))
+        state = stage(state.drop("size", "drawn").join(own, "doc_id"), "near-open")
         if state.isEmpty():
             break
-        heads_ = state.where("center").select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "n", "s", "i", "comp")])
+        heads_ = state.where("center").select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "n", "s", "i", "comp", "mine")])
         most = F.least("i", "c_i") + F.least(F.col("s") - F.col("i"), F.col("c_s") - F.col("c_i"))
-        both = state.join(heads_, "bucket").where("doc_id <> c_doc_id")
+        # of the buckets that two documents share, one emits the pair
+        both = state.join(heads_, "bucket").where("doc_id <> c_doc_id AND bucket = array_min(array_intersect(mine, c_mine))")
         if turn != 1:
             both = both.where("comp <> c_comp").where(100 * most >= percent * (F.col("n") + F.col("c_n") - most))
         pairs = both.select(F.least("doc_id", "c_doc_id").alias("a"), F.greatest("doc_id", "c_doc_id").alias("b")).distinct()
-        pairs = stage(pairs if turn == 1 else pairs.join(done, ["a", "b"], "left_anti"), "near-pairs")
-        done = done.unionByName(pairs)
-        met = stage(measure(pairs, texts, k, percent), "near-links")
-        labels = stage(relabel(labels, met.where("linked")), "near-labels")
+        met = stage(measure(pairs if turn == 1 else pairs.join(done, ["a", "b"], "left_anti"), texts, k, percent), "near-links")
+        done = done.unionByName(met.select("a", "b"))
+        if not met.where("linked").isEmpty():
+            labels = stage(relabel(labels, met.where("linked")), "near-labels")
         live = state.where("NOT center").select("bucket", "doc_id", "n", "s", "i", "best")
         if turn == 0:
-            alone = stage(unshared(texts, state.select("doc_id").distinct(), k), "near-alone")
+            alone = unshared(texts, state.select("doc_id").distinct(), k)
             live = live.join(alone, "doc_id", "left").withColumn("s", F.col("n") - F.coalesce("n_alone", F.lit(0)))
-            live = stage(live.where(100 * F.col("s") >= percent * F.col("n")).select("bucket", "doc_id", "n", "s", "i"), "near-live")
+            live = live.where(100 * F.col("s") >= percent * F.col("n")).select("bucket", "doc_id", "n", "s", "i")
         elif turn == 1:
             live = live.drop("i").join(met.select(F.col("a"), F.col("b"), F.col("same").alias("i")),
                                        (F.least("doc_id", "best") == F.col("a")) & (F.greatest("doc_id", "best") == F.col("b")))
-            live = stage(live.select("bucket", "doc_id", "n", "s", "i"), "near-live")
+            live = live.select("bucket", "doc_id", "n", "s", "i")
         turn, centers = turn + 1, centers if turn < 1 else centers * 16
     return classes, labels
 
