@@ -171,16 +171,16 @@ def near_links(signed: DataFrame, docs: DataFrame, k: int, percent: int, id_col:
                                              F.min(best).alias("best")).where("lo < hi")
                  .select("bucket", "size", F.col("best.doc_id").alias("best")))
         drawn = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col("size")) < (centers if centers > 1 else 0)
-        state = state.join(open_, "bucket").withColumn("drawn", (F.col("doc_id") == F.col("best")) | drawn)
-        # a center is one in all its buckets; ``mine`` are a document's open buckets
-        own = state.groupBy("doc_id").agg(F.max("drawn").alias("center"), F.collect_set("bucket").alias("mine"))
-        state = stage(state.drop("size", "drawn").join(own, "doc_id"), "near-open")
+        state = state.join(open_, "bucket").withColumn("center", (F.col("doc_id") == F.col("best")) | drawn)
+        # a document's open buckets, and those it is a center of
+        own = state.groupBy("doc_id").agg(F.collect_set("bucket").alias("mine"), F.collect_set(F.when(F.col("center"), F.col("bucket"))).alias("led"))
+        state = stage(state.drop("size").join(own, "doc_id"), "near-open")
         if state.isEmpty():
             break
-        heads_ = state.where("center").select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "n", "s", "i", "comp", "mine")])
+        heads_ = state.where("center").select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "n", "s", "i", "comp", "led")])
         most = F.least("i", "c_i") + F.least(F.col("s") - F.col("i"), F.col("c_s") - F.col("c_i"))
-        # of the buckets that two documents share, one emits the pair
-        both = state.join(heads_, "bucket").where("doc_id <> c_doc_id AND bucket = array_min(array_intersect(mine, c_mine))")
+        # of the buckets that a document shares with a center, one emits the pair
+        both = state.join(heads_, "bucket").where("doc_id <> c_doc_id AND bucket = array_min(array_intersect(mine, c_led))")
         if turn != 1:
             both = both.where("comp <> c_comp").where(100 * most >= percent * (F.col("n") + F.col("c_n") - most))
         pairs = both.select(F.least("doc_id", "c_doc_id").alias("a"), F.greatest("doc_id", "c_doc_id").alias("b")).distinct()
