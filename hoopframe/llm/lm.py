@@ -27,7 +27,7 @@ from hoopframe.sources.staging import stage
 from .common import id_text, small_batches
 
 #: Characters of text that one group of documents holds at most (a longer document has a group to itself).
-GROUP_CHARS = 2_500_000
+GROUP_CHARS = 4_500_000
 #: Words of a training segment, and one segment in how many is trained on.
 SEGMENT, SHARE = 64, 32
 #: Context of a window, and how much of it is scored.
