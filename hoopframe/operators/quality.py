@@ -65,10 +65,11 @@ def ladder_ranks(index: DataFrame, board: DataFrame, min_gp: int = K.LADDER_MIN_
     return wrong.unionByName(_found(twice, "ladder_ranks", F.col("ladder_rank"), "rank held twice"))
 
 
-def snapshot_history(snapshots: DataFrame, cap: int = K.SNAPSHOT_CAP) -> DataFrame:
-    """Q6: at most ``cap`` dates, ranks 1..n without gaps or repeats, fields present."""
+def snapshot_history(snapshots: DataFrame, cap: int | None = None) -> DataFrame:
+    """Q6: at most ``cap`` dates (if given), ranks 1..n without gaps or repeats, fields present."""
     by = ["league", "season"]
-    many = snapshots.groupBy(*by).agg(F.countDistinct("snap_date").alias("n")).filter(F.col("n") > cap)
+    many = snapshots.groupBy(*by).agg(F.countDistinct("snap_date").alias("n")).filter(
+        F.lit(False) if cap is None else F.col("n") > cap)
     ranks = snapshots.groupBy(*by, "snap_date", "race").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("rank").alias("d"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))
     bad = ranks.filter((F.col("d") != F.col("n")) | (F.col("lo") != 1) | (F.col("hi") != F.col("n")))
