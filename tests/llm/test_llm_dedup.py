@@ -112,6 +112,39 @@ def test_near_passages_cover_exact_ones(spark):
     assert not set(clean) & set(spans)
 
 
+def test_near_passages_of_pairs_with_frequent_shingles(spark):
+    """A passage of two documents only, whose minima are mostly phrases that many other documents have too."""
+    import random
+
+    import numpy as np
+    from corpus import words
+    rng = random.Random(12)
+    passages, phrases = [], set()
+    for _ in range(8):
+        p = words(rng, 50)
+        values, _, pos = common.Words([" ".join(p)]).shingles(windows.SHINGLE)
+        for k in range(windows.HASHES - 1):
+            at = int(pos[np.maximum(windows.mix(values ^ windows._SEEDS[k]), np.uint64(1)).argmin()])
+            phrases.add(tuple(p[at:at + windows.SHINGLE]))
+        passages.append(p)
+    phrases = sorted(phrases)
+    stock = [words(rng, 60) for _ in range(60)]
+    for w in stock:
+        for x in rng.sample(phrases, len(phrases)):
+            w += [*x, *words(rng, 50)]
+    decoys = [" ".join(w) for w in stock]
+    pairs = [" ".join(words(rng, 80) + p + words(rng, 80)) for p in passages for _ in range(2)]
+    items = decoys[:30] + pairs + decoys[30:]
+    rows = list(enumerate(items))
+    spans = {}
+    for r in windows.near_passages(table(spark, items)).collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.end))
+    exact = repeats(rows, 50)
+    assert len(exact) == len(pairs)
+    missed = [x for x in exact if not any(min(b, x[2]) - max(a, x[1]) >= 0.8 * (x[2] - x[1]) for a, b in spans.get(x[0], []))]
+    assert not missed and not set(spans) - {x[0] for x in exact}
+
+
 def test_compact_windows_hold_every_run():
     import numpy as np
     rng = np.random.default_rng(2)
