@@ -5,6 +5,9 @@ window of k-grams. Any passage of ``least`` words holds such a position, the sam
 document. Suffixes whose k-gram occurs once leave. The others are sorted twice, by what follows
 and by what precedes (in blocks of words, then by id), in range partitions; neighbours of
 different documents are pairs, and each pair is extended word by word to the left and right.
+Neighbours in two orders do not show every passage. So each window of ``least`` words around a
+kept suffix that does not lie in a passage found so far is hashed, and its documents are linked
+to the smallest one that holds it and extended as well.
 """
 
 from __future__ import annotations
@@ -164,22 +167,8 @@ def extend(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], least: i
     return out
 
 
-def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, end, n_words, other_id and later of every passage of ``least`` words or more
-    that another document holds word for word (A-Z lower-cased, white space apart).
-
-    Documents without such a passage give no row; null and empty texts, shorter ones and rows
-    without id never do. Rows that repeat an id are one document. An empty table gives an
-    empty result.
-    """
-    kept = stage(anchors(docs, least, id_col, text_col), "suffix-anchors")
-    twice = (kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram"))
-    shared = stage(kept.join(twice, "gram"), "suffix-shared")
-    pairs = neighbours(shared, SORTED[0], "suffix-right").unionByName(neighbours(shared, SORTED[1], "suffix-left"))
-    flip = F.col("a") > F.col("b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                         F.struct(F.when(flip, F.col("q")).otherwise(F.col("p")).alias("p"),
-                                  F.when(flip, F.col("p")).otherwise(F.col("q")).alias("q")).alias("at"))
+def extended(pairs: DataFrame, docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, start, end and other_id of the passages around the places ``at`` (p in a, q in b) of each pair, for both sides."""
     pairs = stage(pairs.groupBy("a", "b").agg(F.collect_set("at").alias("at")), "suffix-pairs")
     both = with_texts(pairs, texts_of(docs, pairs, id_col, text_col, "suffix-texts"), "at")
 
@@ -197,4 +186,71 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
             columns = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "end", "other_id"])
 
-    return merge_spans(both.mapInArrow(run, "doc_id long, start long, end long, other_id long"))
+    return both.mapInArrow(run, "doc_id long, start long, end long, other_id long")
+
+
+def open_windows(n: int, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+    """Starts of the windows of ``least`` of n words that hold the k-gram of a kept suffix (at) and lie in none of the merged spans."""
+    near = np.zeros(max(0, n - least + 1) + 1, np.int64)
+    np.add.at(near, np.clip(at - (least - KGRAM), 0, len(near) - 1), 1)
+    np.add.at(near, np.clip(at + 1, 0, len(near) - 1), -1)
+    p = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+    k = np.searchsorted(starts, p, "right") - 1
+    return p[(k < 0) | (np.append(ends, 0)[k] < p + least)]
+
+
+def window_pairs(docs: DataFrame, shared: DataFrame, spans: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """a, b and at of windows of ``least`` words that no span holds: the smallest document that holds it with each other one,
+    and other places of the smallest one with the largest."""
+    places = shared.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+    cover = merge_spans(spans).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cover"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    rows = (id_text(docs, id_col, text_col).join(places, "doc_id").join(cover, "doc_id", "left")
+            .select("doc_id", "text", "at", F.coalesce("cover", none).alias("cover")))
+
+    def run(batches):
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            cut, at = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy(zero_copy_only=False)
+            ends_, held = b.column(3).offsets.to_numpy(), b.column(3).values
+            start, end = (held.field(n).to_numpy(zero_copy_only=False) for n in ("start", "end"))
+            for i, j in slices(texts, 2_000_000):
+                words = Words(texts[i:j])
+                values, rows_, pos = words.shingles(least)
+                first = np.searchsorted(rows_, np.arange(j - i + 1))
+                for r in range(j - i):
+                    c = slice(ends_[i + r], ends_[i + r + 1])
+                    p = open_windows(int(words.counts[r]), at[cut[i + r]:cut[i + r + 1]], start[c], end[c], least)
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays([pa.array(values[first[r] + p].view(np.int64)), pa.array(np.full(len(p), ids[i + r], np.int64)),
+                                                          pa.array(p.astype(np.int64))], ["window", "doc_id", "pos"])
+
+    seen = stage(rows.mapInArrow(run, "window long, doc_id long, pos long"), "suffix-windows")
+    place = F.struct("doc_id", "pos")
+    ends = seen.groupBy("window").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.doc_id < hi.doc_id")
+    met = seen.join(ends, "window").withColumn("to", F.when(F.col("doc_id") == F.col("lo.doc_id"), F.col("hi")).otherwise(F.col("lo")))
+    flip = F.col("doc_id") > F.col("to.doc_id")
+    return met.select(F.least("doc_id", "to.doc_id").alias("a"), F.greatest("doc_id", "to.doc_id").alias("b"),
+                      F.struct(F.when(flip, F.col("to.pos")).otherwise(F.col("pos")).alias("p"),
+                               F.when(flip, F.col("pos")).otherwise(F.col("to.pos")).alias("q")).alias("at"))
+
+
+def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start, end, n_words, other_id and later of every passage of ``least`` words or more
+    that another document holds word for word (A-Z lower-cased, white space apart).
+
+    Documents without such a passage give no row; null and empty texts, shorter ones and rows
+    without id never do. Rows that repeat an id are one document. An empty table gives an
+    empty result.
+    """
+    kept = stage(anchors(docs, least, id_col, text_col), "suffix-anchors")
+    twice = (kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram"))
+    shared = stage(kept.join(twice, "gram"), "suffix-shared")
+    pairs = neighbours(shared, SORTED[0], "suffix-right").unionByName(neighbours(shared, SORTED[1], "suffix-left"))
+    flip = F.col("a") > F.col("b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                         F.struct(F.when(flip, F.col("q")).otherwise(F.col("p")).alias("p"),
+                                  F.when(flip, F.col("p")).otherwise(F.col("q")).alias("q")).alias("at"))
+    spans = stage(extended(pairs, docs, least, id_col, text_col), "suffix-spans")
+    rest = window_pairs(docs, shared, spans, least, id_col, text_col)
+    return merge_spans(spans.unionByName(extended(rest, docs, least, id_col, text_col)))

@@ -100,6 +100,25 @@ def test_passages_held_by_pairs_with_decoys(spark):
     assert {(r.doc_id, r.start, r.end) for r in suffixes.repeated_passages(table(spark, items)).collect()} == repeats(rows, 50)
 
 
+def test_passages_with_frequent_cores(spark):
+    """Parts of a passage of two documents, each too short to count, that many other documents hold."""
+    import random
+    from corpus import words
+    rng = random.Random(6)
+    left, middle, right, core = words(rng, 10), words(rng, 30), words(rng, 10), words(rng, 44)
+
+    def inside(part):
+        return " ".join(words(rng, 30) + part + words(rng, 30))
+    edges = [words(rng, 3), words(rng, 3)]
+    whole = [inside(left + middle + right), inside(edges[0] + core + edges[1])]
+    others = [inside(x) for _ in range(500) for x in (left + middle, middle + right, core)]
+    items = others[:700] + whole + others[700:] + [inside(left + middle + right), inside(edges[0] + core + edges[1])]
+    rows = list(enumerate(items))
+    want = repeats(rows, 50)
+    assert len(want) == 4
+    assert {(r.doc_id, r.start, r.end) for r in suffixes.repeated_passages(table(spark, items)).collect()} == want
+
+
 def test_near_passages_cover_exact_ones(spark):
     rows = list(enumerate(texts(8)))
     spans = {}
