@@ -1,8 +1,8 @@
 """Language-model scores from a causal self-attention model trained in numpy on subword ids.
 
 Every training document counts its words; the counts of all of them are grouped by word over
-the cluster. A fixed share of each training document's segments, drawn by a hash, becomes
-training sequences of subword ids, so the training data grow with the corpus. Ids fall into
+the cluster. Every segment of every training document becomes a training sequence of subword
+ids. Ids fall into
 classes by the ids next to them (k-means); the attention model reads the classes of the last
 ids in one-hot form and predicts the class of the next id. It is trained in rounds of local
 gradient steps per partition, and the partitions' weights are averaged by Spark. Texts are
@@ -28,8 +28,8 @@ from .common import id_text, small_batches
 
 #: Characters of text that one group of documents holds at most (a longer document has a group to itself).
 GROUP_CHARS = 4_500_000
-#: Words of a training segment, and one segment in how many is trained on.
-SEGMENT, SHARE = 64, 32
+#: Words of a training segment.
+SEGMENT = 64
 #: Context of a window, and how much of it is scored.
 WIDE, HALF = 16, 8
 #: Classes of word-first and of other ids; one more is the end's own.
@@ -102,16 +102,29 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).alias("chunk"))
 
 
+def code_of(end: int) -> str:
+    """The smallest unsigned kind that holds all ids plus one."""
+    return "<u2" if end + 1 < 65536 else "<u4"
+
+
+def joined(column, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (-1: before a text's first) of all segments of a column in one array, and each segment's length."""
+    kind = np.dtype(code_of(end))
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), kind).astype(np.int64) - 1, np.array([len(x) for x in raw], np.int64) // kind.itemsize
+
+
 def gather(rows: DataFrame, path: str) -> DataFrame:
-    """chunk, word, n (uses in training texts) for every word of a chunk, and training segments in ``ids``.
+    """chunk, word, n (uses in training texts) for every word of a chunk, and all training segments in ``ids``.
 
-    The end of a text is the empty word. A word of held-out texts only has n = 0.
+    The end of a text is the empty word. A word of held-out texts only has n = 0. A segment holds its
+    ids plus one, and zero before a text's first.
     """
     def run(table: pa.Table) -> pa.Table:
         coder = Subwords(path)
         counts: dict[bytes, int] = {}
-        chosen: list[list[bytes]] = []
-        for d, text, out in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "held_out"))):
+        lists: list[list[bytes]] = []
+        for text, out in zip(*(table.column(c).to_pylist() for c in ("text", "held_out"))):
             words = split_words(text)
             words.append(b"")
             if out:
@@ -120,14 +133,14 @@ def gather(rows: DataFrame, path: str) -> DataFrame:
                 continue
             for w in words:
                 counts[w] = counts.get(w, 0) + 1
-            for i in range(0, len(words), SEGMENT):
-                if zlib.crc32(f"{d}:{i}".encode()) % SHARE == 0:
-                    chosen.append([None, *words[:SEGMENT]] if i == 0 else words[i:i + SEGMENT])
-        segments = []
-        for words in chosen:
-            inside = iter(coder.encode([w for w in words if w]))
-            ids = [x for w in words for x in ([-1] if w is None else [coder.end] if not w else next(inside))]
-            segments.append(np.array(ids, "<i4").tobytes())
+            lists.append(words)
+        used = [w for w, k in counts.items() if k and w]
+        kind = np.dtype(code_of(coder.end))
+        # each distinct word is encoded once
+        spelled = {w: (np.array(x) + 1).astype(kind).tobytes() for w, x in zip(used, coder.encode(used))}
+        spelled[b""] = np.array([coder.end + 1], kind).tobytes()
+        opening = np.zeros(1, kind).tobytes()
+        segments = [(b"" if i else opening) + b"".join([spelled[w] for w in words[i:i + SEGMENT]]) for words in lists for i in range(0, len(words), SEGMENT)]
         n, m = len(counts), len(segments)
         chunk = table.column("chunk")[0].as_py()
         return pa.table({"chunk": pa.array([chunk] * (n + m), pa.int64()), "word": pa.array([*counts, *[None] * m], pa.binary()),
@@ -186,11 +199,13 @@ def profiles(segments: DataFrame, end: int) -> DataFrame:
     def run(batches):
         seen = np.zeros((end + 1, 2 * BUCKETS), np.float32)
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                ids = np.frombuffer(raw, "<i4")
-                ids = ids[ids >= 0]
-                np.add.at(seen, (ids[1:], ids[:-1] * 40503 % 65521 % BUCKETS), 1)
-                np.add.at(seen, (ids[:-1], BUCKETS + ids[1:] * 40503 % 65521 % BUCKETS), 1)
+            ids, lengths = joined(b.column(0), end)
+            same = np.repeat(np.arange(len(lengths)), lengths)
+            same, ids = same[ids >= 0], ids[ids >= 0]
+            one, two = ids[:-1][same[1:] == same[:-1]], ids[1:][same[1:] == same[:-1]]
+            for at, near in ((two, one * 40503 % 65521 % BUCKETS), (one, BUCKETS + two * 40503 % 65521 % BUCKETS)):
+                cell, n = np.unique(at * (2 * BUCKETS) + near, return_counts=True)
+                seen.ravel()[cell] += n
         at = np.flatnonzero(seen.any(1))
         for i in range(0, len(at), 5000):
             part = at[i:i + 5000]
@@ -330,17 +345,17 @@ def gradients(t: dict, query: np.ndarray, key: np.ndarray, want: np.ndarray) ->
 
 def sequences(batches, classes: np.ndarray):
     """Windows of many training segments at a time."""
+    end = len(classes) - 1
     for b in batches:
-        inputs, targets, lengths = [], [], []
-        for raw in b.column(0).to_pylist():
-            ids = np.frombuffer(raw, "<i4")
-            if len(ids) > 1:
-                c = np.where(ids < 0, START, classes[ids])
-                inputs.append(c[:-1])
-                targets.append(c[1:])
-                lengths.append(len(c) - 1)
-        if lengths:
-            yield blocks(np.concatenate(inputs), np.concatenate(targets), np.array(lengths))[:3]
+        ids, lengths = joined(b.column(0), end)
+        c = np.where(ids < 0, START, classes[ids])
+        owner = np.repeat(lengths > 1, lengths)
+        c, lengths = c[owner], lengths[lengths > 1]
+        if len(lengths):
+            ends = np.cumsum(lengths)
+            first, last = np.ones(len(c), bool), np.ones(len(c), bool)
+            last[ends - 1], first[ends - lengths] = False, False
+            yield blocks(c[last], c[first], lengths - 1)[:3]
 
 
 def following(segments: DataFrame, classes: np.ndarray) -> np.ndarray:
@@ -349,7 +364,7 @@ def following(segments: DataFrame, classes: np.ndarray) -> np.ndarray:
         n = np.zeros((CLASSES + 2, CLASSES))
         for query, _, want in sequences(batches, classes):
             real = want >= 0
-            np.add.at(n, (query[real], want[real]), 1)
+            n += np.bincount(query[real] * CLASSES + want[real], minlength=n.size).reshape(n.shape)
         a, b = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(n[a, b])], ["a", "b", "n"])
 

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from corpus import SCHEMA, awkward, split, table, texts
 from pyspark.sql import functions as F
@@ -135,6 +136,32 @@ def test_scores(spark):
     assert sum(r.score for r in known) > sum(r.base_score for r in known)
 
 
+def test_training_reads_every_segment(spark):
+    items = texts(1)
+    docs = table(spark, items)
+    coder = lm.Subwords(RANKS)
+    got = Counter()
+    for r in lm.gather(lm.grouped(docs, "doc_id", "text"), RANKS).where("ids IS NOT NULL").collect():
+        got[tuple(lm.joined(pa.array([bytes(r.ids)]), coder.end)[0].tolist())] += 1
+    want = Counter()
+    for i, text in enumerate(items):
+        if lm.held_out(i):
+            continue
+        ws = [*split(text), b""]
+        for p in range(0, len(ws), lm.SEGMENT):
+            ids = [x for w in ws[p:p + lm.SEGMENT] for x in (coder.encode([w])[0] if w else [coder.end])]
+            want[tuple(ids if p else [-1, *ids])] += 1
+    assert got == want
+
+
+def test_held_out_scores(spark):
+    """Trained on all of the training text, held-out words score about as well as the base (the README has both figures)."""
+    held = lm.score(spark.read.parquet(f"{SF}/documents.parquet"), RANKS).where("held_out")
+    r = held.agg((F.sum("score") / F.sum("n_tokens")).alias("model"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).first()
+    print("held-out", r.model, r.base)
+    assert r.model > r.base - 0.5
+
+
 def test_windows_score_each_id_once():
     rng = np.random.default_rng(0)
     lengths = np.array([1, 7, 8, 9, 40])
