@@ -6,21 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, lm, minhash, mixing, quality, suffixes, token_counts, windows
+from . import bpe, exact_dedup, line_dedup, lm, minhash, mixing, newer_queries, quality, suffixes, token_counts, windows  # noqa: F401
 from .common import documents
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return register
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
