@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import personal
+from . import importance, personal, trie
 from .common import documents
 from .registry import query
 
@@ -69,3 +69,67 @@ FROM d LEFT JOIN o USING (r)"""
 @query("op12_personal_data", PERSONAL_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_report(documents(spark, sf_dir))
+
+
+IMPORTANCE_SQL = r"""
+WITH low AS (SELECT doc_id, row_number() OVER () AS r,
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     aim AS (SELECT translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+     dw AS (SELECT r, w, count(*) AS c
+            FROM (SELECT r, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM low) GROUP BY r, w),
+     bw AS (SELECT unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM aim),
+     v AS (SELECT w, CAST(encode(w) AS BIT)::VARCHAR AS bits FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+     crc AS (SELECT w, xor(list_reduce(
+                 list_prepend(4294967295::BIGINT, [CAST(substr(bits, 8 * (k // 8) + 8 - k % 8, 1) AS BIGINT) FOR k IN range(0, length(bits))]),
+                 lambda a, x: xor(a >> 1, CASE WHEN (a & 1) <> x THEN 3988292384::BIGINT ELSE 0 END)), 4294967295::BIGINT) % 10000 AS b FROM v),
+     s AS (SELECT b, sum(c) AS n FROM dw JOIN crc USING (w) GROUP BY b),
+     t AS (SELECT b, count(*) AS n FROM bw JOIN crc USING (w) GROUP BY b),
+     sums AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s_all, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS t_all),
+     gain AS (SELECT i AS b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000)
+                                              / ((coalesce(s.n, 0) + 1)::DOUBLE * (t_all + 10000)))) AS g
+              FROM range(10000) AS x(i) LEFT JOIN s ON s.b = i LEFT JOIN t ON t.b = i, sums),
+     wt AS (SELECT r, sum(c) AS n, sum(c * g) AS g FROM dw JOIN crc USING (w) JOIN gain USING (b) GROUP BY r),
+     sc AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(g, 0)::BIGINT AS weight,
+                   coalesce(g, 0)::BIGINT + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                                                                 / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM low LEFT JOIN wt USING (r)),
+     rk AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS p,
+                   count(*) FILTER (n_features >= 20) OVER () AS able FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND p <= 10 * able // 100 THEN p END AS rank FROM rk"""
+
+
+@query("op11_importance", IMPORTANCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+TRIE_SQL = r"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+     k AS (SELECT conv_id, count(*) AS n, CAST(encode(CAST(conv_id AS VARCHAR)) AS BIT)::VARCHAR AS bits FROM o GROUP BY conv_id),
+     c AS (SELECT conv_id, n, conv_id - conv_id % 5 AS base, xor(list_reduce(
+                 list_prepend(4294967295::BIGINT, [CAST(substr(bits, 8 * (j // 8) + 8 - j % 8, 1) AS BIGINT) FOR j IN range(0, length(bits))]),
+                 lambda a, x: xor(a >> 1, CASE WHEN (a & 1) <> x THEN 3988292384::BIGINT ELSE 0 END)), 4294967295::BIGINT) % 9 AS h FROM k),
+     p AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS lent FROM c LEFT JOIN c AS b ON b.conv_id = c.base),
+     q AS (SELECT p.conv_id, o.pos AS depth, role, text FROM p JOIN o ON o.conv_id = p.base AND o.pos <= p.lent
+           UNION ALL
+           SELECT p.conv_id, o.pos - p.h + p.lent, role, text FROM p JOIN o ON o.conv_id = p.conv_id AND o.pos > p.h),
+     m AS (SELECT conv_id, depth, string_agg(md5(role) || md5(text), ',') OVER w AS key, strlen(text) AS bytes, count(*) OVER (PARTITION BY conv_id) AS n
+           FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+           UNION ALL
+           SELECT p.conv_id, 0, '', 0, coalesce(n.n, 0) FROM p LEFT JOIN (SELECT conv_id, count(*) AS n FROM q GROUP BY conv_id) AS n USING (conv_id)),
+     g AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = depth AS leaf, (count(*) - 1) * max(bytes) AS saved,
+                  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+           FROM m GROUP BY depth, key),
+     t AS (SELECT u.depth, u.key, count(*) FILTER (g.leaf) AS n_leaves, sum(g.saved) AS saved_tokens,
+                  count(*) FILTER (g.depth = u.depth + 1) AS n_children
+           FROM g JOIN m ON m.conv_id = g.conv_id AND m.depth <= g.depth JOIN g AS u ON u.depth = m.depth AND u.key = m.key
+           GROUP BY u.depth, u.key)
+SELECT g.conv_id, g.depth, r.conv_id AS parent_conv_id, g.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, g.ends_sha256
+FROM g JOIN t USING (depth, key) LEFT JOIN m ON m.conv_id = g.conv_id AND m.depth = g.depth - 1 LEFT JOIN g AS r ON r.depth = m.depth AND r.key = m.key"""
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
