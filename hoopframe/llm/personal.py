@@ -36,7 +36,7 @@ DIGITS = r"[0-9]{12,}+"
 NATIONAL = r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
 
-#: Characters of context looked at on either side.
+#: Characters of context looked at on either side, as far as the pattern's next match (included) reaches.
 NEAR = 40
 #: Words that speak for personal data, and words that speak for a plain number.
 FOR = {"card": "card|visa|mastercard|amex|credit|debit|payment|cvv",

@@ -4,7 +4,11 @@ import random
 import re
 
 WHITE = re.compile(r"[\x20\x09-\x0D]")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, row string, size int, rank int, copies int"
+#: The columns of documents and others whose names the operators use inside.
+CLASHES = ("gone draw pattern norm digest salt lead mark time bucket comp center key score weight place spans words pos value "
+           "hash first last band target source_size taken id ids").split()
+SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, kept boolean, row string, size int, rank int, copies int, "
+          + ", ".join(f"{c} string" for c in CLASHES))
 SYLLABLES = "an er on re he in ed nd ha at en es of or nt ea ti to io le is".split()
 
 
@@ -31,16 +35,28 @@ def texts(seed=1, n=60):
     return out
 
 
-def table(spark, items, sources=("b", "a", None), first=0):
-    rows = [(first + i, t, "en", sources[i % len(sources)], len(t or ""), True, "r", 3, 4, 5) for i, t in enumerate(items)]
+def row(i, text, source):
+    return (i, text, "en", source, len(text or ""), True, "r", 3, 4, 5, *["c"] * len(CLASHES))
+
+
+def frame(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
+def table(spark, items, sources=("b", "a", None), first=0):
+    return frame(spark, [row(first + i, t, sources[i % len(sources)]) for i, t in enumerate(items)])
+
+
+def awkward_rows():
+    """(id, text) with repeated rows and null ids."""
+    items = list(enumerate(texts(2, 12)))
+    return [*items, *items[:5], (None, "no id here"), (None, None)]
+
+
 def awkward(spark):
-    """Repeated rows, a null id, nulls everywhere."""
-    t = table(spark, texts(2, 12))
-    return t.unionByName(t.limit(5)).unionByName(spark.createDataFrame([(None, "no id here", None, None, None, None, None, None, None, None),
-                                                                        (None, None, None, None, None, None, None, None, None, None)], SCHEMA))
+    """Repeated rows, null ids, nulls in every column."""
+    rows = [row(i, t, ("b", "a", None)[(i or 0) % 3]) for i, t in awkward_rows()[:-2]]
+    return frame(spark, [*rows, (None, "no id here", *[None] * (8 + len(CLASHES))), (None, None, *[None] * (8 + len(CLASHES)))])
 
 
 def split(text):
