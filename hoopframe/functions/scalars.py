@@ -157,19 +157,17 @@ def utc_time(c: Column | str) -> Column:
 
 
 def local_date(c: Column | str, zone: str) -> Column:
-    """Calendar date in a zone; text that is no time keeps its first 10 characters."""
-    return _local(c, zone, "yyyy-MM-dd", 10)
+    """Calendar date in a zone; null for text that is no time."""
+    return _local(c, zone, "yyyy-MM-dd")
 
 
 def local_stamp(c: Column | str, zone: str) -> Column:
-    """Date and minute in a zone; text that is no time keeps its first 16 characters."""
-    return _local(c, zone, "yyyy-MM-dd HH:mm", 16)
+    """Date and minute in a zone; null for text that is no time."""
+    return _local(c, zone, "yyyy-MM-dd HH:mm")
 
 
-def _local(c: Column | str, zone: str, fmt: str, keep: int) -> Column:
-    ts = utc_time(c)
-    return F.coalesce(F.date_format(F.from_utc_timestamp(ts, zone), fmt),
-                      F.substring(as_col(c).cast("string"), 1, keep))
+def _local(c: Column | str, zone: str, fmt: str) -> Column:
+    return F.date_format(F.from_utc_timestamp(utc_time(c), zone), fmt)
 
 
 def day_buckets(ts: Column | str) -> Column:

@@ -16,6 +16,7 @@ from ..functions import constants as K
 from ..functions import scoring as S
 from ..functions.core import board_order, half_up, nz, ranked, ratio, text_order
 from ..functions.scalars import local_date, to_long
+from .ordering import quantiles
 
 BY = ("league", "season", "season_start")
 
@@ -392,18 +393,15 @@ def score_quantiles(rows: DataFrame, group: str = "position", score: str = "fant
                     approx: bool = False) -> DataFrame:
     """Five-number summary per group.
 
-    Exact form: equal scores are counted first, so the percentile state of a group holds
-    distinct scores only.  ``approx`` switches to a fixed-size sketch.
+    Exact form: counts per score, running counts over ranges of scores, and the ranks picked from
+    them; no group's scores meet in one place. ``approx`` switches to a fixed-size sketch.
     """
-    q = F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    shares = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
     base = rows.filter(F.col("min") > 0)
-    if approx:
-        out = base.groupBy(group).agg(F.percentile_approx(score, q).alias("q"))
-    else:
-        counts = base.groupBy(group, score).agg(F.count(F.lit(1)).alias("n"))
-        out = counts.groupBy(group).agg(F.percentile(score, q, F.col("n")).alias("q"))
-    names = ("low", "q1", "median", "q3", "high")
-    return out.select(group, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    if not approx:
+        return quantiles(base, [group], score, shares)
+    out = base.groupBy(group).agg(F.percentile_approx(score, F.array(*[F.lit(x) for x in shares.values()])).alias("q"))
+    return out.select(group, *[F.col("q")[i].alias(n) for i, n in enumerate(shares)])
 
 
 def minutes_fit(rows: DataFrame, score: str = "fantasy_points", by: Sequence[str] = ()) -> DataFrame:

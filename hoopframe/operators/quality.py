@@ -41,8 +41,8 @@ def schedule_rows(games: DataFrame, partition: str = "partition_season") -> Data
 
 
 def postseason_apart(regular: DataFrame, post: DataFrame) -> DataFrame:
-    """Q3: no game in both tables, and no postseason without a regular season."""
-    both = post.join(regular.select("game_id"), "game_id", "left_semi")
+    """Q3: no game of a league in both tables, and no postseason without a regular season."""
+    both = post.join(regular.select("league", "game_id"), ["league", "game_id"], "left_semi")
     alone = post.select("league", "season").distinct().join(regular.select("league", "season"), ["league", "season"], "left_anti")
     return _found(both, "postseason_apart", F.col("game_id"), "in both tables").unionByName(
         _found(alone, "postseason_apart", F.col("season"), "no regular season"))

@@ -14,6 +14,7 @@ from ..functions import constants as K
 from ..functions import scalars as X
 from ..functions.core import first_by, nz, ranked
 from ..functions.seasons import current_season_label, latest_completed_season
+from .ordering import number_rows
 
 ALL_TEAMS = "All teams"
 GAME = ("league", "season", "game_id")
@@ -111,6 +112,11 @@ def injury_report(injuries: DataFrame) -> DataFrame:
         "severity", F.asc_nulls_last("team"), F.asc_nulls_last("player_name"))
 
 
+def numbered_report(injuries: DataFrame) -> DataFrame:
+    """The report with ``severity`` and each row's ``position`` in it, for a report of any size."""
+    return number_rows(injury_report(injuries), ["severity", F.asc_nulls_last("team"), F.asc_nulls_last("player_name")], "position")
+
+
 def current_only(rows: DataFrame, today: str) -> DataFrame:
     """Reports that only make sense for the season being played."""
     return rows.filter(F.col("season") == current_season_label(F.lit(today).cast("date"), F.col("league")))

@@ -120,12 +120,15 @@ def pending_games(spark, d):
     return C.pending_games(two_leagues(D.games(spark, d)), valid_games(D.box(spark, d))).select("league", "season", "game_id")
 
 
-@query("gap_days", f"""{GAMES}, r AS (SELECT season, max(ts)::DATE AS l FROM games WHERE month(ts)<=4 GROUP BY ALL), p AS (SELECT season, min(ts)::DATE AS f FROM games WHERE month(ts)>=6 AND game_id%40=0 GROUP BY ALL)
+@query("gap_days", f"""{GAMES}, m AS (SELECT season, month(ts)>=5 AS post, ts::DATE + CASE WHEN month(ts)>=5 THEN (9+season_start%7)::INT ELSE 0 END AS day FROM games),
+r AS (SELECT season, max(day) AS l FROM m WHERE NOT post GROUP BY ALL), p AS (SELECT season, min(day) AS f FROM m WHERE post GROUP BY ALL)
 SELECT season, unnest(generate_series(l+1, f-1, INTERVAL 1 DAY))::DATE AS day FROM r JOIN p USING (season)""")
 def gap_days(spark, d):
-    g = stage(D.games(spark, d), "games")
-    post = g.filter((F.month("ts") >= 6) & (F.col("game_id") % 40 == 0))
-    return C.gap_spans(g.filter(F.month("ts") <= 4), post).select("season", "day")
+    """Days between a season's last regular game and its first postseason game: games from May on are
+    the postseason, moved 9 to 15 days later, so that every season has a gap."""
+    later = F.col("ts") + F.make_dt_interval(F.when(F.month("ts") >= 5, F.lit(9) + F.col("season_start") % 7).otherwise(0).cast("int"))
+    g = stage(D.games(spark, d).withColumns({"post": F.month("ts") >= 5, "ts": later}), "games")
+    return C.gap_spans(g.filter("NOT post"), g.filter("post")).select("season", "day")
 
 
 @query("gap_games", f"""{GAMES} SELECT league, game_id FROM games WHERE game_id%3<>0 UNION ALL SELECT 'wnba', game_id FROM games WHERE game_id%3=0""")
@@ -210,24 +213,19 @@ def injuries(spark, d):
     c = D.table(spark, d, "customer")
     n = D.table(spark, d, "nation")
     names = F.element_at(F.array(*[F.lit(x) for x in (*K.INJURY_ORDER, "Probable")]), (F.col("c_custkey") % 5 + 1).cast("int"))
-    return c.filter(F.col("c_acctbal") < 0).join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
         F.lit("nba").alias("league"), F.col("c_name").alias("player_name"),
         F.when(F.col("c_custkey") % 11 != 0, F.col("n_name")).alias("team"), names.alias("status"))
 
 
 _INJ = """inj AS (SELECT c_name AS player_name, CASE WHEN c_custkey%11<>0 THEN n_name END AS team, c_custkey%5 AS severity,
- (['Out','Doubtful','Questionable','Day-To-Day','Probable'])[c_custkey%5+1] AS status FROM customer LEFT JOIN nation ON c_nationkey=n_nationkey WHERE c_acctbal<0)"""
+ (['Out','Doubtful','Questionable','Day-To-Day','Probable'])[c_custkey%5+1] AS status FROM customer LEFT JOIN nation ON c_nationkey=n_nationkey)"""
 
 
 @query("injury_order", f"""WITH {_INJ} SELECT player_name, team, status, severity, row_number() OVER (ORDER BY severity, team NULLS LAST, player_name) AS position FROM inj""")
 def injury_order(spark, d):
-    """The report with each row's place in it (numbered without one global sort task)."""
-    from pyspark.sql import Window
-    rows = C.injury_report(injuries(spark, d)).select("player_name", "team", "status", "severity")
-    per = Window.partitionBy("severity").orderBy(F.asc_nulls_last("team"), "player_name")
-    before = rows.groupBy("severity").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(Window.orderBy("severity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(before, "severity").withColumn("position", F.row_number().over(per) + F.col("_before")).drop("_n", "_before")
+    """The report with each row's place in it, numbered over ranges of the report's order."""
+    return C.numbered_report(injuries(spark, d)).select("player_name", "team", "status", "severity", "position")
 
 
 @query("injury_counts", f"WITH {_INJ} SELECT 'nba' AS league, count(*) AS total, count(*) FILTER (status='Out') AS out FROM inj")
