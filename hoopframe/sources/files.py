@@ -37,6 +37,22 @@ def box_documents(spark: SparkSession, path: str) -> DataFrame:
     return with_path_fields(docs)
 
 
+BUNDLE_SCHEMA = "path STRING, modified TIMESTAMP, body STRING"
+
+
+def parsed_bundle(rows: DataFrame) -> DataFrame:
+    """Documents of bundled files: the body of each, parsed; what is no document keeps its text in ``_corrupt``."""
+    doc = F.from_json("body", BOX_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return with_path_fields(rows.select(F.col("path"), F.col("modified"), doc.alias("d")).select("d.*", "path", "modified"))
+
+
+def read_bundle(spark: SparkSession, path: str, league: str) -> tuple[DataFrame, DataFrame]:
+    """(player_game, rejects) of bundled game files, the newest good version of each game."""
+    good, bad = split_documents(parsed_bundle(spark.read.schema(BUNDLE_SCHEMA).parquet(path)))
+    newest = good.groupBy("season", "file_id").agg(F.max_by(F.struct(*good.columns), F.struct("modified", "path")).alias("_f"))
+    return player_rows(newest.select("_f.*").drop("modified"), league), bad
+
+
 def with_path_fields(docs: DataFrame) -> DataFrame:
     return docs.withColumn("season", season_from_path(F.col("path"))).withColumn("file_id", id_from_path(F.col("path")))
 

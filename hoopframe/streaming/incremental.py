@@ -36,42 +36,66 @@ def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint:
 
 # --- box scores -----------------------------------------------------------------------------------
 
-def ingest_box_scores(spark: SparkSession, source: str, table: str, rejects: str, checkpoint: str, league: str,
-                      files_per_batch: int | None = None, once: bool = True) -> StreamingQuery:
-    """Box score files into a fact table partitioned by league and season.
-
-    A file is taken as a whole or rejected with a reason.  A game that is already stored is
-    skipped, so a file that is offered again (same game, or a replayed batch) changes nothing; a
-    rejected file counts as missing and comes in once it is offered in good shape.
-    """
+def file_documents(spark: SparkSession, source: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of stored game documents, one a file (``.../{season}/games/{id}.json``)."""
     reader = (spark.readStream.schema(S.BOX_SCHEMA).option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", "_corrupt"))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    docs = S.with_path_fields(reader.json(source).select("*", F.col("_metadata.file_path").alias("path"),
+    return S.with_path_fields(reader.json(source).select("*", F.col("_metadata.file_path").alias("path"),
                                                          F.col("_metadata.file_modification_time").alias("modified")))
 
+
+def bundle_documents(spark: SparkSession, source: str, files_per_batch: int | None = None) -> DataFrame:
+    """The same from bundles: rows of (path, modified, body), many game files in one Parquet file."""
+    reader = spark.readStream.schema(S.BUNDLE_SCHEMA)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return S.parsed_bundle(reader.parquet(source))
+
+
+def ingest_documents(spark: SparkSession, docs: DataFrame, table: str, rejects: str, checkpoint: str, league: str,
+                     once: bool = True) -> StreamingQuery:
+    """Game documents into a fact table partitioned by league and season.
+
+    A file is taken as a whole or rejected with a reason.  A game that is already stored is
+    skipped, so a file that is offered again (same game, or a replayed batch) changes nothing; a
+    rejected file counts as missing and comes in once it is offered in good shape. Of several
+    versions of a game in one batch the newest good one counts. Rejects are kept per micro-batch.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = S.split_documents(batch)
-        newest = good.groupBy("season", "file_id").agg(F.max_by(F.struct(*good.columns), F.struct("modified", "path")).alias("_f"))
-        rows = S.player_rows(newest.select("_f.*").drop("modified"), league)
-        if table_exists(spark, table):
-            # prune to the seasons of the batch before looking for stored games
-            seasons = [r[0] for r in good.select("season").distinct().collect()]
-            stored = spark.read.parquet(table).filter(F.col("season").isin(seasons)).select(
-                "league", F.col("season").cast("string").alias("season"), "game_id").distinct()
-            rows = rows.join(stored, list(GAME_KEY), "left_anti")
-        rows.write.mode("append").partitionBy("league", "season").parquet(table)
-        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(rejects)
+        checked = batch.withColumn("reason", S.document_problem()).persist()  # parsed once for rows, rejects and seasons
+        try:
+            good = checked.filter(F.col("reason").isNull()).drop("reason")
+            newest = good.groupBy("season", "file_id").agg(F.max_by(F.struct(*good.columns), F.struct("modified", "path")).alias("_f"))
+            rows = S.player_rows(newest.select("_f.*").drop("modified"), league)
+            if table_exists(spark, table):
+                # prune to the seasons of the batch before looking for stored games
+                seasons = [r[0] for r in good.select("season").distinct().collect()]
+                stored = spark.read.parquet(table).filter(F.col("season").isin(seasons)).select(
+                    "league", F.col("season").cast("string").alias("season"), "game_id").distinct()
+                rows = rows.join(stored, list(GAME_KEY), "left_anti")
+            rows.write.mode("append").partitionBy("league", "season").parquet(table)
+            bad = checked.filter(F.col("reason").isNotNull()).select(F.lit(league).alias("league"), "path", "season", "file_id", "reason")
+            bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(rejects)
+        finally:
+            checked.unpersist()
 
     return _run(docs, write, checkpoint, once=once)
 
 
+def ingest_box_scores(spark: SparkSession, source: str, table: str, rejects: str, checkpoint: str, league: str,
+                      files_per_batch: int | None = None, once: bool = True) -> StreamingQuery:
+    """``ingest_documents`` for box score files."""
+    return ingest_documents(spark, file_documents(spark, source, files_per_batch), table, rejects, checkpoint, league, once)
+
+
 def offered_again(spark: SparkSession, rejects: str, fact: DataFrame) -> DataFrame:
     """Rejected files whose game is still not stored: the list to fetch again."""
-    return spark.read.parquet(rejects).select(F.col("file_id").alias("game_id"), "season", "path", "reason").join(
-        fact.select("season", "game_id"), ["season", "game_id"], "left_anti")
+    bad = spark.read.parquet(rejects).select("league", F.col("file_id").alias("game_id"), "season", "path", "reason").distinct()
+    stored = fact.select("league", F.col("season").cast("string").alias("season"), "game_id").distinct()
+    return bad.join(stored, list(GAME_KEY), "left_anti")
 
 
 # --- schedules ----------------------------------------------------------------------------------------
