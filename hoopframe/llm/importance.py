@@ -51,7 +51,8 @@ def pairs(words: list[bytes], last: bytes | None) -> list[bytes]:
 def common_features(texts: DataFrame, runs: int, head: int) -> tuple[dict, dict]:
     """CRC states of the most frequent words and buckets-to-be (CRCs) of the most frequent pairs.
 
-    Counts are exact over all texts; ties go to the smaller bytes.
+    Counts are exact over all texts. Features of one count are in together or not at all, so at most
+    ``head`` rows come to the driver.
     """
     def count(batches):
         seen = Counter()
@@ -78,11 +79,20 @@ def common_features(texts: DataFrame, runs: int, head: int) -> tuple[dict, dict]
 
     times = (texts.select("text").mapInArrow(count, "n int, feature binary, times long")
              .groupBy("n", "feature").agg(F.sum("times").alias("times")))
-    held = stage(times, "features") if runs > 1 else times
+    held = stage(times, "features")
     out = []
     for n in (1, 2)[:min(runs, 2)]:
-        top = held.where(F.col("n") == n).orderBy(F.desc("times"), "feature").limit(head)
-        out.append({bytes(r.feature): crc32(r.feature) for r in top.collect()})
+        mine = held.where(F.col("n") == n)
+        # how many features have each count, from the highest: the counts whose features all fit make the head
+        steps = mine.groupBy("times").agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("times")).limit(head).collect()
+        least, room = None, head
+        for step in steps:
+            room -= step.many
+            if room < 0:
+                break
+            least = step.times
+        top = [] if least is None else mine.where(F.col("times") >= least).select("feature").collect()  # at most ``head`` rows
+        out.append({bytes(r.feature): crc32(r.feature) for r in top})
     return out[0], out[1] if runs > 1 else {}
 
 
