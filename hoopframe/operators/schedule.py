@@ -292,6 +292,23 @@ def stale_entries(bundles: DataFrame, pool: DataFrame, now: Column, current_end_
     return pool.select("league", "player_id").join(fresh, ["league", "player_id"], "left_anti")
 
 
+def refresh_work(bundles: DataFrame, pool: DataFrame, now: Column, current_end_year: int) -> DataFrame:
+    """(league, player_id, reason, place): the histories to fetch again, in the order to fetch them.
+
+    Absent ones first, then incomplete ones, then those past their age limit (longer for careers that
+    are over), oldest first. Numbered over ranges, so the list may be of any length.
+    """
+    years = F.array_max(F.transform("rows", lambda r: r["year"]))
+    ttl = F.when(years < current_end_year - 1, K.STATIC_TTL_DAYS).otherwise(K.ACTIVE_TTL_DAYS)
+    whole = F.coalesce(F.col("complete") & F.col("debut").isNotNull(), F.lit(False))
+    state = bundles.select("league", "player_id", "fetched", F.when(~whole, "incomplete").when(~X.is_fresh("fetched", ttl, now), "expired").otherwise("fresh").alias("reason"))
+    listed = (pool.select("league", "player_id").distinct().join(state, ["league", "player_id"], "left")
+              .withColumn("reason", F.coalesce("reason", F.lit("absent"))).where("reason <> 'fresh'"))
+    first = F.array_position(F.array(*[F.lit(x) for x in ("absent", "incomplete", "expired")]), F.col("reason"))
+    ordered = listed.withColumn("_first", first)
+    return number_rows(ordered, ["_first", F.asc_nulls_first("fetched"), "league", "player_id"], "place").drop("_first", "fetched")
+
+
 def content_hash(df: DataFrame, keys: Sequence[str], ignore: Sequence[str] = K.STAMP_COLUMNS) -> DataFrame:
     """Order-free fingerprint per key (a sum of row hashes, so copies count), stamps left out."""
     cols = sorted(c for c in df.columns if c not in ignore)

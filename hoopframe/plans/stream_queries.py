@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import constants as K
-from ..operators import boards as B
 from ..operators import schedule as C
-from ..operators import snapshots as N
 from ..sources import files as S
 from ..sources import sinks as W
 from ..sources.staging import fresh_path, stage
@@ -15,7 +12,6 @@ from ..streaming import incremental as T
 from ..streaming import snapshot_state as Z
 from . import bindings as D
 from . import sqlparts as Q
-from .board_queries import BY
 from .registry import query
 from .schedule_queries import _SNAP, arrivals
 
@@ -118,3 +114,154 @@ def stream_box_scores(spark, d):
     none = F.lit(None)
     return stored.join(valid, ["season", "game_id"], "left_semi").select(F.lit("stored").alias("kind"), "season", "game_id", "players", "pts", none.cast("string").alias("reason")).unionByName(
         waiting.select(F.lit("missing").alias("kind"), "season", "game_id", none.cast("long").alias("players"), none.cast("long").alias("pts"), "reason"))
+
+
+# --- schedules and late rows ---------------------------------------------------------------------------------
+
+@query("stream_schedule", f"""WITH {Q.BOX}, {Q.GAMES},
+one AS (SELECT season, game_id, CASE WHEN game_id%2=1 THEN home_score END AS home_score FROM games),
+kept AS (SELECT * FROM one WHERE season NOT IN ('1996', '1998')),
+two AS (SELECT season, game_id, home_score FROM games WHERE season='1996' OR season='1998' AND game_id%3=0)
+SELECT * FROM kept UNION ALL SELECT * FROM two""")
+def stream_schedule(spark, d):
+    """Three pulls into a stored schedule: a first one half without scores, then a full season, a smaller one that had
+    failures (kept as stored) and a smaller one without (taken), then an empty pull."""
+    g = stage(D.games(spark, d), "games")
+    k, s = F.col("game_id"), F.col("season")
+    first = g.withColumn("home_score", F.when(k % 2 == 1, F.col("home_score")))
+    second = g.where((s == "1996") | ((s == "1997") & (k % 2 == 0)) | ((s == "1998") & (k % 3 == 0)))
+    poorer = second.withColumn("home_score", F.lit(None).cast("long")).withColumn("feed", F.lit(0))  # the earlier feed, less complete
+    failed = g.where(s == "1997").groupBy("league", "season").agg(F.lit(1).alias("failures"))
+    land, table, ck = (fresh_path(spark, n) for n in ("pulls", "schedule", "schedule-checkpoint"))
+    pulls = (first.withColumn("feed", F.lit(0)), second.withColumn("feed", F.lit(1)).unionByName(poorer), first.limit(0).withColumn("feed", F.lit(0)))
+    for pull in pulls:
+        pull.write.mode("append").parquet(land)
+        stream = spark.readStream.schema(pull.schema).parquet(land)
+        T.ingest_schedule(stream, table, ck, "feed", failed).awaitTermination()
+    return spark.read.parquet(table).select(F.col("season").cast("string").alias("season"), "game_id", "home_score")
+
+
+_LATE = "(season IN ('1997', '1999') AND game_id%10=0)"
+
+
+@query("late_box_scores", f"""WITH {Q.BOX}, {Q.TOTALS},
+lead AS (SELECT season, arg_min(player_id, (-pts, player_id)) AS top FROM totals GROUP BY ALL)
+SELECT t.season, t.player_id, t.gp, t.pts, t.season IN ('1997', '1999') AS rewritten, t.player_id=l.top AS leads FROM totals t JOIN lead l USING (season)""")
+def late_box_scores(spark, d):
+    """Season totals after late rows: only the seasons they touch are computed and written again."""
+    b = stage(D.box(spark, d).select("league", "season", "season_start", "game_id", "team_abbrev", "player_id", "player_name", "starter", "did_not_play", "min",
+                                     *D.STATS, "plus_minus"), "box")
+    late = b.where(F.expr(_LATE.replace("%", " % ")))
+    land, table, ck = (fresh_path(spark, n) for n in ("rows", "totals", "late-checkpoint"))
+
+    def write(batch, batch_id):
+        arrived = spark.read.schema(b.schema).parquet(land)
+        fresh = T.recompute_seasons(arrived, batch).select("league", "season", "player_id", "gp", "pts", F.lit(batch_id).alias("batch"))
+        W.write_changed_seasons(fresh, table)
+
+    for part in (b.join(late.select("game_id").distinct(), "game_id", "left_anti").select(b.columns), late):
+        part.write.mode("append").parquet(land)
+        T._run(spark.readStream.schema(b.schema).parquet(land), write, ck).awaitTermination()
+    rows = spark.read.parquet(table).withColumn("season", F.col("season").cast("string"))
+    top = rows.groupBy("season").agg(F.min_by("player_id", F.struct(-F.col("pts"), "player_id")).alias("_top"))
+    return rows.join(top, "season").select("season", "player_id", "gp", "pts", (F.col("batch") > 0).alias("rewritten"), (F.col("player_id") == F.col("_top")).alias("leads"))
+
+
+# --- sinks ------------------------------------------------------------------------------------------------------
+
+@query("changed_seasons", f"""WITH {Q.BOX}, {Q.GAMES}, n AS (SELECT *, game_id%997=0 AND season<>'1995' AS moved FROM games)
+SELECT 'first' AS kind, season, NULL AS games, NULL AS points FROM games GROUP BY season
+UNION ALL SELECT 'second', season, NULL, NULL FROM n WHERE moved GROUP BY season
+UNION ALL SELECT 'stored', season, count(*), sum(home_score + moved::INT)::BIGINT FROM n GROUP BY season
+UNION ALL SELECT 'if_changed', t, w, NULL FROM (VALUES ('1', 1), ('2', 0), ('3', 1)) v(t, w)""")
+def changed_seasons(spark, d):
+    """Which seasons each write touched, and what is stored: a season that a later write lacks stays, a write of the
+    same rows touches none, and a table is only written when rows other than its stamps differ."""
+    g = stage(D.games(spark, d).select("league", "season", "game_id", "home_score"), "games")
+    table, plain = fresh_path(spark, "seasons"), fresh_path(spark, "plain")
+    moved = g.where(F.col("season") != "1995").withColumn("home_score", F.col("home_score") + (F.col("game_id") % 997 == 0).cast("long"))
+    parts = []
+    for name, rows in (("first", g), ("second", moved), ("third", moved)):
+        parts.append(W.write_changed_seasons(rows, table).select(F.lit(name).alias("kind"), "season"))
+    wrote = [W.write_if_changed(W.stamp(rows, "feed", now), plain) for rows, now in ((g, "a"), (g, "b"), (moved, "b"))]
+    stored = spark.read.parquet(table).groupBy(F.col("season").cast("string").alias("season")).agg(F.count(F.lit(1)).alias("games"), F.sum("home_score").alias("points"))
+    flags = spark.createDataFrame([("if_changed", str(i + 1), int(w)) for i, w in enumerate(wrote)], "kind string, season string, games long")
+    return C.union_all([*parts, stored.withColumn("kind", F.lit("stored")), flags]).select("kind", "season", "games", "points")
+
+
+# --- sources ----------------------------------------------------------------------------------------------------
+
+_TEXT = ("game_id", "date", "season", "home_id", "home_abbrev", "home_score", "away_id", "away_abbrev", "away_score", "status")
+
+
+@query("read_versions", f"""WITH {Q.BOX}, {Q.GAMES}, v AS (SELECT *, CASE WHEN season<'1995' THEN 1 WHEN season<'1998' THEN 2 ELSE 3 END AS version FROM games)
+SELECT 'row' AS kind, season, game_id::VARCHAR AS game_id, home_score::BIGINT AS home_score, CASE WHEN version>1 THEN neutral='True' ELSE FALSE END AS neutral,
+  CASE WHEN version=3 THEN 'West Finals, "late"' END AS round FROM v WHERE NOT (version=2 AND game_id%41=0)
+UNION ALL SELECT 'no whole number under game_id', season, NULL, NULL, NULL, NULL FROM v WHERE version=2 AND game_id%82=0
+UNION ALL SELECT 'cells differ from the header', season, NULL, NULL, NULL, NULL FROM v WHERE version=2 AND game_id%82=41""")
+def read_versions(spark, d):
+    """All games as CSV files of three header versions, read by name in one job; damaged lines are kept as rejects."""
+    g = stage(D.games(spark, d).withColumn("date", F.date_format("ts", "yyyy-MM-dd'T'HH:mm'Z'")), "games")
+    s, k = F.col("season"), F.col("game_id")
+    land = fresh_path(spark, "versions")
+    one = g.where(s < "1995").select(*_TEXT)
+    two = g.where((s >= "1995") & (s < "1998")).select("neutral", *[c for c in reversed(_TEXT)])
+    three = g.where(s >= "1998").select(F.lit("x").alias("channel"), *_TEXT, "neutral", F.lit('West Finals, "late"').alias("round"))
+    bad = two.where(k % 82 != 41).withColumn("game_id", F.when(k % 82 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string")))
+    short = two.where(k % 82 == 41).select("status", "season")
+    for name, rows in (("1", one), ("2", bad), ("3", three)):
+        rows.write.option("header", True).option("escape", '"').csv(f"{land}/{name}")
+    # the same header with lines that end early, in a file of its own
+    header = ",".join(bad.columns)
+    text = short.select(F.concat_ws(",", F.lit("True"), "status", "season").alias("value"))
+    spark.createDataFrame([(header,)], "value string").unionByName(text).coalesce(1).write.text(f"{land}/4")
+    rows, rejects = S.read_versions(spark, f"{land}/*")
+    games = S.typed_games(rows, D.LEAGUE).select(F.lit("row").alias("kind"), "season", F.col("game_id").cast("string").alias("game_id"), "home_score", "neutral", "round")
+    year = F.regexp_extract("line", r"(?:^|,)(199\d)(?:,|$)", 1)
+    return games.unionByName(rejects.select(F.col("reason").alias("kind"), year.alias("season")), allowMissingColumns=True)
+
+
+@query("read_documents", f"""WITH {Q.BOX}, {Q.GAMES}
+SELECT 'game' AS kind, season AS a, game_id::VARCHAR AS b, home_score::VARCHAR AS c FROM games
+UNION ALL SELECT 'team', '2001', n_nationkey::VARCHAR, 'T'||n_nationkey FROM nation
+UNION ALL SELECT 'position', s_suppkey::VARCHAR, CASE s_suppkey%4 WHEN 0 THEN 'G' WHEN 1 THEN 'F' WHEN 2 THEN 'C' END, s_name FROM supplier""")
+def read_documents(spark, d):
+    """Season documents, team envelopes and position lists, written as JSON documents and read back."""
+    g = stage(D.games(spark, d).withColumn("date", F.date_format("ts", "yyyy-MM-dd'T'HH:mm'Z'")), "games")
+    root = fresh_path(spark, "documents")
+    one = {"maxRecordsPerFile": 1}  # one document a file
+    cells = F.struct(*[F.col(c).cast("string").alias(c) for c in _TEXT])
+    g.groupBy(F.col("season"), F.floor(F.col("game_id") / 500).alias("_part")).agg(F.collect_list(cells).alias("games")).drop("_part").write.options(**one).json(f"{root}/seasons")
+    n = D.table(spark, d, "nation")
+    team = F.struct(F.col("n_nationkey").alias("team_id"), F.concat(F.lit("T"), "n_nationkey").alias("abbrev"), F.col("n_name").alias("display_name"))
+    n.select(F.lit("2001").alias("season"), F.array(team).alias("teams")).write.options(**one).json(f"{root}/teams")
+    p = D.players(spark, d)
+    listed = p.groupBy(F.floor(F.col("player_id") / 50).alias("_part")).agg(F.collect_list(F.struct("player_id", "player_name", "position", "team_id")).alias("players"))
+    listed.select("players").write.options(**one).json(f"{root}/positions")
+    games = S.read_season_docs(spark, f"{root}/seasons", D.LEAGUE).select(
+        F.lit("game").alias("kind"), F.col("season").alias("a"), F.col("game_id").cast("string").alias("b"), F.col("home_score").cast("string").alias("c"))
+    teams = S.read_teams(spark, f"{root}/teams", D.LEAGUE).select(F.lit("team"), "season", F.col("team_id").cast("string"), "abbrev")
+    places = S.read_positions(spark, f"{root}/positions", D.LEAGUE).select(F.lit("position"), F.col("player_id").cast("string"), "position", "player_name")
+    return games.union(teams).union(places)
+
+
+# --- work lists ---------------------------------------------------------------------------------------------------
+
+_FETCHED = "(DATE '2024-03-01' - (s_suppkey*7%400)::INT)"
+
+
+@query("refresh_work", f"""WITH p AS (SELECT s_suppkey AS player_id, {_FETCHED} AS fetched, s_suppkey%9<>0 AS complete, CASE WHEN s_suppkey%13<>0 THEN 1995 END AS debut,
+  1990+s_suppkey%12 AS last, s_suppkey%5<>0 AS held FROM supplier),
+r AS (SELECT *, CASE WHEN NOT held THEN 'absent' WHEN NOT complete OR debut IS NULL THEN 'incomplete'
+  WHEN date_diff('day', fetched, DATE '2024-03-01') >= CASE WHEN last<2000 THEN 180 ELSE 7 END THEN 'expired' END AS reason FROM p)
+SELECT 'nba' AS league, player_id, reason, row_number() OVER (ORDER BY list_position(['absent','incomplete','expired'], reason),
+  CASE WHEN held THEN fetched END NULLS FIRST, player_id) AS place FROM r WHERE reason IS NOT NULL""")
+def refresh_work(spark, d):
+    """Player histories to fetch again, absent ones first, each class with its own age limit."""
+    k = F.col("s_suppkey")
+    s = D.table(spark, d, "supplier")
+    fetched = F.date_format(F.expr("date_sub(DATE '2024-03-01', cast(s_suppkey * 7 % 400 as int))"), "yyyy-MM-dd'T'HH:mm'Z'")
+    rows = F.array(F.struct((1990 + k % 12).alias("year")))
+    base = s.select(F.lit("nba").alias("league"), k.alias("player_id"), fetched.alias("fetched"), (k % 9 != 0).alias("complete"),
+                    F.when(k % 13 != 0, 1995).alias("debut"), rows.alias("rows"))
+    return C.refresh_work(base.where(F.col("player_id") % 5 != 0), base.select("league", "player_id"), F.lit("2024-03-01").cast("timestamp"), 2001)

@@ -93,6 +93,34 @@ def read_schedule(spark: SparkSession, path: str, league: str) -> DataFrame:
     return typed_games(df, league)
 
 
+def read_versions(spark: SparkSession, path: str, columns: tuple[str, ...] = GAME_COLUMNS, key: str = "game_id") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of CSV files whose headers differ, in one job.
+
+    Every file starts with its own header. Columns are met by name: what a file lacks is null, what it has besides
+    ``columns`` is left out. A line with another number of cells than its file's header, or without a
+    whole number under ``key``, is a reject with its file, text and reason. Cells may be
+    quoted but hold no line feeds; all come out as text. Files without a header line give nothing.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    is_head = F.col("value").rlike(rf'(^|,)"?{key}"?(,|$)')
+    heads = lines.where(is_head).groupBy("path").agg(F.min("value").alias("_head"))
+    heads = heads.withColumn("_names", F.transform(F.split("_head", ","), lambda c: F.trim(F.btrim(c, F.lit('"')))))
+    widest = heads.agg(F.max(F.size("_names"))).first()[0] or 1
+    cells = ", ".join(f"c{i} STRING" for i in range(widest + 1))  # one more, to notice lines that are too long
+    body = lines.where(~is_head & (F.length(F.trim("value")) > 0)).join(heads.select("path", "_names"), "path")
+    parsed = body.withColumn("_csv", F.from_csv("value", cells, {"escape": '"'}))
+    parsed = parsed.withColumn("_cells", F.array(*[F.col(f"_csv.c{i}") for i in range(widest + 1)])).drop("_csv")
+    commas = F.length(F.regexp_replace(F.regexp_replace("value", '"[^"]*"', ""), "[^,]", ""))
+    id_text = F.get("_cells", (F.array_position("_names", key) - 1).cast("int"))
+    why = F.when(commas + 1 != F.size("_names"), "cells differ from the header").when(
+        ~F.coalesce(id_text.rlike(r"^\d+$"), F.lit(False)), f"no whole number under {key}")
+    checked = parsed.withColumn("reason", why)
+    named = F.map_from_arrays("_names", F.slice("_cells", 1, F.size("_names")))
+    rows = checked.where(F.col("reason").isNull()).withColumn("_row", named)
+    return (rows.select("path", *[F.col("_row")[c].alias(c) for c in columns]),
+            checked.where(F.col("reason").isNotNull()).select("path", F.col("value").alias("line"), "reason"))
+
+
 def read_season_docs(spark: SparkSession, path: str, league: str) -> DataFrame:
     """Season documents ``{season, games: [...]}`` whose cells are all text."""
     cells = ", ".join(f"{c}: STRING" for c in GAME_COLUMNS)
