@@ -103,8 +103,8 @@ def neighbours(suffixes: DataFrame, blocks: list[str], name: str) -> DataFrame:
     """a, p, b, q: suffixes of different documents next to each other in the order (gram, blocks, id).
 
     A run of suffixes of one document counts as one neighbour. Range partitions may cut a k-gram
-    anywhere; the last run of each partition meets the first suffix of the next one on the
-    driver, which sees one short run and one row a partition.
+    anywhere; the last suffix of each partition meets the first one of the next on the
+    driver, which sees two rows a partition.
     """
     order = ["gram", *blocks, "doc_id", "pos"]
     ranged = suffixes.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
@@ -130,7 +130,7 @@ def neighbours(suffixes: DataFrame, blocks: list[str], name: str) -> DataFrame:
             yield batch(out, 0, 0)
         if head is not None:
             yield batch([(head[0], 0, head[1], head[2])], 1, part)
-            yield batch([(h[0], 0, h[1], h[2]) for h in held], 2, part)
+            yield batch([(h[0], 0, h[1], h[2]) for h in held[-1:]], 2, part)
 
     def batch(rows, kind, part):
         columns = list(zip(*rows)) or [[]] * 4
@@ -150,24 +150,42 @@ def neighbours(suffixes: DataFrame, blocks: list[str], name: str) -> DataFrame:
     return found.where("kind = 0").select("a", "p", "b", "q").unionByName(extra)
 
 
-def extend(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """(start in x, start in y, length) of the maximal equal runs of at least ``least`` words around the places."""
+def extend(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], least: int, width: int) -> list[tuple[int, int, int]]:
+    """(start in x, start in y, length) of the maximal equal runs of at least ``least`` words around the places.
+
+    A place whose ``width`` words lie in runs found before, in x and in y, is not looked at again: a text that
+    repeats itself has places on very many shifts, which all cover the same words.
+    """
     out = []
-    for shift in sorted({q - p for p, q in places}):
+    p_, q_ = np.array([p for p, _ in places]), np.array([q for _, q in places])
+    shifts, which, many = np.unique(q_ - p_, return_inverse=True, return_counts=True)
+    by_shift = np.split(np.argsort(which, kind="stable"), np.cumsum(many)[:-1])
+    open_x, open_y = np.ones(len(x) + 1, np.int64), np.ones(len(y) + 1, np.int64)
+    left_x, left_y = np.cumsum(open_x), np.cumsum(open_y)  # uncovered words up to each one
+    for s in np.argsort(-many, kind="stable"):
+        shift, mine = int(shifts[s]), by_shift[s]
+        begin_x, begin_y = p_[mine], q_[mine]
+        bare = (left_x[np.minimum(begin_x + width, len(x)) - 1] - left_x[begin_x] + open_x[begin_x] > 0) | (
+            left_y[np.minimum(begin_y + width, len(y)) - 1] - left_y[begin_y] + open_y[begin_y] > 0)
+        if not bare.any():
+            continue
         low, high = max(0, -shift), min(len(x), len(y) - shift)
         equal = np.zeros(high - low + 2, bool)
         equal[1:-1] = x[low:high] == y[low + shift:high + shift]
         edge = np.flatnonzero(equal[1:] != equal[:-1])
         starts, ends = edge[0::2], edge[1::2]
-        at = np.array([p - low for p, q in places if q - p == shift])
+        at = begin_x[bare] - low
         hit = np.unique(np.searchsorted(starts, at, side="right") - 1)
         for i in hit[hit >= 0]:
             if ends[i] - starts[i] >= least:
                 out.append((int(starts[i]) + low, int(starts[i]) + low + shift, int(ends[i] - starts[i])))
+                open_x[starts[i] + low:ends[i] + low] = 0
+                open_y[starts[i] + low + shift:ends[i] + low + shift] = 0
+        left_x, left_y = np.cumsum(open_x), np.cumsum(open_y)
     return out
 
 
-def extended(pairs: DataFrame, docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+def extended(pairs: DataFrame, docs: DataFrame, least: int, id_col: str, text_col: str, width: int) -> DataFrame:
     """doc_id, start, end and other_id of the passages around the places ``at`` (p in a, q in b) of each pair, for both sides."""
     pairs = stage(pairs.groupBy("a", "b").agg(F.collect_set("at").alias("at")), "suffix-pairs")
     both = with_texts(pairs, texts_of(docs, pairs, id_col, text_col, "suffix-texts"), "at")
@@ -181,7 +199,7 @@ def extended(pairs: DataFrame, docs: DataFrame, least: int, id_col: str, text_co
                 w, m = Words(ta[i:j] + tb[i:j]), j - i
                 for r in range(m):
                     x, y = w.hashes[w.first[r]:w.first[r + 1]], w.hashes[w.first[m + r]:w.first[m + r + 1]]
-                    for s, t, n in extend(x, y, [(z["p"], z["q"]) for z in at[i + r]], least):
+                    for s, t, n in extend(x, y, [(z["p"], z["q"]) for z in at[i + r]], least, width):
                         out += [(one[i + r], s, s + n, two[i + r]), (two[i + r], t, t + n, one[i + r])]
             columns = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "end", "other_id"])
@@ -241,16 +259,19 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
 
     Documents without such a passage give no row; null and empty texts, shorter ones and rows
     without id never do. Rows that repeat an id are one document. An empty table gives an
-    empty result.
+    empty result. Long texts are read whole; a text that repeats itself costs about as many
+    comparisons as its words, times the shifts that still cover new ones. Ties of equal k-grams
+    are all kept. Of other columns none is read.
     """
     kept = stage(anchors(docs, least, id_col, text_col), "suffix-anchors")
-    twice = (kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram"))
+    # written first, so that the join's sides are plain exchanges and adaptive execution splits a frequent k-gram
+    twice = stage(kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram"), "suffix-grams")
     shared = stage(kept.join(twice, "gram"), "suffix-shared")
     pairs = neighbours(shared, SORTED[0], "suffix-right").unionByName(neighbours(shared, SORTED[1], "suffix-left"))
     flip = F.col("a") > F.col("b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
                          F.struct(F.when(flip, F.col("q")).otherwise(F.col("p")).alias("p"),
                                   F.when(flip, F.col("p")).otherwise(F.col("q")).alias("q")).alias("at"))
-    spans = stage(extended(pairs, docs, least, id_col, text_col), "suffix-spans")
+    spans = stage(extended(pairs, docs, least, id_col, text_col, KGRAM), "suffix-spans")
     rest = window_pairs(docs, shared, spans, least, id_col, text_col)
-    return merge_spans(spans.unionByName(extended(rest, docs, least, id_col, text_col)))
+    return merge_spans(spans.unionByName(extended(rest, docs, least, id_col, text_col, least)))
