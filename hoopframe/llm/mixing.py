@@ -3,8 +3,8 @@
 Documents are aggregated by membership pattern (the set of sources they belong to). The flow
 runs from patterns to source quotas: each pattern offers its tokens once for free, a second
 time at a cost and a third time at a higher one, so repetition is spread as evenly as the
-quotas allow. Whole repeats go to every document of a pattern; the rest goes to documents in a
-seeded order, found by prefix sums over 4096 hash blocks of a pattern.
+quotas allow. Whole repeats go to every document of a pattern; the rest goes to documents that
+still fit, in a seeded order, found by prefix sums over 4096 hash blocks of a pattern in a few rounds.
 """
 
 from __future__ import annotations
@@ -146,33 +146,75 @@ def _overlapping(sizes: dict, weights: dict, total: float) -> dict:
     return targets(bound, weights)
 
 
+def cuts(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+    """pattern, limit, cut (draw, id) and took: how far the seeded order of each pattern's rows fits into its gap.
+
+    rows: pattern, size, draw, doc_id of the rows that may be taken, none larger than ``gap``. Block sums
+    give the block in which the gap ends; only that block is ordered.
+    """
+    blocks = rows.withColumn("block", F.shiftright("draw", 51)).groupBy("pattern", "block").agg(F.sum("size").alias("held"))
+    before = Window.partitionBy("pattern").orderBy("block")  # at most 4096 blocks a pattern
+    blocks = blocks.withColumn("start", F.sum("held").over(before) - F.col("held")).join(F.broadcast(gaps), "pattern")
+    whole = blocks.where("start + held <= gap").groupBy("pattern").agg(F.max("block").alias("upto"), F.sum("held").alias("took"))
+    last = blocks.where("start < gap AND start + held > gap").select("pattern", "block", "start", "gap")
+    order = Window.partitionBy("pattern", "block").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    ends = (rows.withColumn("block", F.shiftright("draw", 51)).join(F.broadcast(last), ["pattern", "block"])
+            .withColumn("end", F.col("start") + F.sum("size").over(order)).where("end <= gap"))
+    inside = ends.groupBy("pattern").agg(F.max(F.struct("draw", "doc_id")).alias("cut"), F.max("end").alias("end"))
+    edge = F.struct(((F.col("upto") + 1) * F.lit(1 << 51) - 1).alias("draw"), F.lit(2**63 - 1).alias("doc_id"))
+    return (gaps.join(whole, "pattern", "left").join(inside, "pattern", "left")
+            .select("pattern", F.col("gap").alias("limit"), F.coalesce("cut", F.when(F.col("upto").isNotNull(), edge)).alias("cut"),
+                    F.coalesce("end", "took", F.lit(0)).alias("took")).where("took > 0"))
+
+
+def taken(rounds: Column) -> Column:
+    """Whether a row (size, draw, doc_id) is taken by one of its pattern's rounds."""
+    here = F.struct("draw", "doc_id")
+    return F.exists(rounds, lambda r: (F.col("size") <= r["limit"]) & (here <= r["cut"]))
+
+
 def mix_plan(slim: DataFrame, weight_of) -> DataFrame:
-    """One row per pattern: whole repeats, and the (draw, id) up to which one more copy is taken.
+    """One row per pattern: whole repeats, and the rounds by which documents are taken once more.
 
-    Block sums give the block a pattern's cut falls into; only that block is ordered.
+    In a round the documents that still fit into what is left, in the seeded order, are taken as far
+    as they fit. What stops a round is larger than the rest, so it is no candidate of the next one.
+    When no document fits, the smallest one left is taken if that comes nearer: a pattern misses its
+    tokens by at most half of that document.
     """
     spark = slim.sparkSession
     sizes, quotas, plan = plan_mix(slim, weight_of)
-    table = []
+    table, left, rounds = [], {}, {}
     for p, (supply, asked) in plan.items():
         whole = asked // supply if supply else 0
         one = p[0] if p else None
-        table.append((list(p), whole, asked - whole * supply, sizes.get(one), quotas.get(one, 0.0)))
-    plans = spark.createDataFrame(table, "pattern array<string>, whole long, rest long, source_size long, target double")
-    blocks = slim.withColumn("block", F.shiftright("draw", 51)).groupBy("pattern", "block").agg(F.sum("size").alias("held"))
-    before = Window.partitionBy("pattern").orderBy("block")
-    blocks = blocks.withColumn("start", F.sum("held").over(before) - F.col("held"))
-    cuts = blocks.join(plans, "pattern").where("rest > start and rest <= start + held").select("pattern", "block", "start", "rest")
-    order = Window.partitionBy("pattern", "block").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    ends = (slim.withColumn("block", F.shiftright("draw", 51)).join(cuts, ["pattern", "block"])
-            .withColumn("end", F.col("start") + F.sum("size").over(order)))
-    low = F.struct((F.col("block") * F.lit(1 << 51) - 1).alias("draw"), F.lit(None).cast("long").alias("doc_id"))
-    fits = F.when(F.col("end") * 2 - F.col("size") <= F.col("rest") * 2, F.struct("draw", "doc_id")).otherwise(low)
-    cut = ends.groupBy("pattern").agg(F.max(fits).alias("cut"))
-    found = cut.collect()  # one row per pattern, as many as the plan has
-    cut = spark.createDataFrame([(r["pattern"], r["cut"]["draw"], r["cut"]["doc_id"]) for r in found],
-                                "pattern array<string>, cut_draw long, cut_id long")
-    return plans.join(cut, "pattern", "left")
+        table.append((list(p), whole, sizes.get(one), quotas.get(one, 0.0)))
+        left[p], rounds[p] = asked - whole * supply, []
+    cut_type = "array<struct<limit:bigint,cut:struct<draw:bigint,doc_id:bigint>>>"
+
+    def open_rows(patterns):
+        """Gaps, one row a pattern, as many as the plan has, and the rows that no round has taken."""
+        gaps = spark.createDataFrame([(list(p), left[p], rounds[p]) for p in patterns], f"pattern array<string>, gap long, rounds {cut_type}")
+        return gaps, slim.join(F.broadcast(gaps), "pattern").where((F.col("size") > 0) & ~taken(F.col("rounds")))
+
+    open_ = {p for p, n in left.items() if n > 0}
+    while open_:
+        gaps, rows = open_rows(open_)
+        rows = rows.where(F.col("size") <= F.col("gap"))
+        found = cuts(rows.select("pattern", "size", "draw", "doc_id"), gaps.select("pattern", "gap")).collect()
+        open_ = set()
+        for r in found:
+            p = tuple(r["pattern"])
+            rounds[p].append((r["limit"], (r["cut"]["draw"], r["cut"]["doc_id"])))
+            left[p] -= r["took"]
+            if left[p] > 0:
+                open_.add(p)
+    if short := [p for p, n in left.items() if n > 0]:
+        _, rows = open_rows(short)
+        least = rows.groupBy("pattern", "gap").agg(F.min(F.struct("size", "draw", "doc_id")).alias("one")).where("one.size < 2 * gap")
+        for r in least.collect():
+            rounds[tuple(r["pattern"])].append((r["one"]["size"], (r["one"]["draw"], r["one"]["doc_id"])))
+    rows = [(*r, rounds[tuple(r[0])]) for r in table]
+    return spark.createDataFrame(rows, f"pattern array<string>, whole long, source_size long, target double, rounds {cut_type}")
 
 
 def with_copies(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id", seed: int = 7,
@@ -182,7 +224,7 @@ def with_copies(docs: DataFrame, members: Column, size: Column, id_col: str = "d
 
     members: an array of source names (null allowed). Every document of a pattern gets the whole
     repeats; the rest of the pattern's tokens goes to documents in the order of a seeded hash of
-    the id, where a document belongs to it if its middle token does. Documents of size 0 get only
+    the id, those that still fit, in rounds (``mix_plan``). Documents of size 0 get only
     whole repeats. Rows of one id are taken together. An empty table gives empty results.
     """
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs[id_col].cast("long")), 1)
@@ -193,9 +235,8 @@ def with_copies(docs: DataFrame, members: Column, size: Column, id_col: str = "d
     plan = mix_plan(slim, weight_of)
 
     def applied(df: DataFrame) -> DataFrame:
-        upto = (F.col("draw") < F.col("cut_draw")) | ((F.col("draw") == F.col("cut_draw")) & (F.col("doc_id") <= F.col("cut_id")))
-        extra = F.coalesce((F.col("rest") > 0) & (F.col("size") > 0) & upto, F.lit(False))
-        return df.join(F.broadcast(plan), "pattern").withColumn("copies", F.col("whole") + extra.cast("long"))
+        extra = (F.col("size") > 0) & taken(F.col("rounds"))
+        return df.join(F.broadcast(plan), "pattern").withColumn("copies", F.col("whole") + extra.cast("long")).drop("rounds")
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("doc_id"), pattern.alias("pattern"),
                        size.alias("size"), draw.alias("draw"))
