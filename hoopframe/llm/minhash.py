@@ -223,4 +223,4 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
 def drop_near(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, with the columns of ``docs``."""
     gone = near_groups(docs, k, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("gone")), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["gone"]), "left_anti")
