@@ -1,5 +1,7 @@
+import random
+
 import pytest
-from corpus import SCHEMA, WHITE, awkward, near, repeats, split, table, texts
+from corpus import SCHEMA, WHITE, awkward, near, repeats, split, table, texts, words
 from pyspark.sql import functions as F
 
 from hoopframe.llm import common, exact_dedup, line_dedup, minhash, suffixes, windows
@@ -194,3 +196,27 @@ def test_word_hashes_follow_words():
         for x, h in zip(split(t), mine):
             assert seen.setdefault(x, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def test_near_passages_that_repeat_themselves(spark):
+    rng = random.Random(4)
+    line = "ka lo mi " * 30
+    items = [" ".join(words(rng, 40)) + " " + line + " ".join(words(rng, 40)), " ".join(words(rng, 70)) + " " + line + " ".join(words(rng, 20)),
+             "ha " * 500, "ha " * 500 + "x", "one two three four five " * 100, "x " + "one two three four five " * 90, " ".join(words(rng, 200))]
+    got = windows.near_passages(table(spark, items)).collect()
+    held = {i: sum(r.n_words for r in got if r.doc_id == i) for i in range(len(items))}
+    assert 85 <= held[0] <= 110 and 85 <= held[1] <= 110 and held[2] >= 490 and held[3] >= 490 and held[4] >= 400 and held[5] >= 450 and held[6] == 0
+    exact = suffixes.repeated_passages(table(spark, items)).collect()
+    assert {(r.doc_id, r.start, r.end) for r in exact} == repeats(list(enumerate(items)), 50)
+
+
+def test_exact_passages_of_texts_that_repeat_themselves(spark):
+    items = ["ha " * 30_000, "ha " * 60_000, "a b c " * 5_000, "x " + "a b c " * 9_000 + "y", "b c a " * 20]
+    got = {(r.doc_id, r.start, r.end) for r in suffixes.repeated_passages(table(spark, items)).collect()}
+    assert got == {(0, 0, 30_000), (1, 0, 60_000), (2, 0, 15_000), (3, 1, 27_001), (4, 0, 60)}
+
+
+def test_near_copies_with_any_column_names(spark):
+    docs = table(spark, ["a b c d e f g"] * 3 + ["other words stand in here now"])
+    kept = minhash.drop_near(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3]
