@@ -26,7 +26,7 @@ from hoopframe.sources.staging import stage
 
 from .common import id_text, small_batches
 
-#: Characters of text that one group of documents holds at most (a longer document has a group to itself).
+#: Characters of text that one group of documents holds at most on average (groups are drawn by a hash; a longer document makes its group longer).
 GROUP_CHARS = 4_500_000
 #: Words of a training segment.
 SEGMENT = 64
@@ -41,8 +41,6 @@ LN10 = float(np.log(10))
 OPENING = np.array([*range(FIRSTS), CLASSES - 1])
 BUCKETS = 32
 ROUNDS, BATCH, RATE = 2, 512, 0.03
-#: Rank of the attended outputs when texts are scored.
-RANK = 16
 #: What is added to every id's count, and the weight of an id's share when little is known of what follows a class.
 ADD, BACK = 0.1, 20.0
 
@@ -296,19 +294,18 @@ def attend(t: dict, query: np.ndarray, key: np.ndarray):
     return score, out
 
 
-def slim(t: dict) -> dict:
-    """Tables for scoring: attended outputs as a product of rank RANK, so that windows gather less."""
-    u, d, v = np.linalg.svd(t["seen"].astype(np.float64), full_matrices=False)
+def laid_out(t: dict) -> dict:
+    """The trained tables, laid out for scoring."""
     begins = np.zeros((CLASSES, 2), np.float32)
     begins[:, 0], begins[OPENING, 1] = 1, 1
     match = t["match"].astype(np.float32)
     match[:, PAD] = -1e9
     return {"match": match, "distance": t["distance"].astype(np.float32)[np.clip(_GAP, 0, WIDE - 1)] + _MASK, "own": t["own"], "begins": begins,
-            "seen_in": (u[:, :RANK] * d[:RANK]).astype(np.float32), "seen_out": v[:RANK].astype(np.float32)}
+            "seen": t["seen"].astype(np.float32)}
 
 
 def predict(t: dict, query: np.ndarray, key: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each wanted class and of a word's begin, (windows, HALF) each, from slim tables.
+    """Log probability of each wanted class and of a word's begin, (windows, HALF) each, from the tables of ``laid_out``.
 
     Scores and outputs stay far from the limits of single precision, so nothing is subtracted first.
     """
@@ -317,7 +314,7 @@ def predict(t: dict, query: np.ndarray, key: np.ndarray, want: np.ndarray) -> tu
     np.exp(score, out=score)
     with np.errstate(invalid="ignore"):  # places after a text's end see nothing and are not read
         score /= score.sum(2, keepdims=True)
-    out = (score @ t["seen_in"].take(key, 0)).reshape(-1, RANK) @ t["seen_out"]
+    out = (score @ t["seen"].take(key, 0)).reshape(-1, CLASSES)
     out += t["own"].take(query.ravel(), 0)
     picked = out[np.arange(len(out)), np.maximum(want.ravel(), 0)]
     np.exp(out, out=out)
@@ -430,7 +427,7 @@ def fit(gathered: DataFrame, counts: DataFrame, path: str) -> Model:
     t["own"][:] = np.log((pairs + 20 * prior) / (pairs.sum(1, keepdims=True) + 20))
     for i in range(ROUNDS):
         t = one_round(segments, classes, t, RATE / (1 + 2 * i))
-    return Model(classes, inner, share, words, fresh, slim(t))
+    return Model(classes, inner, share, words, fresh, laid_out(t))
 
 
 def score_group(texts: list[str], uses_of: dict, model: Model, coder: Subwords) -> tuple[list[float], list[int], list[int], list[float]]:
