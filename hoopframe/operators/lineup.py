@@ -71,6 +71,14 @@ def display_order(lineup: DataFrame, slate: Sequence[str], slots: Mapping[str, i
     return lineup.orderBy(*slate, case_map(F.col("slot"), order), F.desc(score), "player_id")
 
 
+def display_lines(lineup: DataFrame, slate: Sequence[str], slots: Mapping[str, int] | None = None,
+                  score: str = "projected_points") -> DataFrame:
+    """The same order as a ``line`` number within each slate (a line-up is a few rows)."""
+    slots = K.LINEUP_SLOTS if slots is None else slots
+    order = {b: i for i, b in enumerate([b for b in slots if b != FREE] + [FREE])}
+    return ranked(lineup, slate, [case_map(F.col("slot"), order), F.desc(score), F.asc("player_id")], None, "line")
+
+
 def total_points(lineup: DataFrame, slate: Sequence[str], score: str = "projected_points") -> DataFrame:
     return lineup.groupBy(*slate).agg(F.sum(score).alias("total_points"), F.count(F.lit(1)).alias("players"))
 

@@ -77,6 +77,11 @@ def schedule_order(games: DataFrame) -> DataFrame:
     return games.orderBy(F.asc_nulls_first("ts"), "game_id")
 
 
+def schedule_places(games: DataFrame) -> DataFrame:
+    """Each game's ``place`` in that order, for a schedule of any length."""
+    return number_rows(games, [F.asc_nulls_first("ts"), "game_id"], "place")
+
+
 # --- standings and injuries ----------------------------------------------------------------------
 
 def standings_view(standings: DataFrame) -> DataFrame:
