@@ -72,8 +72,9 @@ def ingest_documents(spark: SparkSession, docs: DataFrame, table: str, rejects:
             if table_exists(spark, table):
                 # prune to the seasons of the batch before looking for stored games
                 seasons = [r[0] for r in good.select("season").distinct().collect()]
-                stored = spark.read.parquet(table).filter(F.col("season").isin(seasons)).select(
-                    "league", F.col("season").cast("string").alias("season"), "game_id").distinct()
+                # the schema is given: a table whose batches were all rejected so far has no file to tell it
+                stored = spark.read.schema("game_id BIGINT, league STRING, season STRING").parquet(table).filter(
+                    F.col("season").isin(seasons)).select(*GAME_KEY).distinct()
                 rows = rows.join(stored, list(GAME_KEY), "left_anti")
             rows.write.mode("append").partitionBy("league", "season").parquet(table)
             bad = checked.filter(F.col("reason").isNotNull()).select(F.lit(league).alias("league"), "path", "season", "file_id", "reason")
@@ -93,7 +94,8 @@ def ingest_box_scores(spark: SparkSession, source: str, table: str, rejects: str
 
 def offered_again(spark: SparkSession, rejects: str, fact: DataFrame) -> DataFrame:
     """Rejected files whose game is still not stored: the list to fetch again."""
-    bad = spark.read.parquet(rejects).select("league", F.col("file_id").alias("game_id"), "season", "path", "reason").distinct()
+    kept = "league STRING, path STRING, season STRING, file_id BIGINT, reason STRING, batch_id BIGINT"
+    bad = spark.read.schema(kept).parquet(rejects).select("league", F.col("file_id").alias("game_id"), "season", "path", "reason").distinct()
     stored = fact.select("league", F.col("season").cast("string").alias("season"), "game_id").distinct()
     return bad.join(stored, list(GAME_KEY), "left_anti")
 

@@ -167,3 +167,54 @@ def test_late_rows_recompute_only_their_season(spark):
     out = T.recompute_seasons(b, b.filter("game_id = 2"))
     assert [r.season for r in out.collect()] == ["2021-22"]
     assert B.player_totals(b).count() == 2
+
+
+def test_snapshot_state_in_any_order(spark, tmp_path):
+    """Pulls in a shuffled order, some twice, against the batch rule on all of them."""
+    import random
+
+    from hoopframe.streaming import snapshot_state as Z
+    rng = random.Random(4)
+    rows = [snap(day, a, float(rng.randint(0, 2)), season) for day in range(8) for a in range(2) for season in ("2020-21", "2021-22")]
+    arrivals = spark.createDataFrame(rows, SNAP)
+    pulls = Z.pulls(arrivals)
+    order = list(range(4))
+    for part in order:
+        some = pulls.where(F.pmod(F.xxhash64("season", "snap_date", "arrival"), F.lit(4)) == (part * 3 + 1) % 4)
+        some.coalesce(1).write.mode("append").parquet(str(tmp_path / "land"))
+        if part == 2:
+            some.coalesce(1).write.mode("append").parquet(str(tmp_path / "land"))  # offered again
+        stream = spark.readStream.schema(pulls.schema).parquet(str(tmp_path / "land"))
+        Z.follow_snapshots(stream, str(tmp_path / "updates"), str(tmp_path / "ck")).awaitTermination()
+    got = sorted(tuple(r) for r in Z.stored_snapshots(spark, str(tmp_path / "updates")).select("season", "snap_date", "score").collect())
+    want = sorted(tuple(r) for r in N.keep_changed(arrivals).select("season", "snap_date", "score").collect())
+    assert got == want and len(want) > 6
+
+
+def test_bundles_and_rejects_by_league(spark, tmp_path):
+    good = lambda g, pts: json.dumps({"game": {"game_id": g}, "players": [{**player(g, 1, 1), "pts": pts}, player(g, 2, 2)]})
+    rows = [("r/2024/games/1.json", "2024-01-01", good(1, 5)), ("r/2024/games/1.json", "2024-01-02", good(1, 9)), ("r/2024/games/2.json", "2024-01-01", "{"),
+            ("r/2024/games/3.json", "2024-01-01", good(4, 1))]
+    df = spark.createDataFrame(rows, "path string, modified string, body string").withColumn("modified", F.col("modified").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "land"))
+    batch, bad = S.read_bundle(spark, str(tmp_path / "land"), "wnba")
+    assert {(r.game_id, r.player_id, r.pts) for r in batch.collect()} >= {(1, 1, 9)} and {r.reason for r in bad.collect()} == {"unreadable", "game id differs"}
+    run = lambda ck: T.ingest_documents(spark, T.bundle_documents(spark, str(tmp_path / "land"), 1), str(tmp_path / "f"), str(tmp_path / "r"), str(tmp_path / ck), "wnba").awaitTermination()
+    run("ck1")
+    fact = spark.read.parquet(str(tmp_path / "f"))
+    assert fact.where("game_id = 1").count() == 2
+    run("ck2")
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 2
+    assert {r.game_id for r in T.offered_again(spark, str(tmp_path / "r"), fact).collect()} == {2, 3}
+    other = fact.withColumn("game_id", F.lit(2)).withColumn("league", F.lit("nba"))
+    assert {r.game_id for r in T.offered_again(spark, str(tmp_path / "r"), fact.unionByName(other)).collect()} == {2, 3}
+
+
+def test_headers_of_several_versions(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "a.csv").write_text("game_id,season,status\n1,2020,F\n\n2,2020\nx,2020,F\n")
+    (tmp_path / "v" / "b.csv").write_text('"status","game_id","extra","round"\nF,3,q,"Finals, ""last"""\nF,4,q,r,s\n')
+    rows, bad = S.read_versions(spark, str(tmp_path / "v"), ("game_id", "season", "status", "round"))
+    assert {(r.game_id, r.season, r.status, r.round) for r in rows.collect()} == {("1", "2020", "F", None), ("3", None, "F", 'Finals, "last"')}
+    assert {(r.line, r.reason) for r in bad.collect()} == {("2,2020", "cells differ from the header"), ("F,4,q,r,s", "cells differ from the header"),
+                                                          ("x,2020,F", "no whole number under game_id")}
