@@ -4,8 +4,6 @@ TITLES: championships of careers the champion index cannot cover.
 CAREER_REBOUNDS / SEASON_REBOUNDS: rebounds where the source carries 0; seasons by end year.
 """
 
-from pyspark.sql import DataFrame, SparkSession
-
 TITLES = {
     3776: 1, 4119: 1, 4120: 8, 4121: 0, 4122: 1, 4123: 1, 4124: 2, 4125: 1, 4126: 4, 4127: 2,
     4128: 1, 4129: 2, 4131: 0, 4132: 2, 4133: 6, 4134: 1, 4135: 0, 4136: 1, 4137: 1, 4138: 10,
@@ -39,18 +37,3 @@ SEASON_REBOUNDS = {
     4152: {1957: 19.6, 1958: 22.7, 1959: 23.0, 1960: 24.0, 1961: 23.9, 1962: 23.6, 1963: 23.6,
            1964: 24.7, 1965: 24.1, 1966: 22.8, 1967: 21.0, 1968: 18.6, 1969: 19.3},
 }
-
-
-def official_titles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("nba", p, t) for p, t in TITLES.items()],
-                                 "league string, player_id bigint, titles bigint")
-
-
-def official_rebounds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("nba", p, r) for p, r in CAREER_REBOUNDS.items()],
-                                 "league string, player_id bigint, reb bigint")
-
-
-def official_season_rebounds(spark: SparkSession) -> DataFrame:
-    rows = [("nba", p, y, r) for p, years in SEASON_REBOUNDS.items() for y, r in years.items()]
-    return spark.createDataFrame(rows, "league string, player_id bigint, year int, reb double")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import overlays as V
 from ..functions import scoring as S
 from ..functions.core import board_order, half_up, nz, ranked, ratio
 from ..functions.seasons import season_label
@@ -76,7 +77,7 @@ def honours_per_player(wins: DataFrame) -> DataFrame:
 
 def honour_points(honours: DataFrame, table: DataFrame) -> DataFrame:
     """Points and number of wins per player; unknown awards score 0."""
-    return honours.join(F.broadcast(table), ["league", "name"], "left").groupBy(*PID).agg(
+    return honours.join(table, ["league", "name"], "left").groupBy(*PID).agg(
         F.sum(nz("points") * F.col("wins")).alias("points"), F.sum("wins").alias("honours_total"))
 
 
@@ -90,7 +91,7 @@ def accolades_pivot(honours: DataFrame, names: DataFrame, players: Sequence[str]
     """Award x selected players, blank where never won, heaviest award first."""
     picked = honours.join(names.select(*PID, "player_name").filter(F.col("player_name").isin(*players)), list(PID))
     wide = picked.groupBy("league", "name").pivot("player_name", list(players)).agg(F.sum("wins"))
-    return wide.join(F.broadcast(table), ["league", "name"], "left").withColumn(
+    return wide.join(table, ["league", "name"], "left").withColumn(
         "points", nz("points")).orderBy("league", F.desc("points"), "name")
 
 
@@ -384,3 +385,20 @@ def progression(log: DataFrame, metric: str, totals_mode: bool = False) -> DataF
     rows = rows.withColumn("value", value)
     return ranked(rows, PID, [F.asc("season"), F.asc("team")], None, "career_year").select(
         *PID, "season", "team", "gp", "value", "career_year")
+
+
+# --- verified overlays as tables ---
+
+def official_titles(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("nba", p, t) for p, t in V.TITLES.items()],
+                                 "league string, player_id bigint, titles bigint")
+
+
+def official_rebounds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("nba", p, r) for p, r in V.CAREER_REBOUNDS.items()],
+                                 "league string, player_id bigint, reb bigint")
+
+
+def official_season_rebounds(spark: SparkSession) -> DataFrame:
+    rows = [("nba", p, y, r) for p, years in V.SEASON_REBOUNDS.items() for y, r in years.items()]
+    return spark.createDataFrame(rows, "league string, player_id bigint, year int, reb double")

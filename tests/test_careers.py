@@ -3,7 +3,6 @@ import pytest
 from pyspark.sql import functions as F
 from tables import box, by, totals
 
-from hoopframe.functions import overlays as O
 from hoopframe.operators import boards as B
 from hoopframe.operators import careers as C
 from hoopframe.operators import schedule as G
@@ -79,12 +78,12 @@ def test_entries_and_overlay(spark):
 
 def test_official_rebounds(spark):
     reb = spark.createDataFrame([("nba", 1, 777)], "league string, player_id bigint, reb bigint")
-    e, _, _ = entries(spark, official_rebounds=reb, official_titles=O.official_titles(spark))
+    e, _, _ = entries(spark, official_rebounds=reb, official_titles=C.official_titles(spark))
     assert by(e, "player_id", "reb")[1] == 777
     b = spark.createDataFrame([bundle(1, rows=[row(2001, reb=0.0), row(2002, reb=3.0)])], BUNDLE)
     fix = spark.createDataFrame([("nba", 1, 2001, 9.5), ("nba", 1, 2002, 9.9)], "league string, player_id bigint, year int, reb double")
     assert [r.reb for r in C.overlay_season_rebounds(b, fix).first().rows] == [9.5, 3.0]
-    assert O.official_rebounds(spark).count() == 11 and O.official_season_rebounds(spark).count() > 100
+    assert C.official_rebounds(spark).count() == 11 and C.official_season_rebounds(spark).count() > 100
 
 
 CAREER = "league string, player_id bigint, player_name string, team_abbrev string, seasons bigint, gp bigint, pts bigint, reb bigint, ast bigint, stl bigint, blk bigint, fg3m bigint, fg3a bigint, plus_minus bigint, peak_impact double, championships bigint"
