@@ -1,9 +1,10 @@
 """Ordered per-key windows that stay balanced whatever share of the rows one key owns.
 
-A window over ``partitionBy(player).orderBy(time)`` puts a whole player into one task.  Here every
-log is range-partitioned by (key, order) and written once; the number of the range is the block.
-A key that lies in one block needs nothing more.  A key that reaches over a block's edge (at most
-one key does so at each edge, whatever its size, null keys included) is windowed block by block:
+A window over ``partitionBy(player).orderBy(time)`` puts a whole player into one task.  Keys are
+counted first, with map-side partial sums.  Rows of keys that fit into a task go to their window
+straight, with one shuffle.  Rows of long keys are range-partitioned by (key, order) and written
+once; the number of the range is the block.  A key that reaches over a block's edge (at most one
+key does so at each edge, null keys included) is windowed block by block:
 
 * row counts before a block come from a prefix sum over the few rows of a block table,
 * the rows a short look-back needs from earlier blocks (the last L rows) are copied to the
@@ -22,6 +23,9 @@ from ..sources.staging import stage
 
 BLOCK = "_block"
 HALO = "_halo"
+#: Rows of a key that one task orders at ease, and how many keys at most are cut into blocks: only
+#: keys with more rows than both this number and the MOST_LONG-th part of all rows are.
+LONG_KEY, MOST_LONG = 1_000_000, 10_000
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -33,16 +37,35 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(named, cond, how).drop(*[f"_on_{k}" for k in keys])
 
 
-def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
-    """Adds ``_block``: the number of the range for keys that reach over an edge, else null."""
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` over ranges, with ``_block``: the number of the range for keys that reach over an edge, else null."""
     by = [*keys, *order]
-    ranged = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
-    rows = stage(ranged.withColumn(BLOCK, F.spark_partition_id()), "log")
+    rows = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    rows = stage(rows.withColumn(BLOCK, F.spark_partition_id()), "log")
     wide = rows.groupBy(*keys).agg(F.min(BLOCK).alias("_lo"), F.max(BLOCK).alias("_hi")).filter("_lo < _hi")
     listed = F.broadcast(wide.select(*keys, F.lit(True).alias("_wide")))  # at most one key an edge between ranges
     return join_on(rows, listed, keys, "left").withColumn(BLOCK, F.when(F.col("_wide"), F.col(BLOCK))).drop("_wide")
 
 
+def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Adds ``_block``: the number of the range for long keys that reach over an edge, else null.
+
+    ``parts`` puts all rows over that many ranges, whatever the length of their keys.
+    """
+    if parts:
+        return ranged(df, keys, order, parts)
+    none = F.lit(None).cast("int")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total, most = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    bound = max(LONG_KEY, total // MOST_LONG)
+    if most <= bound:
+        return df.withColumn(BLOCK, none)
+    long = F.broadcast(sizes.filter(F.col("_n") > bound).select(*keys, F.lit(True).alias("_long")))  # fewer than MOST_LONG
+    marked = join_on(df, long, keys, "left")
+    short = marked.filter(F.col("_long").isNull()).drop("_long").withColumn(BLOCK, none)
+    return short.unionByName(ranged(marked.filter("_long").drop("_long"), keys, order))
+
+
 def with_halo(blocked: DataFrame, keys: Sequence[str], order: Sequence[str], lookback: int) -> DataFrame:
     """Adds, for every block of a wide key, copies (``_halo`` true) of the last ``lookback``
     rows before it."""
@@ -122,7 +145,8 @@ def open_log(df: DataFrame, keys: Sequence[str], order: Sequence[str], lookback:
     """Prepare ``df`` for windows partitioned by ``log.keys`` and ordered by ``order``.
 
     Frames may reach back ``lookback`` rows; counts over everything before a row go through
-    ``Log.finish``. ``parts`` sets the number of ranges (by default that of shuffles).
+    ``Log.finish``. ``parts`` puts all rows over that many ranges; by default only long keys
+    are cut into blocks.
     """
     blocked = with_blocks(df, keys, order, parts)
     return Log(with_halo(blocked, keys, order, lookback), [*keys, BLOCK],

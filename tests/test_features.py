@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tables import box, by, games
 
 from hoopframe.operators import features as X
+from hoopframe.operators import logs
 from hoopframe.operators import projections as P
 from hoopframe.operators import quality as V
 
@@ -110,6 +111,26 @@ def test_ranges_do_not_change_features(spark, seed):
     assert sorted(map(str, P.player_states(df, ("fantasy_points",), (3, 10), parts=23).collect())) == a
 
 
+@pytest.mark.parametrize("long_key", [0, 60, 10**6])
+def test_only_long_keys_are_cut(spark, monkeypatch, long_key):
+    """All keys in blocks, one long key in blocks beside short and null ones, none in blocks."""
+    df = log(spark, 3).withColumn("player_id", F.when(F.col("player_id") != 3, F.col("player_id")))
+    cols = ["game_id", *FORM]
+    want = sorted(map(str, X.player_form(df, ("fantasy_points",), (3, 10), parts=1).select(*cols).collect()))
+    states = sorted(map(str, P.player_states(df, ("fantasy_points",), (3, 10), parts=1).collect()))
+    monkeypatch.setattr(logs, "LONG_KEY", long_key)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges of few rows
+    try:
+        rows = logs.with_blocks(df, X.PLAYER, X.ORDER).filter(F.col(logs.BLOCK).isNotNull())
+        cut = {r.player_id for r in rows.select("player_id").distinct().collect()}
+        assert cut == set() if long_key == 10**6 else 1 in cut and (long_key == 0 or cut == {1})
+        assert sorted(map(str, X.player_form(df, ("fantasy_points",), (3, 10)).select(*cols).collect())) == want
+        assert sorted(map(str, P.player_states(df, ("fantasy_points",), (3, 10)).collect())) == states
+        assert X.player_form(df.limit(0), ("fantasy_points",), (3,)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_one_key_and_day_with_most_rows(spark):
     """90 % of the rows under one key on one day, and a null key, in more ranges than keys."""
     rng = random.Random(9)
