@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +122,7 @@ def gather(rows: DataFrame, path: str) -> DataFrame:
     """
     def run(table: pa.Table) -> pa.Table:
         coder = Subwords(path)
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
         lists: list[list[bytes]] = []
         for text, out in zip(*(table.column(c).to_pylist() for c in ("text", "held_out"))):
             words = split_words(text)
@@ -129,8 +131,7 @@ def gather(rows: DataFrame, path: str) -> DataFrame:
                 for w in words:
                     counts.setdefault(w, 0)
                 continue
-            for w in words:
-                counts[w] = counts.get(w, 0) + 1
+            counts.update(words)
             lists.append(words)
         used = [w for w, k in counts.items() if k and w]
         kind = np.dtype(code_of(coder.end))
@@ -138,7 +139,7 @@ def gather(rows: DataFrame, path: str) -> DataFrame:
         spelled = {w: (np.array(x) + 1).astype(kind).tobytes() for w, x in zip(used, coder.encode(used))}
         spelled[b""] = np.array([coder.end + 1], kind).tobytes()
         opening = np.zeros(1, kind).tobytes()
-        segments = [(b"" if i else opening) + b"".join([spelled[w] for w in words[i:i + SEGMENT]]) for words in lists for i in range(0, len(words), SEGMENT)]
+        segments = [(b"" if i else opening) + b"".join(map(spelled.__getitem__, words[i:i + SEGMENT])) for words in lists for i in range(0, len(words), SEGMENT)]
         n, m = len(counts), len(segments)
         chunk = table.column("chunk")[0].as_py()
         return pa.table({"chunk": pa.array([chunk] * (n + m), pa.int64()), "word": pa.array([*counts, *[None] * m], pa.binary()),
@@ -278,12 +279,13 @@ def blocks(inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray):
 
 
 _GAP = np.arange(HALF)[:, None] + HALF - np.arange(WIDE)[None, :]
+_NEAR = np.clip(_GAP, 0, WIDE - 1)
 _MASK = np.where(_GAP < 0, np.float32(-1e9), np.float32(0))
 
 
 def attend(t: dict, query: np.ndarray, key: np.ndarray):
     """Masked attention of each window: weights (n, HALF, WIDE) and log probabilities (n, HALF, CLASSES)."""
-    score = t["match"][query[:, :, None], key[:, None, :]] + (t["distance"][np.clip(_GAP, 0, WIDE - 1)] + _MASK)
+    score = t["match"][query[:, :, None], key[:, None, :]] + (t["distance"][_NEAR] + _MASK)
     score += np.where(key == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
     score -= score.max(2, keepdims=True)
     np.exp(score, out=score)
@@ -300,7 +302,7 @@ def laid_out(t: dict) -> dict:
     begins[:, 0], begins[OPENING, 1] = 1, 1
     match = t["match"].astype(np.float32)
     match[:, PAD] = -1e9
-    return {"match": match, "distance": t["distance"].astype(np.float32)[np.clip(_GAP, 0, WIDE - 1)] + _MASK, "own": t["own"], "begins": begins,
+    return {"match": match, "distance": t["distance"].astype(np.float32)[_NEAR] + _MASK, "own": t["own"], "begins": begins,
             "seen": t["seen"].astype(np.float32)}
 
 
@@ -323,21 +325,37 @@ def predict(t: dict, query: np.ndarray, key: np.ndarray, want: np.ndarray) -> tu
 
 
 def gradients(t: dict, query: np.ndarray, key: np.ndarray, want: np.ndarray) -> dict:
-    a, logp = attend(t, query, key)
-    g = np.exp(logp)
-    real = want >= 0
-    g[np.nonzero(real) + (want[real],)] -= 1
-    g[~real] = 0
-    g /= max(1, real.sum())
-    flat = CLASSES + 2
-    hot = np.eye(flat, dtype=np.float32)
-    own = hot[query.ravel()].T @ g.reshape(-1, CLASSES)
-    seen = hot[key.ravel()].T @ (a.transpose(0, 2, 1) @ g).reshape(-1, CLASSES)
-    da = g @ t["seen"][key].transpose(0, 2, 1)
-    ds = a * (da - (a * da).sum(2, keepdims=True))
-    match = np.bincount((query[:, :, None] * flat + key[:, None, :]).ravel(), ds.ravel(), flat * flat).reshape(flat, flat)
-    distance = np.bincount(np.clip(_GAP, 0, WIDE - 1).ravel(), ds.sum(0).ravel(), WIDE)
-    return {"match": match, "distance": distance, "own": own, "seen": seen}
+    """Gradients of the mean log loss of the wanted classes.
+
+    A place's attention is summed by class first, so that what the places have seen and their own
+    classes are one matrix, and outputs and gradients are products with it.
+    """
+    flat, rows = CLASSES + 2, query.size
+    match, near = np.exp(t["match"]), np.where(_GAP < 0, np.float32(0), np.exp(t["distance"])[_NEAR])
+    match[:, PAD] = 0
+    cell = query[:, :, None] * flat + key[:, None, :]
+    spot = np.arange(0, rows * flat, flat).reshape(query.shape)[:, :, None] + key[:, None, :]
+    a = match.ravel().take(cell)
+    a *= near
+    # places after a text's end see nothing
+    a /= np.maximum(np.einsum("nij->ni", a), np.float32(1e-30))[:, :, None]
+    x = np.zeros((rows, 2 * flat), a.dtype)
+    x[:, :flat] = np.bincount(spot.ravel(), a.ravel(), rows * flat).reshape(rows, flat)
+    x[np.arange(rows), flat + query.ravel()] = 1
+    g = x @ np.concatenate([t["seen"], t["own"]])
+    np.exp(g, out=g)
+    real = want.ravel() >= 0
+    n = max(1, int(real.sum()))
+    g *= (real / (g.sum(1) * n)).astype(a.dtype)[:, None]
+    at = np.flatnonzero(real)
+    g[at, want.ravel()[at]] -= 1 / n
+    both = x.T @ g
+    ds = (g @ t["seen"].T).ravel().take(spot)
+    ds -= np.einsum("nij,nij->ni", a, ds)[:, :, None]
+    ds *= a
+    match = np.bincount(cell.ravel(), ds.ravel(), flat * flat).reshape(flat, flat)
+    distance = np.bincount(_NEAR.ravel(), ds.sum(0).ravel(), WIDE)
+    return {"match": match, "distance": distance, "own": both[flat:], "seen": both[:flat]}
 
 
 def sequences(batches, classes: np.ndarray):
@@ -447,7 +465,7 @@ def score_group(texts: list[str], uses_of: dict, model: Model, coder: Subwords)
     whole[np.array(words) == b""] = -np.inf if len(words) else 0
     lists = [[*split_words(t), b""] for t in texts]
     counts = np.array([len(x) for x in lists])
-    which = np.fromiter((index[w] for x in lists for w in x), np.int64, int(counts.sum()))
+    which = np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
     lengths = size[which]
     ends = np.cumsum(lengths)
     take = np.arange(ends[-1]) + np.repeat(start[which] - (ends - lengths), lengths)
@@ -460,13 +478,13 @@ def score_group(texts: list[str], uses_of: dict, model: Model, coder: Subwords)
     logp, begin = np.zeros(want.shape, np.float32), np.zeros(want.shape, np.float32)
     for i in range(0, len(query), 2048):
         logp[i:i + 2048], begin[i:i + 2048] = predict(model.tables, query[i:i + 2048], key[i:i + 2048], want[i:i + 2048])
-    chain = logp[want >= 0].astype(np.float64) / np.log(10)  # windows keep the order of ids
+    steps = logp[want >= 0].astype(np.float64) / np.log(10)  # windows keep the order of ids
     begin = np.append(begin[want >= 0].astype(np.float64) / np.log(10), 0.0)  # a word begins here
     first = ends - lengths
-    opening = chain[first] - begin[first]
+    opening = steps[first] - begin[first]
     last = np.zeros(len(which), bool)
     last[np.cumsum(counts) - 1] = True
-    rest = np.add.reduceat(chain + spelled[take], first) - chain[first] + np.where(last, 0.0, begin[ends])
+    rest = np.add.reduceat(steps + spelled[take], first) - steps[first] + np.where(last, 0.0, begin[ends])
     new = model.fresh[model.classes[flat[start]]][which]
     # long words spell out to less than the smallest double, so the two ways are added as logarithms
     both = np.logaddexp((np.log10(1 - new) + whole[which]) * LN10, (np.log10(new) + rest) * LN10) / LN10
