@@ -9,8 +9,6 @@ still fit, in a seeded order, found by prefix sums over 4096 hash blocks of a pa
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from hoopframe.sources.staging import stage
 
 from .common import WORD
 
-#: Costs of a token's first, second and third use (convex).
+#: Costs of a token's first, second and third use (convex: only their order matters to the flow).
 COSTS = (0, 1, 4)
 #: Patterns the driver's flow solver takes; more is an error, never a cut. It also bounds the broadcast plan.
 MOST_PATTERNS = 200_000
@@ -50,69 +48,81 @@ def targets(sizes: dict, weights: dict, most: int = len(COSTS)) -> dict:
 def min_cost_flow(supply: dict, quotas: dict) -> dict:
     """Tokens sent from each pattern to each source: {(pattern, source): tokens}.
 
-    supply: {pattern (tuple of sources): tokens}. Successive shortest paths over a graph with
-    one node per pattern and source and three parallel arcs into each pattern (one per use).
-    Quotas are rounded to whole tokens, fractions above one half up.
+    supply: {pattern (tuple of sources): tokens}. One node per pattern and source; a pattern's uses
+    are the only arcs with a cost, and a path from the start holds one of them. Shortest paths thus
+    come use by use: each use is opened for all patterns and filled as far as it goes, along blocking
+    flows over levels, before the next one. Quotas are rounded to whole tokens, fractions above one
+    half up.
     """
-    nodes = {"from": 0, "to": 1}
-    arcs: list[list] = []  # head, capacity, cost, back arc
-    out: list[list[int]] = [[], []]
-
-    def node(k):
-        if k not in nodes:
-            nodes[k] = len(out)
-            out.append([])
-        return nodes[k]
-
-    def arc(a: int, b: int, capacity: int, cost: int) -> int:
-        out[a].append(len(arcs))
-        arcs.append([b, capacity, cost])
-        out[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
-        return len(arcs) - 2
-
-    routes = {}
-    for p, tokens in sorted(supply.items(), key=lambda x: [(s is None, s or "") for s in x[0]]):
-        if tokens <= 0:
-            continue
-        at = node(("p", p))
-        for cost in COSTS:
-            arc(0, at, tokens, cost)
-        for s in p:
-            if quotas.get(s, 0) > 0:
-                routes[p, s] = arc(at, node(("s", s)), len(COSTS) * tokens, 0)
-    for s in sorted(quotas, key=lambda s: (s is None, s or "")):
-        if ("s", s) in nodes:
-            arc(nodes["s", s], 1, int(quotas[s] + 0.5), 0)
-    potential = [0] * len(out)
-    while True:
-        far, via, heap = [None] * len(out), [None] * len(out), [(0, 0)]
-        far[0] = 0
-        done = [False] * len(out)
-        while heap:
-            d, a = heapq.heappop(heap)
-            if done[a]:
-                continue
-            done[a] = True
+    head: list[int] = []
+    room: list[int] = []
+    out: list[list[int]] = [[], []]  # the start and the end
+
+    def arc(a: int, b: int, capacity: int) -> int:
+        out[a].append(len(head))
+        out[b].append(len(head) + 1)
+        head.extend((b, a))
+        room.extend((capacity, 0))
+        return len(head) - 2
+
+    def node() -> int:
+        out.append([])
+        return len(out) - 1
+
+    def levels() -> list[int]:
+        level, queue = [-1] * len(out), [0]
+        level[0] = 0
+        for a in queue:
             for e in out[a]:
-                b, capacity, cost = arcs[e]
-                n = d + cost + potential[a] - potential[b]
-                if capacity > 0 and not done[b] and (far[b] is None or n < far[b]):
-                    far[b], via[b] = n, e
-                    heapq.heappush(heap, (n, b))
-        if far[1] is None:
-            break
-        top = max(d for d in far if d is not None)
-        potential = [p + (top if d is None else d) for p, d in zip(potential, far)]
-        path, at = [], 1
-        while at:
-            path.append(via[at])
-            at = arcs[via[at] ^ 1][0]
-        push = min(arcs[e][1] for e in path)
-        for e in path:
-            arcs[e][1] -= push
-            arcs[e ^ 1][1] += push
-    return {k: arcs[e ^ 1][1] for k, e in routes.items() if arcs[e ^ 1][1] > 0}
+                if room[e] > 0 and level[head[e]] < 0:
+                    level[head[e]] = level[a] + 1
+                    queue.append(head[e])
+        return level
+
+    def fill(level: list[int]) -> None:
+        """Push along paths of rising levels until none is left."""
+        tried, path, a = [0] * len(out), [], 0
+        while True:
+            if a == 1:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                full = next(i for i, e in enumerate(path) if not room[e])
+                a = head[path[full] ^ 1]
+                del path[full:]
+            arcs, i = out[a], tried[a]
+            while i < len(arcs) and not (room[arcs[i]] > 0 and level[head[arcs[i]]] == level[a] + 1):
+                i += 1
+            tried[a] = i
+            if i < len(arcs):
+                path.append(arcs[i])
+                a = head[arcs[i]]
+            elif path:
+                a = head[path.pop() ^ 1]
+                tried[a] += 1
+            else:
+                return
+
+    by_name = lambda s: (s is None, s or "")
+    ends = {}
+    for s in sorted(quotas, key=by_name):
+        if quotas[s] > 0:
+            ends[s] = node()
+            arc(ends[s], 1, int(quotas[s] + 0.5))
+    uses, routes = [], {}
+    for p, tokens in sorted(supply.items(), key=lambda x: [by_name(s) for s in x[0]]):
+        at = node()
+        uses.append((arc(0, at, 0), max(0, tokens)))
+        for s in p:
+            if s in ends:
+                routes[p, s] = arc(at, ends[s], len(COSTS) * max(0, tokens))
+    for _ in COSTS:
+        for e, tokens in uses:
+            room[e] += tokens
+        while (level := levels())[1] >= 0:
+            fill(level)
+    return {k: room[e ^ 1] for k, e in routes.items() if room[e ^ 1] > 0}
 
 
 def plan_mix(rows: DataFrame, weight_of) -> tuple[dict, dict, dict]:

@@ -159,6 +159,47 @@ def test_flow_against_all_ways():
         assert (-sum(flow.values()), cost(used)) == best
 
 
+def test_flow_against_cuts():
+    """Many patterns: with k uses open the largest flow is the least cut over all sets of sources, and
+    what k uses add to k - 1 is paid at the k-th cost."""
+    import itertools
+    import random
+    rng = random.Random(5)
+    names = ["a", "b", "c", "d", "e", "f", None]
+    for _ in range(5):
+        supply = {}
+        while len(supply) < 60:
+            p = tuple(x for x in names if rng.random() < 0.4)
+            supply[p] = rng.choice([0, 1, 7, rng.randint(1, 5000)])
+        quotas = {x: rng.choice([0.0, 3.4, 30_000.5, rng.uniform(0, 60_000)]) for x in names}
+        flow = mixing.min_cost_flow(supply, quotas)
+        whole = {x: int(q + 0.5) for x, q in quotas.items()}
+        subsets = [set(c) for n in range(len(names) + 1) for c in itertools.combinations(names, n)]
+        most = [min(sum(whole[x] for x in cut) + k * sum(n for p, n in supply.items() if set(p) - cut) for cut in subsets) for k in range(4)]
+        to, used = Counter(), Counter()
+        for (p, x), n in flow.items():
+            assert x in p and n > 0
+            to[x] += n
+            used[p] += n
+        assert all(to[x] <= whole[x] for x in names) and all(used[p] <= 3 * n for p, n in supply.items())
+        assert sum(flow.values()) == most[3]
+        cost = sum(c * min(max(used[p] - i * n, 0), n) for p, n in supply.items() for i, c in enumerate(mixing.COSTS))
+        assert cost == sum(c * (most[k + 1] - most[k]) for k, c in enumerate(mixing.COSTS))
+
+
+def test_flow_of_many_patterns_ends():
+    """20,000 patterns over 300 sources take seconds, as the documented bound needs."""
+    import random
+    import time
+    rng = random.Random(4)
+    names = [f"s{i}" for i in range(300)]
+    supply = {tuple(sorted(rng.sample(names, rng.randint(1, 5)))): int(rng.paretovariate(1.1) * 1000) for _ in range(20_000)}
+    share = sum(supply.values()) / sum(i % 3 + 1 for i in range(300))
+    start = time.time()
+    flow = mixing.min_cost_flow(supply, {x: share * (i % 3 + 1) for i, x in enumerate(names)})
+    assert time.time() - start < 60 and sum(flow.values()) > 0.99 * sum(supply.values())
+
+
 def test_overlapping_sources(spark):
     docs = table(spark, texts(1, 100))
     members = F.when(docs.doc_id % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b")))
