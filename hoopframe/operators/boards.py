@@ -58,13 +58,14 @@ def attempt_floor(category: str) -> Column:
 # --- aggregates ------------------------------------------------------------------------
 
 def player_totals(box: DataFrame, by: Sequence[str] = BY,
-                  stats: Sequence[str] = K.SEASON_STATS, first_team: bool = False) -> DataFrame:
+                  stats: Sequence[str] = K.SEASON_STATS, first_team: bool = False, parts: int | None = None) -> DataFrame:
     """gp, starts, minutes, summed stats, first-seen name and primary team per player.
 
     Two aggregations: per (player, name, team), then per player, so that the team with most
     appearances (tie: met first in game-id text order) needs no second scan.  The first one
     carries numbers only, which keeps it a hash aggregate with map-side partial sums.
-    ``first_team`` names the team of the first appearance instead.
+    ``first_team`` names the team of the first appearance instead. Both later steps share one exchange;
+    ``parts`` says over how many tasks (names can't be picked in a hash aggregate, so rows are sorted there).
     """
     per_team = appeared(box).groupBy(*by, "player_id", "player_name", "team_abbrev").agg(
         F.count(F.lit(1)).alias("gp"),
@@ -72,7 +73,8 @@ def player_totals(box: DataFrame, by: Sequence[str] = BY,
         F.sum(nz("min")).alias("minutes"),
         F.min(text_order("game_id")).alias("_seen"),
         *[F.sum(nz(s)).alias(s) for s in stats])
-    teams = per_team.groupBy(*by, "player_id", "team_abbrev").agg(
+    held = per_team.repartition(*([parts] if parts else []), *by, "player_id")
+    teams = held.groupBy(*by, "player_id", "team_abbrev").agg(
         F.min_by("player_name", "_seen").alias("player_name"), F.min("_seen").alias("_seen"),
         *[F.sum(c).alias(c) for c in ("gp", "starts", "minutes", *stats)])
     named = F.coalesce(F.col("team_abbrev") != "", F.lit(False))
@@ -139,9 +141,9 @@ def qualifiers(records: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 
 def season_leaderboard(box: DataFrame, weights: Mapping[str, float] | None = None,
-                       by: Sequence[str] = BY) -> DataFrame:
+                       by: Sequence[str] = BY, parts: int | None = None) -> DataFrame:
     """Totals, fantasy score and efficiencies per player, best first per season."""
-    out = S.fantasy_points(player_totals(box, by, K.CAREER_STATS, first_team=True), weights)
+    out = S.fantasy_points(player_totals(box, by, K.CAREER_STATS, first_team=True, parts=parts), weights)
     out = out.select("*", *[c.alias(n) for n, c in S.efficiency().items()])
     return out.orderBy(*by, F.desc("fantasy_points"), "player_id")
 
@@ -243,13 +245,13 @@ def mip(totals: DataFrame, bars: DataFrame, size: int | None = K.RACE_SIZE) -> D
 
 
 def series_mvp(box: DataFrame, games: DataFrame, by: Sequence[str],
-               size: int | None = K.RACE_SIZE) -> DataFrame:
+               size: int | None = K.RACE_SIZE, parts: int | None = None) -> DataFrame:
     """The MVP formula on a play-off series: own standings, bar at half its games rounded up."""
     played = played_games(games)
     bars = played.groupBy(*by).agg(F.count(F.lit(1)).alias("max_games")).withColumn(
         "min_gp", in_season_bar(F.col("max_games")))
     rows = box.join(played.select(*by, "game_id"), [*by, "game_id"], "left_semi")
-    return mvp(player_totals(rows, by), series_results(games, by), bars, size, by)
+    return mvp(player_totals(rows, by, parts=parts), series_results(games, by), bars, size, by)
 
 
 def stat_leaders(totals: DataFrame, bars: DataFrame, stats: Sequence[str] = K.LEADER_STATS,

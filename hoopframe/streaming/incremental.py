@@ -153,9 +153,9 @@ def running_totals(stream: DataFrame, by: Sequence[str], stats: Sequence[str]) -
     return stream.groupBy(*by).agg(F.count(F.lit(1)).alias("gp"), *[F.sum(F.coalesce(s, F.lit(0))).alias(s) for s in stats])
 
 
-def recompute_seasons(box: DataFrame, touched: DataFrame) -> DataFrame:
+def recompute_seasons(box: DataFrame, touched: DataFrame, parts: int | None = None) -> DataFrame:
     """Totals of the seasons that late rows touched; every other season stays as it is."""
-    return B.player_totals(box.join(touched.select("league", "season").distinct(), ["league", "season"], "left_semi"))
+    return B.player_totals(box.join(touched.select("league", "season").distinct(), ["league", "season"], "left_semi"), parts=parts)
 
 
 def event_stream(spark: SparkSession, sf_dir: str, schema) -> DataFrame:
