@@ -67,14 +67,20 @@ def ingest_documents(spark: SparkSession, docs: DataFrame, table: str, rejects:
         checked = batch.withColumn("reason", S.document_problem()).persist()  # parsed once for rows, rejects and seasons
         try:
             good = checked.filter(F.col("reason").isNull()).drop("reason")
-            newest = good.groupBy("season", "file_id").agg(F.max_by(F.struct(*good.columns), F.struct("modified", "path")).alias("_f"))
-            rows = S.player_rows(newest.select("_f.*").drop("modified"), league)
+            stored = None
             if table_exists(spark, table):
                 # prune to the seasons of the batch before looking for stored games
                 seasons = [r[0] for r in good.select("season").distinct().collect()]
                 # the schema is given: a table whose batches were all rejected so far has no file to tell it
                 stored = spark.read.schema("game_id BIGINT, league STRING, season STRING").parquet(table).filter(
                     F.col("season").isin(seasons)).select(*GAME_KEY).distinct()
+                # documents of stored games are left before they are gathered; a document may hold rows of other games
+                own = F.forall("players", lambda r: r["game_id"].eqNullSafe(F.col("file_id")))
+                here = stored.filter(F.col("league") == league).select(F.col("season").alias("_s"), F.col("game_id").alias("_g"))
+                good = good.join(here, (F.col("season") == F.col("_s")) & (F.col("file_id") == F.col("_g")) & own, "left_anti")
+            newest = good.groupBy("season", "file_id").agg(F.max_by(F.struct(*good.columns), F.struct("modified", "path")).alias("_f"))
+            rows = S.player_rows(newest.select("_f.*").drop("modified"), league)
+            if stored is not None:
                 rows = rows.join(stored, list(GAME_KEY), "left_anti")
             rows.write.mode("append").partitionBy("league", "season").parquet(table)
             bad = checked.filter(F.col("reason").isNotNull()).select(F.lit(league).alias("league"), "path", "season", "file_id", "reason")
