@@ -169,15 +169,20 @@ def flatten_roster(spark, d):
     return P.flatten_roster(p.select("league", doc.alias("payload"))).drop("league")
 
 
+#: Ids of players that one document of leaders covers: bounds the group that it gathers.
+PLAYERS_A_DOC = 1_000
+
+
 def leader_payload(spark, d, t):
-    """One document per season: all players of three categories as links."""
-    long = t.select("season", "player_id", F.col("team_abbrev"), F.explode(F.array(*[
+    """Documents of a season, one for every range of player ids: all players of three categories as links."""
+    part = F.floor(F.col("player_id") / PLAYERS_A_DOC).alias("_part")
+    long = t.select("season", part, "player_id", F.col("team_abbrev"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("cat"), F.col(c).alias("v")) for i, c in enumerate(("pts", "reb", "ast"))])).alias("s")).select("*", "s.*")
-    top = ranked(long, ["season", "cat"], [F.desc("v"), F.asc("player_id")], None)
+    top = ranked(long, ["season", "_part", "cat"], [F.desc("v"), F.asc("player_id")], None)
     ref = lambda kind, c: F.struct(F.concat(F.lit(f"http://x/{kind}/"), c.cast("string"), F.lit("?lang=en")).alias("$ref"))
     entry = F.struct("rank", ref("athletes", F.col("player_id")).alias("athlete"), ref("teams", F.substring("team_abbrev", 2, 9).cast("bigint")).alias("team"))
-    cats = top.groupBy("season", "cat").agg(F.array_sort(F.collect_list(entry)).alias("leaders"))
-    docs = cats.groupBy("season").agg(F.array_sort(F.collect_list(F.struct("cat", "leaders"))).alias("categories"))
+    cats = top.groupBy("season", "_part", "cat").agg(F.array_sort(F.collect_list(entry)).alias("leaders"))
+    docs = cats.groupBy("season", "_part").agg(F.array_sort(F.collect_list(F.struct("cat", "leaders"))).alias("categories"))
     return docs.select(F.concat(F.lit("nba:"), F.col("season")).alias("league"), js(categories=F.col("categories")).alias("payload"))
 
 
