@@ -119,18 +119,19 @@ def flatten_event_rounds(raw: DataFrame) -> DataFrame:
 _CELLS = (*K.BOX_LABELS, *K.BOX_SPLIT_LABELS)
 
 
-def _places(labels: Column) -> Column:
-    """Index of the last column under every known label (null when the block lacks it)."""
-    back = F.reverse(labels)
-    at = lambda la: F.nullif(F.array_position(back, la), F.lit(0))
-    return F.array(*[(F.size(labels) - at(la)).cast("int") for la in _CELLS])
+def _places(back: Column) -> Column:
+    """Index of the last column under every known label (null when the block lacks it); labels from last to first."""
+    found = F.transform(F.array(*[F.lit(la) for la in _CELLS]), lambda la: F.array_position(back, la))
+    return F.transform(found, lambda n: F.when(n > 0, (F.size(back) - n).cast("int")))
 
 
 def flatten_box_score(raw: DataFrame) -> DataFrame:
     """Player rows of game summaries; blocks of teams outside the header are dropped.
 
     A player who did not play (or has no stats) has zeros and min 0, plus_minus stays null.  The
-    labels are looked up once per team block, each player's cell is then an array access.
+    labels are looked up once per team block, each player's cell is then an array access.  Cells are
+    read in one transform each for numbers and pairs: an expression per cell makes generated
+    methods longer than the JVM compiles, which then run interpreted.
     """
     df = parsed(raw, SUMMARY).withColumn("c", _first_of(F.col("p.header.competitions")))
     df = _sides(df).withColumn("b", F.explode("p.boxscore.players")).withColumn("g", _first_of(F.col("b.statistics")))
@@ -138,26 +139,34 @@ def flatten_box_score(raw: DataFrame) -> DataFrame:
     team = X.to_long("b.team.id")
     date = F.coalesce("c.date", "p.header.gameDate")
     head = ("league", "game_id", "date", "season", "team_id", "team_abbrev", "opponent_id", "opponent_abbrev", "is_home")
-    rows = df.filter(F.col("g").isNotNull() & ((team == home) | (team == away))).select(
+    df = df.filter(F.col("g").isNotNull() & ((team == home) | (team == away)))
+    df = df.withColumn("back", F.explode(F.array(F.reverse("g.labels"))))  # exploded, so that it is reversed once
+    rows = df.select(
         "league", F.col("c.id").try_cast("bigint").alias("game_id"), date.alias("date"),
         season_label_from_date(F.to_date(F.substring(date, 1, 10)), F.col("league")).alias("season"),
         team.alias("team_id"), F.col("b.team.abbreviation").alias("team_abbrev"),
         F.when(team == home, away).otherwise(home).alias("opponent_id"),
         F.when(team == home, F.col("away.team.abbreviation")).otherwise(F.col("home.team.abbreviation")).alias("opponent_abbrev"),
-        (team == home).alias("is_home"), _places(F.col("g.labels")).alias("at"), F.explode("g.athletes").alias("a"))
+        (team == home).alias("is_home"), _places(F.col("back")).alias("at"), F.explode("g.athletes").alias("a"))
     stats = F.col("a.stats")
     dnp = F.coalesce("a.didNotPlay", F.lit(False))
     idle = F.when(dnp | (F.coalesce(F.size(stats), F.lit(0)) <= 0), F.lit(0))
-    cell = {la: F.get(stats, F.get("at", i)) for i, la in enumerate(_CELLS)}
-    cells = {col: X.to_long(cell[la]) for la, col in K.BOX_LABELS.items()}
-    for la, (m, a) in K.BOX_SPLIT_LABELS.items():
-        cells[m], cells[a] = X.made(cell[la]), X.attempted(cell[la])
+    n = len(K.BOX_LABELS)
+    numbers = F.transform(F.slice("at", 1, n), lambda i: X.to_long(F.get(stats, i)))
+    pairs = F.transform(F.slice("at", n + 1, len(_CELLS) - n), lambda i: F.struct(
+        X.made(F.get(stats, i)).alias("made"), X.attempted(F.get(stats, i)).alias("attempted")))
+    rows = rows.filter(F.col("a.athlete.id").isNotNull()).select(
+        *head, F.explode(F.array(F.struct(F.col("a"), dnp.alias("dnp"), idle.alias("idle"), numbers.alias("numbers"), pairs.alias("pairs")))).alias("y"))
+    a, idle = F.col("y.a"), F.col("y.idle")
+    cells = {col: F.get("y.numbers", i) for i, col in enumerate(K.BOX_LABELS.values())}
+    for i, (m, t) in enumerate(K.BOX_SPLIT_LABELS.values()):
+        cells[m], cells[t] = F.get("y.pairs", i)["made"], F.get("y.pairs", i)["attempted"]
     filled = {c: v if c == "plus_minus" else F.coalesce(v, idle) for c, v in cells.items()}
     filled["min"] = F.coalesce(idle, cells["min"])
-    return rows.filter(F.col("a.athlete.id").isNotNull()).select(
-        *head, F.col("a.athlete.id").try_cast("bigint").alias("player_id"),
-        F.coalesce(F.nullif("a.athlete.displayName", F.lit("")), "a.athlete.shortName").alias("player_name"),
-        F.coalesce("a.starter", F.lit(False)).alias("starter"), dnp.alias("did_not_play"),
+    return rows.select(
+        *head, a["athlete"]["id"].try_cast("bigint").alias("player_id"),
+        F.coalesce(F.nullif(a["athlete"]["displayName"], F.lit("")), a["athlete"]["shortName"]).alias("player_name"),
+        F.coalesce(a["starter"], F.lit(False)).alias("starter"), F.col("y.dnp").alias("did_not_play"),
         *[v.cast("bigint").alias(c) for c, v in filled.items()])
 
 

@@ -144,3 +144,26 @@ def test_seasons_of_a_table(spark):
                          spark.createDataFrame([("nba", 1, "ATL", "Atlanta")], "league string, team_id int, abbrev string, display_name string")).first()
     assert look.team_abbrev == "ATL"
     assert box(spark, [dict()]).count() == 1
+
+
+def test_box_score_cells_run_compiled(spark):
+    """HotSpot interprets methods of more than 8000 bytes; the flattening's generated ones stay below."""
+    side = lambda hw, i: {"homeAway": hw, "team": {"id": str(i), "abbreviation": hw}, "score": "9"}
+    comp = {"id": "5", "date": "2026-01-05T00:00Z", "competitors": [side("home", 1), side("away", 2)]}
+    block = {"team": {"id": "2", "abbreviation": "away"}, "statistics": [{"labels": ["PTS", "FT", "PTS", "REB"], "athletes": [
+        {"athlete": {"id": "7"}, "stats": ["1", "2-3", "4"]}]}]}
+    none = {"team": {"id": "1", "abbreviation": "home"}, "statistics": [{"athletes": [{"athlete": {"id": "8"}, "stats": ["1"]}]}]}
+    doc = json.dumps({"header": {"competitions": [comp]}, "boxscore": {"players": [block, none]}})
+    raw = spark.createDataFrame([("nba", doc)] * 2, "league string, payload string").repartition(2)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = P.flatten_box_score(raw)
+        codegen = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        stages = codegen.codegenStringSeq(out._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and max(sizes) < 8000, sizes
+    got = {(r.player_id, r.pts, r.ftm, r.fta, r.reb, r.fgm, r.min) for r in out.collect()}
+    assert got == {(7, 4, 2, 3, None, None, None), (8, None, None, None, None, None, None)}
