@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from corpus import SCHEMA, WHITE, awkward, near, repeats, split, table, texts, words
 from pyspark.sql import functions as F
@@ -220,3 +221,20 @@ def test_near_copies_with_any_column_names(spark):
     docs = table(spark, ["a b c d e f g"] * 3 + ["other words stand in here now"])
     kept = minhash.drop_near(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3]
+
+
+def test_near_passages_whose_first_or_last_words_differ(spark):
+    rng, items = random.Random(3), []
+    for i in range(6):
+        p = [f"w{rng.randrange(10**6)}" for _ in range(50)]
+        items += [" ".join(p), " ".join(["x", *p[1:]] if i % 2 else [*p[:-1], "x"])]
+    got = {(r.doc_id, r.start, r.end) for r in windows.near_passages(table(spark, items)).collect()}
+    assert got == {(i, 0, 50) for i in range(len(items))}
+
+
+def test_widened_parts_keep_the_threshold():
+    x, y = np.arange(46), np.arange(46)
+    y[:5] += 100
+    assert windows.similar_parts(x, y, 46, 80) == [(0, 46, 0, 46)]  # 41 of 51
+    y[5] += 100
+    assert windows.similar_parts(x, y, 46, 80) == []  # 40 of 52
