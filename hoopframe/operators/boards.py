@@ -73,7 +73,8 @@ def player_totals(box: DataFrame, by: Sequence[str] = BY,
         F.sum(nz("min")).alias("minutes"),
         F.min(text_order("game_id")).alias("_seen"),
         *[F.sum(nz(s)).alias(s) for s in stats])
-    held = per_team.repartition(*([parts] if parts else []), *by, "player_id")
+    # a league that is one constant is folded away in the aggregates' keys, and rows dealt by it would move again
+    held = per_team.repartition(*([parts] if parts else []), *[c for c in by if c != "league"], "player_id")
     teams = held.groupBy(*by, "player_id", "team_abbrev").agg(
         F.min_by("player_name", "_seen").alias("player_name"), F.min("_seen").alias("_seen"),
         *[F.sum(c).alias(c) for c in ("gp", "starts", "minutes", *stats)])

@@ -49,22 +49,26 @@ def team_number():
     return F.substring("team_abbrev", 2, 9).cast("bigint")
 
 
-def bundles(t, spark, d):
-    """History documents per player (a career has one struct per season)."""
+def bundles(t, spark, d, fields=None):
+    """History documents per player (a career has one struct per season).
+
+    ``fields`` names what the reader takes of a season row; the career line, which needs every stat, is then left out.
+    """
     k = F.col("player_id")
     avg = lambda s: half_up(ratio(s, "gp"), 1)
     pct = lambda m, a: F.coalesce(half_up(ratio(F.lit(100.0) * F.col(m), a), 1), F.lit(0.0))
-    row = F.struct((F.col("season_start") + 1).alias("year"), team_number().alias("team_id"),
-                   F.col("team_abbrev").alias("team"), "gp", avg("minutes").alias("min"),
-                   *[avg(s).alias(s) for s in ("pts", "reb", "ast", "stl", "blk")],
-                   pct("fgm", "fga").alias("fg_pct"), pct("fg3m", "fg3a").alias("fg3_pct"))
-    per = t.groupBy("league", "player_id").agg(
-        F.array_sort(F.collect_list(row)).alias("rows"), *[F.sum(c).alias(c) for c in C.LINE])
+    row = {"year": lambda: F.col("season_start") + 1, "team_id": team_number, "team": lambda: F.col("team_abbrev"),
+           "gp": lambda: F.col("gp"), "min": lambda: avg("minutes"),
+           **{s: (lambda s=s: avg(s)) for s in ("pts", "reb", "ast", "stl", "blk")},
+           "fg_pct": lambda: pct("fgm", "fga"), "fg3_pct": lambda: pct("fg3m", "fg3a")}
+    rows = F.array_sort(F.collect_list(F.struct(*[row[f]().alias(f) for f in fields or row])))
+    per = t.groupBy("league", "player_id").agg(rows.alias("rows"), *[F.sum(c).alias(c) for c in C.LINE if not fields])
     p = D.players(spark, d).select("league", "player_id", F.col("player_name").alias("name"),
                                    (F.col("debut") - 2).alias("debut"), "position")
+    line = [] if fields else [F.when(k % 3 == 0, F.struct(*C.LINE)).alias("line")]
     return per.filter(k % 3 != 2).join(p, ["league", "player_id"]).select(
         "league", "player_id", "name", "debut", "position", F.lit(None).cast("string").alias("jersey"),
-        F.lit(None).cast("string").alias("team"), "rows", F.when(k % 3 == 0, F.struct(*C.LINE)).alias("line"))
+        F.lit(None).cast("string").alias("team"), "rows", *line)
 
 
 def entries(spark, d, t=None):
@@ -152,8 +156,8 @@ def honours(spark, d):
 @query("titles", f"""WITH {Q.BOX}, {Q.GAMES}, {Q.TOTALS}, {Q.RECORDS}, {CHAMP}, {HROWS}
 SELECT league, player_id, CASE WHEN ok AND first_year>=1970 AND done>0 AND open_years=0 THEN won END AS championships FROM bu""")
 def titles(spark, d):
-    t = staged_totals(spark, d)
-    return C.titles(bundles(t, spark, d), champions(spark, d), END_YEAR)
+    t = stage(totals(spark, d).select("league", "player_id", "season_start", "team_abbrev"), "totals")
+    return C.titles(bundles(t, spark, d, ("year", "team_id")), champions(spark, d), END_YEAR)
 
 
 _EOUT = f"""league, player_id, player_name, team_abbrev, seasons, {', '.join(f'"{c}"' for c in ECOLS)}, {hu('peak_impact', 4)} AS peak_impact, line_source, debut, position"""

@@ -47,6 +47,30 @@ def test_player_totals_take_the_parts_given(spark):
     assert sorted(wide.collect()) == sorted(plain.collect())
 
 
+def test_player_totals_of_a_constant_league_move_once_after_the_first_aggregate(spark, tiny):
+    plan = B.player_totals(D.box(spark, tiny), parts=5).select("player_id", "team_abbrev")._jdf.queryExecution().executedPlan().toString()
+    after_join = plan[:plan.index("Join")]
+    assert after_join.count("Exchange hashpartitioning(") == 2  # four before: rows dealt by the league's literal moved again
+
+
+def test_titles_stage_what_they_read(spark, tiny, monkeypatch):
+    from hoopframe.plans import career_queries
+    seen = []
+    write = staging.stage
+    monkeypatch.setattr(career_queries, "stage", lambda df, name: seen.append(df.columns) or write(df, name))
+    got = catalog.QUERIES["titles"](spark, tiny)
+    assert seen == [["league", "player_id", "season_start", "team_abbrev"]]
+    whole = career_queries.bundles(career_queries.staged_totals(spark, tiny), spark, tiny)
+    want = career_queries.C.titles(whole, career_queries.champions(spark, tiny), career_queries.END_YEAR)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() > 20
+
+
+def test_supplier_names_of_long_negative_and_null_ids(spark):
+    ids = [0, 7, 999_999_999, 1_000_000_000, -5, None]
+    df = spark.createDataFrame([(i,) for i in ids], "k long").select("k", D.supplier_name(F.col("k")).alias("n"), F.format_string("Supplier#%09d", "k").alias("w"))
+    assert all(r.n == r.w for r in df.collect()) and df.count() == 6
+
+
 def test_series_are_joined_where_games_lie(spark, tiny, monkeypatch):
     seen = []
     write = staging.stage
