@@ -12,9 +12,12 @@ end when no bucket is left, so no pair that could be linked is skipped.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hoopframe.sources.staging import stage
@@ -24,6 +27,8 @@ from .common import Words, components, id_text, mix, slices, small_batches
 #: Bands and bins per band. A pair of similarity 0.8 misses all bands once in 10 million times.
 BANDS, ROWS = 32, 4
 _SEEDS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+#: 64-bit words of the marks of lacking shingles. Fewer only rule out fewer pairs before they are measured.
+MARKS = 8
 
 
 def sets_of(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +95,18 @@ def sign(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text"
         run, "doc_id long, n_shingles long, m1 long, m2 long, bands array<long>")
 
 
-def measure(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def marks(values: np.ndarray) -> np.ndarray:
+    """One bit for each group of shingle hashes that any of ``values`` falls into."""
+    group = (values % np.uint64(64 * MARKS)).astype(np.int64)
+    out = np.zeros(64 * MARKS, np.uint8)
+    out[group] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
+
+
+def measure(pairs: DataFrame, texts: DataFrame, k: int, percent: int, lacking: bool = False) -> DataFrame:
     """a, b, same and linked of every pair: the intersection of the full shingle sets, and whether
-    100 * intersection >= percent * union."""
+    100 * intersection >= percent * union. ``lacking``: also the marks of the shingles of b that a lacks
+    (a_lacks) and of those of a that b lacks (b_lacks)."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
@@ -101,6 +115,7 @@ def measure(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         for b in batches:
             ta, tb = b.column(2).to_pylist(), b.column(3).to_pylist()
             same, linked = np.zeros(len(ta), np.int64), np.zeros(len(ta), bool)
+            lacks = np.zeros((2, len(ta), MARKS), np.int64)
             for i, j in slices([x if len(x) > len(y) else y for x, y in zip(ta, tb)], 1_000_000):
                 values, first = sets_of(ta[i:j] + tb[i:j], k)
                 m = j - i
@@ -110,9 +125,31 @@ def measure(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     both.sort()
                     n = int((both[1:] == both[:-1]).sum())
                     same[i + r], linked[i + r] = n, n > 0 and 100 * n >= percent * (len(both) - n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), pa.array(linked)], ["a", "b", "same", "linked"])
+                    if lacking:
+                        lacks[0, i + r] = marks(np.setdiff1d(y, x, assume_unique=True))
+                        lacks[1, i + r] = marks(np.setdiff1d(x, y, assume_unique=True))
+            out = [b.column(0), b.column(1), pa.array(same), pa.array(linked)]
+            if lacking:
+                ends = np.arange(0, len(ta) * MARKS + 1, MARKS, dtype=np.int32)
+                out += [pa.ListArray.from_arrays(pa.array(ends), pa.array(m.ravel())) for m in lacks]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    names = ["a", "b", "same", "linked", *(["a_lacks", "b_lacks"] if lacking else [])]
+    return both.mapInArrow(run, "a long, b long, same long, linked boolean" + (", a_lacks array<long>, b_lacks array<long>" if lacking else ""))
+
+
+def most_shared() -> Column:
+    """Upper bound of the shingles that a row and its center (c_) share.
+
+    z is the member that all of the bucket have met, i the shingles shared with it and s those shared with anyone.
+    Of the shingles of z that one has, those are not common that the other lacks: at least one for each marked group
+    that holds none that the one lacks itself. Outside of z both have at most s - i.
+    """
+    def beyond(one: str, other: str) -> Column:
+        return reduce(add, [F.bit_count(F.col(one)[g].bitwiseAND(F.bitwise_not(F.col(other)[g]))) for g in range(MARKS)])
 
-    return both.mapInArrow(run, "a long, b long, same long, linked boolean")
+    inside = F.least(F.col("i") - beyond("c_lacks", "lacks"), F.col("c_i") - beyond("lacks", "c_lacks"))
+    return inside + F.least(F.col("s") - F.col("i"), F.col("c_s") - F.col("c_i"))
 
 
 def unshared(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -147,9 +184,9 @@ def near_links(signed: DataFrame, docs: DataFrame, k: int, percent: int, id_col:
     In each round the centers of a bucket meet its other members that are in other components,
     unless set sizes (n) and shared shingles rule a link out. The first center is the smallest
     id. Then s, the shingles shared with anyone, is counted, and the member that shares most
-    meets all others: each shares i shingles with it and s - i others, so the intersection of
-    two members is at most the sum of both smaller parts. From then on each round has 16
-    times as many centers, drawn by a hash.
+    meets all others: each shares i shingles with it and s - i others, which with marks of what each
+    lacks of it bounds the intersection of two members (``most_shared``). From then on each round
+    has 16 times as many centers, drawn by a hash.
     """
     spark = signed.sparkSession
     key = ["m1", "m2", "n_shingles"]
@@ -159,13 +196,13 @@ def near_links(signed: DataFrame, docs: DataFrame, k: int, percent: int, id_col:
     members = heads.select("doc_id", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("bucket")
     live = stage(members.join(shared, "bucket").distinct()
-                 .withColumns({"s": F.col("n"), "i": F.lit(0).cast("long")}), "near-buckets")
+                 .withColumns({"s": F.col("n"), "i": F.lit(0).cast("long"), "lacks": F.array_repeat(F.lit(0).cast("long"), MARKS)}), "near-buckets")
     texts = stage(id_text(docs, id_col, text_col).join(live.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "near-texts")
     labels = live.select(F.col("doc_id").alias("v"), F.col("doc_id").alias("component")).distinct()
     done = spark.createDataFrame([], "a long, b long")
     turn, centers = 0, 1
     while True:
-        state = live.join(labels, live["doc_id"] == labels["v"]).select("bucket", "doc_id", "n", "s", "i", F.col("component").alias("comp"))
+        state = live.join(labels, live["doc_id"] == labels["v"]).select("bucket", "doc_id", "n", "s", "i", "lacks", F.col("component").alias("comp"))
         best = F.struct((-F.col("s") / F.col("n")).alias("order") if turn else F.lit(0.0).alias("order"), "doc_id")
         open_ = (state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"),
                                              F.min(best).alias("best")).where("lo < hi")
@@ -177,26 +214,26 @@ def near_links(signed: DataFrame, docs: DataFrame, k: int, percent: int, id_col:
         state = stage(state.drop("size").join(own, "doc_id"), "near-open")
         if state.isEmpty():
             break
-        heads_ = state.where("center").select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "n", "s", "i", "comp", "led")])
-        most = F.least("i", "c_i") + F.least(F.col("s") - F.col("i"), F.col("c_s") - F.col("c_i"))
+        heads_ = state.where("center").select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "n", "s", "i", "lacks", "comp", "led")])
+        most = most_shared()
         # of the buckets that a document shares with a center, one emits the pair
         both = state.join(heads_, "bucket").where("doc_id <> c_doc_id AND bucket = array_min(array_intersect(mine, c_led))")
         if turn != 1:
             both = both.where("comp <> c_comp").where(100 * most >= percent * (F.col("n") + F.col("c_n") - most))
         pairs = both.select(F.least("doc_id", "c_doc_id").alias("a"), F.greatest("doc_id", "c_doc_id").alias("b")).distinct()
-        met = stage(measure(pairs if turn == 1 else pairs.join(done, ["a", "b"], "left_anti"), texts, k, percent), "near-links")
+        met = stage(measure(pairs if turn == 1 else pairs.join(done, ["a", "b"], "left_anti"), texts, k, percent, lacking=turn == 1), "near-links")
         done = done.unionByName(met.select("a", "b"))
         if not met.where("linked").isEmpty():
             labels = stage(relabel(labels, met.where("linked")), "near-labels")
-        live = state.where("NOT center").select("bucket", "doc_id", "n", "s", "i", "best")
+        live = state.where("NOT center").select("bucket", "doc_id", "n", "s", "i", "lacks", "best")
         if turn == 0:
             alone = unshared(texts, state.select("doc_id").distinct(), k)
             live = live.join(alone, "doc_id", "left").withColumn("s", F.col("n") - F.coalesce("n_alone", F.lit(0)))
-            live = live.where(100 * F.col("s") >= percent * F.col("n")).select("bucket", "doc_id", "n", "s", "i")
+            live = live.where(100 * F.col("s") >= percent * F.col("n")).select("bucket", "doc_id", "n", "s", "i", "lacks")
         elif turn == 1:
-            live = live.drop("i").join(met.select(F.col("a"), F.col("b"), F.col("same").alias("i")),
-                                       (F.least("doc_id", "best") == F.col("a")) & (F.greatest("doc_id", "best") == F.col("b")))
-            live = live.select("bucket", "doc_id", "n", "s", "i")
+            live = live.drop("i", "lacks").join(met.select("a", "b", F.col("same").alias("i"), "a_lacks", "b_lacks"),
+                                                (F.least("doc_id", "best") == F.col("a")) & (F.greatest("doc_id", "best") == F.col("b")))
+            live = live.select("bucket", "doc_id", "n", "s", "i", F.when(F.col("doc_id") == F.col("a"), F.col("a_lacks")).otherwise(F.col("b_lacks")).alias("lacks"))
         turn, centers = turn + 1, centers if turn < 1 else centers * 16
     return classes, labels
 

@@ -76,6 +76,25 @@ def test_near_groups(spark, k):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_most_shared_never_falls_below_what_is_shared(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for n in (3, 40, 150, 4000):  # with 4000 shingles every group of the marks is taken
+        z = rng.integers(0, 2**64, n, np.uint64)
+        for share in (0.02, 0.1, 0.5, 1.0):
+            sides = []
+            common_ = rng.integers(0, 2**64, 6, np.uint64)
+            for _ in range(2):
+                gone = rng.random(n) < share
+                sides.append((z[~gone], common_[rng.random(6) < 0.5], minhash.marks(z[gone]).tolist()))
+            (x, u, p), (y, w, q) = sides
+            rows.append((len(x), len(x) + len(u), p, len(y), len(y) + len(w), q))
+            want.append(len(np.intersect1d(x, y)) + len(np.intersect1d(u, w)))
+    df = spark.createDataFrame(rows, "i long, s long, lacks array<long>, c_i long, c_s long, c_lacks array<long>").coalesce(1)
+    got = [r[0] for r in df.select(minhash.most_shared()).collect()]
+    assert all(g >= t for g, t in zip(got, want)) and sum(g - t for g, t in zip(got[:12], want)) < 60
+
+
 def test_near_edge_cases(spark):
     docs = awkward(spark)
     out = minhash.near_groups(docs)
