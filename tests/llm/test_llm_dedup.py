@@ -257,3 +257,33 @@ def test_widened_parts_keep_the_threshold():
     assert windows.similar_parts(x, y, 46, 80) == [(0, 46, 0, 46)]  # 41 of 51
     y[5] += 100
     assert windows.similar_parts(x, y, 46, 80) == []  # 40 of 52
+
+
+def test_pairs_extend_as_plain_loops_do():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        x, y = (np.tile(rng.integers(0, 4, rng.integers(2, 12)), 9)[:rng.integers(20, 70)] for _ in range(2))
+        y[5:15] = x[2:12]
+        places = [(p, q) for p in range(len(x) - 3) for q in range(len(y) - 3) if (x[p:p + 4] == y[q:q + 4]).all() and rng.random() < 0.5] or [(2, 5)]
+        want, seen_x, seen_y = [], set(), set()
+        by_shift = {}
+        for p, q in places:
+            by_shift.setdefault(q - p, []).append(p)
+        for shift, starts in sorted(by_shift.items(), key=lambda s: (-len(s[1]), s[0])):
+            found = set()
+            for p in starts:
+                if set(range(p, p + 4)) <= seen_x and set(range(p + shift, p + shift + 4)) <= seen_y:
+                    continue
+                a, b = p, p
+                while a and a + shift and x[a - 1] == y[a + shift - 1]:
+                    a -= 1
+                while b < min(len(x), len(y) - shift) and x[b] == y[b + shift]:
+                    b += 1
+                if b - a >= 8:
+                    found.add((a, a + shift, b - a))
+            for a, c, n in found:
+                seen_x |= set(range(a, a + n))
+                seen_y |= set(range(c, c + n))
+            want += sorted(found)
+        p, q = np.array(places).T
+        assert suffixes.extend(x, y, p, q, 8, 4) == want
