@@ -287,3 +287,39 @@ def test_pairs_extend_as_plain_loops_do():
             want += sorted(found)
         p, q = np.array(places).T
         assert suffixes.extend(x, y, p, q, 8, 4) == want
+
+
+def test_only_likely_pairs_meet_with_their_texts(spark):
+    rng = random.Random(21)
+    passage, phrase = words(rng, 60), words(rng, 12)
+    items = [" ".join(words(rng, 40) + part + words(rng, 40)) for part in (passage, passage, phrase, phrase)] + [" ".join(words(rng, 90))] * 2
+    docs = table(spark, items)
+    key = F.expr(f"cast((key >> 32) & ~{windows.HASHES - 1} | key & {windows.HASHES - 1} as int)").alias("key")
+    held = windows.windows(docs, 46, "doc_id", "text", places=True).groupBy("doc_id").agg(F.collect_set(F.struct(key, "l", "c", "r")).alias("held"))
+    texts_ = docs.select("doc_id", "text").join(held, "doc_id")
+    sketches = windows.sketched(texts_)
+    pairs = spark.createDataFrame([(a, b) for b in range(6) for a in range(b)], "a long, b long")
+    assert {(r.a, r.b) for r in windows.likely(pairs, sketches, 46, 80).collect()} == {(0, 1), (4, 5)}
+    found = {(r.doc_id, r.other_id) for r in windows.verified(pairs, texts_, sketches, 46, 80).collect()}
+    assert found == {(0, 1), (1, 0), (4, 5), (5, 4)}
+
+
+def test_near_passages_free_their_shuffles(spark, monkeypatch):
+    from hoopframe.sources import staging
+    before, held = spark.conf.get(staging.FREED_SHUFFLES), []
+
+    def watched(df, name):
+        held.append(spark.conf.get(staging.FREED_SHUFFLES))
+        return staging.stage(df, name)
+    monkeypatch.setattr(windows, "stage", watched)
+    line = " ".join(f"w{i}" for i in range(60))
+    assert windows.near_passages(table(spark, [line, line])).count() == 2
+    assert held and set(held) == {"true"} and spark.conf.get(staging.FREED_SHUFFLES) == before
+
+
+def test_distinct_values_of_parts():
+    rng = np.random.default_rng(5)
+    for v in (rng.integers(0, 9, 60), rng.permutation(40)):
+        before = windows.earlier(v, np.argsort(v, kind="stable"))
+        assert (before is None) == (len(set(v.tolist())) == len(v))
+        assert all(windows.distinct(before, a, b) == len(set(v[a:b].tolist())) for a in range(len(v)) for b in range(a, len(v) + 1))
