@@ -18,6 +18,7 @@ from ..operators import schedule as C
 from ..operators import snapshots as N
 from ..sources import files as S
 from ..sources.sinks import table_exists
+from ..sources.staging import staged
 
 GAME_KEY = ("league", "season", "game_id")
 
@@ -64,8 +65,10 @@ def ingest_documents(spark: SparkSession, docs: DataFrame, table: str, rejects:
     versions of a game in one batch the newest good one counts. Rejects are kept per micro-batch.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = batch.withColumn("reason", S.document_problem()).persist()  # parsed once for rows, rejects and seasons
-        try:
+        checked = batch.withColumn("reason", S.document_problem())
+        # parsed once for rows, rejects and seasons, and written: held in memory, blocks of thousands of documents don't fit
+        slim = checked.select("path", "modified", "season", "file_id", F.when(F.col("reason").isNull(), F.col("players")).alias("players"), "reason")
+        with staged(slim, "documents") as checked:
             good = checked.filter(F.col("reason").isNull()).drop("reason")
             stored = None
             if table_exists(spark, table):
@@ -86,8 +89,6 @@ def ingest_documents(spark: SparkSession, docs: DataFrame, table: str, rejects:
             bad = checked.filter(F.col("reason").isNotNull()).select(F.lit(league).alias("league"), "path", "season", "file_id", "reason")
             bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(rejects)
-        finally:
-            checked.unpersist()
 
     return _run(docs, write, checkpoint, once=once)
 

@@ -9,6 +9,7 @@ from test_sources import player, write_boxes
 from hoopframe.operators import boards as B
 from hoopframe.operators import snapshots as N
 from hoopframe.sources import files as S
+from hoopframe.sources import staging
 from hoopframe.streaming import incremental as T
 
 
@@ -49,6 +50,18 @@ def test_replay_changes_nothing(spark, tmp_path):
     assert fact.count() == n
 
 
+def test_documents_are_not_held_in_memory(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    held = []
+    for name in ("persist", "cache"):
+        monkeypatch.setattr(DataFrame, name, lambda self, *_, n=name: held.append(n) or self)
+    monkeypatch.setattr(DataFrame, "unpersist", lambda self, *_: self)
+    monkeypatch.setattr(staging, "shared_dir", lambda session: str(tmp_path / "shared"))
+    fact, bad = ingest(spark, tmp_path, write_boxes(tmp_path / "raw"))
+    assert fact.count() == 2 and bad.count() == 4 and not held
+    assert [p.name for p in (tmp_path / "shared" / "hoopframe").glob("documents-*")] == []  # written for the batch only
+
+
 def test_schedule_upsert(spark, tmp_path):
     table = str(tmp_path / "schedule")
     base = games(spark, [dict(game_id=i) for i in (1, 2, 3)]).withColumn("feed", F.lit(0))
