@@ -304,6 +304,21 @@ def test_only_likely_pairs_meet_with_their_texts(spark):
     assert found == {(0, 1), (1, 0), (4, 5), (5, 4)}
 
 
+def test_pairs_are_verified_in_slices(spark, monkeypatch):
+    rng = random.Random(9)
+    items = []
+    for _ in range(6):
+        core = words(rng, 70)
+        items += [" ".join([*words(rng, 30), *core, *words(rng, 30)]) for _ in range(3)]
+    docs, seen = table(spark, items), []
+    whole = sorted(map(tuple, windows.near_passages(docs).collect()))
+    slices = windows.verified_slice
+    monkeypatch.setattr(windows, "verified_slice", lambda pairs, *given: seen.append(pairs.count()) or slices(pairs, *given))
+    monkeypatch.setattr(windows, "PAIRS_A_SLICE", 3)
+    assert sorted(map(tuple, windows.near_passages(docs).collect())) == whole and len(whole) == 18
+    assert sum(n > 0 for n in seen) > 1 and max(seen) < sum(seen)
+
+
 def test_near_passages_free_their_shuffles(spark, monkeypatch):
     from hoopframe.sources import staging
     before, held = spark.conf.get(staging.FREED_SHUFFLES), []
